@@ -1,0 +1,99 @@
+"""What the plans do with one key that holds a third of the rows, or more."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidescore.functions import stack_distinct
+from tidescore.operators import anti_join, dropped_rows, enrich_features, join_result, left_join, upsert_newest, wide
+from tidescore.sources import stage
+
+SETTINGS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+}
+
+
+@pytest.fixture
+def small_thresholds(spark):
+    """Sizes at which a test's few rows are what gigabytes are to the defaults."""
+    before = {name: spark.conf.get(name) for name in SETTINGS}
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def final_plan(df, capsys):
+    df.collect()
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out.split("== Initial Plan ==")[0]
+
+
+@pytest.fixture
+def skewed(spark, schema):
+    """30,000 rows in many files, a third of them of key 0."""
+    rows = spark.range(30_000, numPartitions=16).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    return stage(rows, schema, "skewed")
+
+
+@pytest.fixture
+def even(spark, schema):
+    return stage(spark.range(0, 30_000, 2, numPartitions=16).select(F.col("id").alias("k"), (F.col("id") * 2).alias("p")),
+                 schema, "even")
+
+
+def test_hot_left_key_is_split_in_a_left_join(spark, small_thresholds, skewed, even, capsys):
+    joined = join_result(skewed, even, "k")
+    assert "SortMergeJoin(skew=true)" in final_plan(joined, capsys)
+    assert joined.count() == 30_000
+
+
+def test_hot_left_key_is_split_in_an_anti_join(spark, small_thresholds, skewed, even, capsys):
+    left = anti_join(skewed, even.filter("k > 0"), "k")
+    assert "SortMergeJoin(skew=true)" in final_plan(left, capsys)
+    assert left.count() == 10_000 + 10_000
+
+
+def test_hot_right_key_of_a_left_join_is_joined_apart(spark, small_thresholds, skewed, even, capsys):
+    joined = left_join(even, skewed, "k", max_key_rows=1000)
+    plan = final_plan(joined, capsys)
+    assert "SortMergeJoin(skew=true) [k#" in plan and "Inner" in plan
+    assert joined.count() == even.join(skewed, "k", "left").count()
+
+
+def test_hot_right_key_of_an_anti_join_is_thinned(spark, small_thresholds, skewed, even):
+    assert anti_join(even, skewed, "k").count() == even.join(skewed.select("k"), "k", "left_anti").count()
+
+
+def test_hot_target_key_is_split_in_an_upsert(spark, small_thresholds, skewed, even, capsys, monkeypatch):
+    monkeypatch.setattr(wide, "is_small", lambda df: False)
+    target = skewed.withColumn("execution_date", F.lit("2024-01-01").cast("date"))
+    delta = even.select("k", F.col("p").alias("v"), F.lit("2024-01-02").cast("date").alias("execution_date"))
+    merged = upsert_newest(target, delta, "k")
+    assert "SortMergeJoin(skew=true)" in final_plan(merged, capsys)
+    assert merged.count() == 30_000 + delta.join(target, "k", "left_anti").count()
+
+
+def test_counting_operators_combine_before_the_shuffle(spark, skewed, even, capsys):
+    for df in (dropped_rows(skewed, even, "k", "s"), dropped_rows(skewed, even, "k", "s", nulls="sql"),
+               stack_distinct([skewed], ["k", "v"])):
+        plan = final_plan(df, capsys)
+        assert "Join" not in plan and "Window" not in plan
+        exchange = plan.index("Exchange hashpartitioning(k")
+        assert "HashAggregate" in plan[exchange:]
+
+
+def test_long_keys_are_cut_by_range(spark, schema, skewed):
+    """No window of the feature lookup holds more rows than about the limit."""
+    kernel, features = skewed.filter("v % 2 = 0"), skewed.filter("v % 2 = 1").select("k", "v", F.col("v").alias("f"))
+    found = enrich_features(kernel, features, "k", "f", "v", max_key_rows=2000, scratch=schema)
+    plain = enrich_features(kernel, features, "k", "f", "v", max_key_rows=None)
+    assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
+    [pieces] = [row.name for row in spark.catalog.listTables(schema) if row.name.startswith("pieces")]
+    longest = spark.table(f"{schema}.{pieces}").groupBy("k", "_piece").count().agg(F.max("count")).first()[0]
+    assert longest < 4000

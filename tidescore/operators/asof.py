@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,14 +15,16 @@ from tidescore.sources.scratch import scratch_schema, stage
 
 def enrich_features(kernel: DataFrame, features_df: DataFrame, key: str | Sequence[str],
                     features: str | Sequence[str], kernel_ts: str, feature_ts: str | None = None,
-                    min_date=None, *, max_key_rows: int = MAX_KEY_ROWS) -> DataFrame:
+                    min_date=None, *, max_key_rows: int | None = MAX_KEY_ROWS,
+                    scratch: str | None = None) -> DataFrame:
     """Add the feature columns of the key's latest feature row at or before the kernel time.
 
     Of several feature rows at one time the greatest value tuple counts. ``min_date`` leaves older feature
     rows out. Kernel rows without a feature row, or with a null key or time, stay, with null features.
 
     Both sides are sorted together once per key. Keys with more than ``max_key_rows`` rows on both sides
-    together are sorted by ranges of (key, time) instead, over as many tasks as their rows need.
+    together are sorted by ranges of (key, time) instead, over as many tasks as their rows need. The ranges
+    are stored in the schema ``scratch``, or a new one in the shared folder, which the result reads from.
     """
     keys, names = as_list(key), as_list(features)
     feature_ts = feature_ts or kernel_ts
@@ -38,7 +41,7 @@ def enrich_features(kernel: DataFrame, features_df: DataFrame, key: str | Sequen
     unusable = any_null(keys) | F.col(kernel_ts).isNull()
     rows = (kernel.filter(~unusable)
             .select(*keys, F.col(kernel_ts).alias("_ts"), F.struct(*columns).alias("_row")))
-    wanted = rows.select(*keys).distinct()
+    wanted = rows.select(*keys)
     if is_small(wanted):
         facts = facts.join(F.broadcast(wanted), keys, "left_semi")
 
@@ -50,7 +53,8 @@ def enrich_features(kernel: DataFrame, features_df: DataFrame, key: str | Sequen
         found = _by_key(rows.join(listed, keys, "left_anti"), facts.join(listed, keys, "left_anti"), keys)
         pieces = -(-hot.agg(F.sum("n_rows")).first()[0] // max_key_rows)
         found = found.unionAll(_by_range(rows.join(listed, keys, "left_semi"),
-                                         facts.join(listed, keys, "left_semi"), keys, pieces))
+                                         facts.join(listed, keys, "left_semi"), keys, pieces,
+                                         scratch or scratch_schema(kernel.sparkSession, "asof")))
     types = dict(zip(names, (features_df.schema[name].dataType for name in names)))
     unfound = kernel.filter(unusable).select(
         *columns, *[F.lit(None).cast(types[name]).alias(name) for name in names])
@@ -77,22 +81,21 @@ def _by_key(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
             .filter(F.col("_kind") == 1).select("_row", "_feat"))
 
 
-def _by_range(rows: DataFrame, facts: DataFrame, keys: list[str], pieces: int) -> DataFrame:
+def _by_range(rows: DataFrame, facts: DataFrame, keys: list[str], pieces: int,
+              scratch: str) -> DataFrame:
     """The same for keys too long for one task: (_row, _feat).
 
     One fact and one lookup per (key, time) are range partitioned by them, which cuts a long key into
     pieces of equal length. Each piece is filled on its own; what it lacks at its start comes from the last
     fact of the key's earlier pieces, of which there is one row each.
     """
-    spark = rows.sparkSession
-    schema = scratch_schema(spark, "asof")
     facts = facts.groupBy(*keys, "_ts").agg(F.max("_feat").alias("_feat"))
     lookups = rows.select(*keys, "_ts").distinct()
     cut = (_side_by_side(lookups, facts, keys, None)
            .repartitionByRange(pieces, *keys, "_ts", "_kind")
            .withColumn("_piece", F.spark_partition_id()))
     # Stored, because the piece numbers hold only within the one job that computed the ranges.
-    cut = stage(cut, schema, "pieces")
+    cut = stage(cut, scratch, f"pieces_{uuid4().hex[:12]}")
 
     within = (Window.partitionBy(*keys, "_piece").orderBy("_ts", "_kind")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -37,6 +37,8 @@ def append_to_history(df: DataFrame, table: str, run_type: str | None = None, ex
     A plain append run twice stores its rows twice. ``replace_run`` makes the run's rows replace those
     stored under the same date and run type. Both must be given, and the table is partitioned by both.
     """
+    if replace_run and not (run_type and execution_date):
+        raise ValueError("replace_run needs a run type and an execution date")
     rows = history_rows(df, run_type, execution_date, columns=columns, nulls=nulls)
     if not execution_date:
         rows = rows.hint("rebalance", DATE)
@@ -44,8 +46,6 @@ def append_to_history(df: DataFrame, table: str, run_type: str | None = None, ex
     if not replace_run:
         store(rows, table, "append", DATE)
         return
-    if not (run_type and execution_date):
-        raise ValueError("replace_run needs a run type and an execution date")
     spark = df.sparkSession
     if not table_exists(spark, table):
         store(rows, table, "append", [DATE, RUN])

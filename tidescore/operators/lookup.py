@@ -13,7 +13,7 @@ from tidescore.operators.skew import MAX_KEY_ROWS, is_small, left_join
 
 def join_result(kernel: DataFrame, predictions: DataFrame, key: str | Sequence[str],
                 features: str | Sequence[str] = (), *, broadcast: bool = False,
-                max_key_rows: int = MAX_KEY_ROWS) -> DataFrame:
+                max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
     """Add the prediction columns to the kernel rows.
 
     The model's feature columns are dropped from the predictions first; names that are absent are
@@ -31,7 +31,7 @@ def join_result(kernel: DataFrame, predictions: DataFrame, key: str | Sequence[s
 
 
 def fill_missing(base: DataFrame, updates: DataFrame, key: str | Sequence[str],
-                 columns: str | Sequence[str], *, max_key_rows: int = MAX_KEY_ROWS) -> DataFrame:
+                 columns: str | Sequence[str], *, max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
     """Fill nulls of the base from the updates; values that are there stay, unknown update keys are ignored."""
     keys, filled = as_list(key), as_list(columns)
     renamed = updates.select(*keys, *[F.col(name).alias(f"_new_{name}") for name in filled])

@@ -52,14 +52,16 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> D
     return F.broadcast(df) if is_small(df, max_bytes) else df
 
 
-def hot_keys(df: DataFrame, key: str | Sequence[str], max_key_rows: int = MAX_KEY_ROWS) -> DataFrame | None:
+def hot_keys(df: DataFrame, key: str | Sequence[str],
+             max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame | None:
     """Keys with more than ``max_key_rows`` rows and their row counts, or None if there are none.
 
     At most count / max_key_rows keys can qualify. The count reads the key columns only and is combined
-    before its shuffle; a frame that is not longer than the limit is settled by its row count.
+    before its shuffle; a frame that is not longer than the limit is settled by its row count. A limit of
+    None is the caller's word that no key is hot, and nothing is counted.
     """
     keys = as_list(key)
-    if df.count() <= max_key_rows:
+    if max_key_rows is None or df.count() <= max_key_rows:
         return None
     shared_dir(df.sparkSession)
     counted = (df.select(*keys).filter(~any_null(keys))
@@ -70,7 +72,7 @@ def hot_keys(df: DataFrame, key: str | Sequence[str], max_key_rows: int = MAX_KE
 
 
 def left_join(left: DataFrame, right: DataFrame, key: str | Sequence[str],
-              max_key_rows: int = MAX_KEY_ROWS) -> DataFrame:
+              max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
     """Left equi-join that also copes with keys repeated very often on the right.
 
     Adaptive execution splits a hot key of the left side, but of a left join's right side it cannot. The

@@ -21,7 +21,7 @@ RUN_DATE = dt.date(2024, 3, 1)
 def store_results_query(spark, sf_dir):
     schema = scratch_schema(spark, "query")
     orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("execution_date"))
+        "o_orderkey", "o_orderstatus", F.trunc("o_orderdate", "year").alias("execution_date"))
     clicks = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("o_orderkey"), "event_type", F.col("ts").alias("date_created"))
     history = History(f"{schema}.history")
@@ -40,12 +40,14 @@ def store_results_query(spark, sf_dir):
     return sums[0].unionAll(sums[1]).unionAll(sums[2])
 
 
-def load_partial_model():
+def partial_model():
     """Scores texts by length and gives no prediction for very short ones."""
-    def predict(batch: pd.DataFrame) -> pd.DataFrame:
-        known = batch[batch["n_chars"] >= 30]
-        return pd.DataFrame({"length_score": (known["n_chars"] % 100) / 100.0}, index=known.index)
-    return predict
+    def load():
+        def predict(batch: pd.DataFrame) -> pd.DataFrame:
+            known = batch[batch["n_chars"] >= 30]
+            return pd.DataFrame({"length_score": (known["n_chars"] % 100) / 100.0}, index=known.index)
+        return predict
+    return load
 
 
 TEMPLATES = {
@@ -55,7 +57,7 @@ TEMPLATES = {
 
 
 def document_steps(schema):
-    model = Model("length", ["lang", "n_chars"], load_partial_model, "length_score double", threshold=90)
+    model = Model("length", ["lang", "n_chars"], partial_model(), "length_score double", threshold=90)
     wide = Wide(f"{schema}.wide", select_fields=["doc_id", "lang", "length_score", "execution_date"],
                 date_updated=False, buckets=8)
     return [

@@ -21,14 +21,19 @@ def project_features_query(spark, sf_dir):
     return project_features(table(spark, sf_dir, "documents"), "doc_id", "doc_id,lang,n_chars")
 
 
-def load_length_model():
-    """A stand-in model: a score from the text's length and language."""
-    def predict(batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({
-            "length_score": (batch["n_chars"] % 7) / 7.0,
-            "is_english": (batch["lang"] == "en").astype("int32"),
-        }, index=batch.index)
-    return predict
+def length_model():
+    """A stand-in model: a score from the text's length and language.
+
+    The loader is a local function, so it travels to the executors with the job.
+    """
+    def load():
+        def predict(batch: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({
+                "length_score": (batch["n_chars"] % 7) / 7.0,
+                "is_english": (batch["lang"] == "en").astype("int32"),
+            }, index=batch.index)
+        return predict
+    return load
 
 
 LENGTH_PREDICTIONS = "length_score double, is_english int"
@@ -40,7 +45,7 @@ LENGTH_SQL = """
 
 @query(LENGTH_SQL)
 def score_batches(spark, sf_dir):
-    return score(table(spark, sf_dir, "documents"), "doc_id", "lang,n_chars", load_length_model,
+    return score(table(spark, sf_dir, "documents"), "doc_id", "lang,n_chars", length_model(),
                  LENGTH_PREDICTIONS)
 
 
