@@ -4,7 +4,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidescore.functions import stack_distinct
-from tidescore.operators import anti_join, dropped_rows, enrich_features, join_result, left_join, upsert_newest, wide
+from tidescore.operators import (
+    anti_join,
+    dropped_rows,
+    enrich_features,
+    hot_keys,
+    join_result,
+    left_join,
+    upsert_newest,
+    wide,
+)
 from tidescore.sources import stage
 
 SETTINGS = {
@@ -66,8 +75,16 @@ def test_hot_right_key_of_a_left_join_is_joined_apart(spark, small_thresholds, s
     assert joined.count() == even.join(skewed, "k", "left").count()
 
 
-def test_hot_right_key_of_an_anti_join_is_thinned(spark, small_thresholds, skewed, even):
-    assert anti_join(even, skewed, "k").count() == even.join(skewed.select("k"), "k", "left_anti").count()
+def test_hot_right_key_of_an_anti_join_is_taken_out(spark, small_thresholds, skewed, even, capsys):
+    left = anti_join(even, skewed, "k", max_key_rows=1000)
+    assert final_plan(left, capsys).count("BroadcastHashJoin") == 2
+    assert left.count() == even.join(skewed.select("k"), "k", "left_anti").count()
+
+
+def test_hot_keys_are_found_in_a_sample(spark):
+    rows = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 50_000).alias("k"))
+    [hot] = hot_keys(rows, "k", 20_000).collect()
+    assert hot.k == -1 and abs(hot.n_rows - 66_667) < 10_000
 
 
 def test_hot_target_key_is_split_in_an_upsert(spark, small_thresholds, skewed, even, capsys, monkeypatch):
@@ -80,8 +97,7 @@ def test_hot_target_key_is_split_in_an_upsert(spark, small_thresholds, skewed, e
 
 
 def test_counting_operators_combine_before_the_shuffle(spark, skewed, even, capsys):
-    for df in (dropped_rows(skewed, even, "k", "s"), dropped_rows(skewed, even, "k", "s", nulls="sql"),
-               stack_distinct([skewed], ["k", "v"])):
+    for df in (dropped_rows(skewed, even, "k", "s"), stack_distinct([skewed], ["k", "v"])):
         plan = final_plan(df, capsys)
         assert "Join" not in plan and "Window" not in plan
         exchange = plan.index("Exchange hashpartitioning(k")

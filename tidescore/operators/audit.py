@@ -5,14 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidescore.functions.columns import any_null, as_list, tag_dropped
-from tidescore.operators.skew import anti_join
-
-# Repeats of one dropped key are emitted in pieces of this many rows, spread over tasks.
-REPEATS_PER_PIECE = 100_000
+from tidescore.functions.columns import as_list, tag_dropped
+from tidescore.operators.skew import MAX_KEY_ROWS, anti_join
 
 
 class CoverageError(RuntimeError):
@@ -36,10 +33,13 @@ def coverage(kernel: DataFrame, output: DataFrame, key: str | Sequence[str] | No
         counts = sides.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("kernel_count"),
                            F.coalesce(F.sum(1 - F.col("k")), F.lit(0)).alias("output_count"))
     else:
-        per_key = _rows_per_key([kernel, output], as_list(key))
-        matched = F.sum(F.when(F.col("n_1") > 0, F.col("n_0")).otherwise(0))
-        counts = per_key.agg(F.coalesce(F.sum("n_0"), F.lit(0)).alias("kernel_count"),
-                             F.coalesce(F.sum("n_1"), F.lit(0)).alias("output_count"),
+        keys = as_list(key)
+        sides = (kernel.select(*keys, F.lit(1).alias("k"), F.lit(0).alias("o"))
+                 .unionAll(output.select(*keys, F.lit(0), F.lit(1))))
+        per_key = sides.groupBy(*keys).agg(F.sum("k").alias("k"), F.sum("o").alias("o"))
+        matched = F.sum(F.when(F.col("o") > 0, F.col("k")))
+        counts = per_key.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("kernel_count"),
+                             F.coalesce(F.sum("o"), F.lit(0)).alias("output_count"),
                              F.coalesce(matched, F.lit(0)).alias("matched_count"))
     pct = F.try_divide(F.col("output_count").cast("double"), F.col("kernel_count")) * 100
     return (counts.withColumn("pct", pct)
@@ -57,43 +57,33 @@ def require_coverage(kernel: DataFrame, output: DataFrame, threshold: float = 99
     return row
 
 
-def _rows_per_key(frames: Sequence[DataFrame], keys: list[str]) -> DataFrame:
-    """Row counts n_0, n_1, ... of every key in every frame, null being a key too.
+def _except(kernel: DataFrame, output: DataFrame, keys: list[str]) -> DataFrame:
+    """Every kernel key that the output lacks, once; null equals null.
 
-    One shuffle of the keys, in which repeats are already combined, so a hot key costs one row per task.
+    One aggregation and no join: repeats are combined before the shuffle, so that a hot key costs one row
+    per task on either side.
     """
-    ones = [
-        frame.select(*keys, *[F.lit(int(i == j)).cast("bigint").alias(f"n_{j}") for j in range(len(frames))])
-        for i, frame in enumerate(frames)
-    ]
-    stacked = reduce(DataFrame.unionAll, ones)
-    return stacked.groupBy(*keys).agg(*[F.sum(f"n_{j}").alias(f"n_{j}") for j in range(len(frames))])
+    sides = (kernel.select(*keys, F.lit(1).alias("side"))
+             .unionAll(output.select(*keys, F.lit(2))))
+    return (sides.groupBy(*keys).agg(F.bit_or("side").alias("sides"))
+            .filter(F.col("sides") == 1).select(*keys))
 
 
-def _not_in_rule(right: DataFrame, key: str) -> Column:
-    """Whether a left key that has no equal on the right passes ``key NOT IN (right)``.
+def _not_in(kernel: DataFrame, output: DataFrame, key: str, max_key_rows: int | None) -> DataFrame:
+    """Kernel keys NOT IN the output, repeats kept: an empty output keeps everything, null keys too, and one
+    with a null keeps nothing.
 
-    An empty right side passes everything, null included; a null on the right passes nothing.
+    Spark's own NOT IN broadcasts the output whatever its size. Here the nulls are counted by a scalar
+    subquery, which lets an ordinary anti-join do the rest.
     """
-    stats = right.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count(key).alias("n_known"))).scalar()
-    return (stats["n"] == 0) | ((stats["n"] == stats["n_known"]) & F.col(key).isNotNull())
-
-
-def _repeat_rows(counted: DataFrame, n: str) -> DataFrame:
-    """Each row ``n`` times. A long run is cut into pieces that different tasks emit."""
-    spark = counted.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    columns = [name for name in counted.columns if name != n]
-    pieces = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(n) - 1) / REPEATS_PER_PIECE).cast("bigint"))
-    size = F.least(F.col(n) - F.col("_piece") * REPEATS_PER_PIECE, F.lit(REPEATS_PER_PIECE)).cast("int")
-    return (counted.withColumn("_piece", F.explode(pieces))
-            .repartition(tasks, *columns, "_piece")
-            .withColumn("_copy", F.explode(F.array_repeat(F.lit(True), size)))
-            .select(*columns))
+    stats = output.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count(key).alias("n_known"))).scalar()
+    possible = (stats["n"] == 0) | ((stats["n"] == stats["n_known"]) & F.col(key).isNotNull())
+    return anti_join(kernel.select(key).filter(possible), output, key, max_key_rows)
 
 
 def dropped_rows(kernel: DataFrame, output: DataFrame, key: str | Sequence[str], step: str,
-                 priority: float = 1.0, nulls: str = "except") -> DataFrame:
+                 priority: float = 1.0, nulls: str = "except", *,
+                 max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
     """Keys of the kernel that the output lacks, as (key, drop_step, priority).
 
     ``nulls`` picks one of three rules, which differ for repeated and null keys:
@@ -103,40 +93,27 @@ def dropped_rows(kernel: DataFrame, output: DataFrame, key: str | Sequence[str],
     """
     keys = as_list(key)
     if nulls == "except":
-        missing = (_rows_per_key([kernel, output], keys)
-                   .filter((F.col("n_0") > 0) & (F.col("n_1") == 0)).select(*keys))
-        return tag_dropped(missing, step, priority)
-    if nulls == "sql":
-        return funnel_audit([("", kernel), (step, output)], keys, priority)
-    if nulls == "keep":
-        return tag_dropped(anti_join(kernel.select(*keys), output, keys), step, priority)
-    raise ValueError(f"unknown null rule {nulls!r}: except, sql or keep")
-
-
-def funnel_audit(outputs: Sequence[tuple[str, DataFrame]], key: str | Sequence[str],
-                 priority: float = 2.0) -> DataFrame:
-    """For every step after the first, the keys of the previous output NOT IN its own output.
-
-    All steps are counted in one shuffle, each output's keys going through it once, also those of outputs
-    that are the right side of one pair and the left side of the next.
-    """
-    keys = as_list(key)
-    if len(keys) != 1:
-        raise ValueError("NOT IN is defined for one key column")
+        missing = _except(kernel, output, keys)
+    elif nulls == "sql":
+        if len(keys) != 1:
+            raise ValueError("NOT IN is defined for one key column")
+        missing = _not_in(kernel, output, keys[0], max_key_rows)
+    elif nulls == "keep":
+        missing = anti_join(kernel.select(*keys), output, keys, max_key_rows)
+    else:
+        raise ValueError(f"unknown null rule {nulls!r}: except, sql or keep")
+    return tag_dropped(missing, step, priority)
+
+
+def funnel_audit(outputs: Sequence[tuple[str, DataFrame]], key: str, priority: float = 2.0, *,
+                 max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
+    """For every step after the first, the keys of the previous output NOT IN its own output."""
     if len(outputs) < 2:
         raise ValueError("a funnel needs at least two outputs")
-    name = keys[0]
-    frames = [frame for _, frame in outputs]
-    per_key = _rows_per_key(frames, keys)
-    drops = []
-    for i in range(1, len(outputs)):
-        missing = (F.col(f"n_{i}") == 0) & _not_in_rule(frames[i], name)
-        drops.append(F.struct(F.lit(outputs[i][0]).alias("drop_step"),
-                              F.when(missing, F.col(f"n_{i - 1}")).otherwise(0).alias("n")))
-    counted = (per_key.select(name, F.explode(F.array(*drops)).alias("d"))
-               .select(name, "d.drop_step", F.lit(float(priority)).alias("priority"), F.col("d.n").alias("n"))
-               .filter(F.col("n") > 0))
-    return _repeat_rows(counted, "n")
+    pairs = zip(outputs, outputs[1:])
+    return reduce(DataFrame.unionAll, [
+        dropped_rows(before, after, key, step, priority, "sql", max_key_rows=max_key_rows)
+        for (_, before), (step, after) in pairs])
 
 
 def validate_results(kernel: DataFrame, output: DataFrame, key: str | Sequence[str], step: str,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidescore.functions.columns import as_list, cap_rows
-from tidescore.operators.skew import anti_join
+from tidescore.operators.skew import MAX_KEY_ROWS, anti_join
 from tidescore.sources.tables import drop_tables, insert_rows, store, table_exists
 
 # Fixed values of the registry: source number, endpoint and priority.
@@ -28,9 +28,9 @@ def seen_since(evid: int, since, until=None, *, evid_column: str = "evid",
 
 
 def exclude_seen(df: DataFrame, seen: DataFrame, key: str | Sequence[str],
-                 where: Column | None = None) -> DataFrame:
+                 where: Column | None = None, *, max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
     """Rows whose key is not among the seen ones; repeated rows and rows with a null key stay."""
-    return anti_join(df, seen if where is None else seen.filter(where), key)
+    return anti_join(df, seen if where is None else seen.filter(where), key, max_key_rows)
 
 
 def events_to_write(df: DataFrame, key: str | Sequence[str], seen: DataFrame | None = None,

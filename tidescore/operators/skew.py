@@ -15,8 +15,8 @@ from tidescore.sources.scratch import shared_dir
 MAX_KEY_ROWS = 1_000_000
 # Nothing larger than this is broadcast by our own hints.
 MAX_BROADCAST_BYTES = 64 << 20
-# Copies of a repeated key that may remain after thin_keys.
-THIN_COPIES = 64
+# Rows of a hot key that the sample which looks for hot keys is expected to hold.
+SAMPLE_HITS = 1000
 
 
 def _bytes_of(field: T.StructField):
@@ -28,14 +28,13 @@ def _bytes_of(field: T.StructField):
     return F.lit(16)
 
 
-def is_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+def is_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES, rows: int | None = None) -> bool:
     """Whether the frame's measured size is within the broadcast bound.
 
-    The row count alone settles it for large frames, without reading a column.
+    The row count, which the caller may know, settles it for large frames without reading a column.
     """
-    least = 16 * len(df.columns)
-    rows = df.count()
-    if rows * least > max_bytes:
+    rows = df.count() if rows is None else rows
+    if rows * 16 * len(df.columns) > max_bytes:
         return False
     fixed = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
     if not any(isinstance(field.dataType, fixed) for field in df.schema.fields):
@@ -52,23 +51,31 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> D
     return F.broadcast(df) if is_small(df, max_bytes) else df
 
 
-def hot_keys(df: DataFrame, key: str | Sequence[str],
-             max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame | None:
-    """Keys with more than ``max_key_rows`` rows and their row counts, or None if there are none.
+def hot_keys(df: DataFrame, key: str | Sequence[str], max_key_rows: int | None = MAX_KEY_ROWS,
+             rows: int | None = None) -> DataFrame | None:
+    """Keys with more than ``max_key_rows`` rows and their estimated row counts, or None if there are none.
 
-    At most count / max_key_rows keys can qualify. The count reads the key columns only and is combined
-    before its shuffle; a frame that is not longer than the limit is settled by its row count. A limit of
-    None is the caller's word that no key is hot, and nothing is counted.
+    A frame that is not longer than the limit is settled by its row count. Otherwise the keys are looked for
+    in a sample of the key columns, so large that a key over the limit has some 1000 rows in it and one
+    with half as many is found as well; no other row leaves its task. The sample decides only which keys
+    are treated apart, and how they are treated is right for every key that occurs in the frame. At most
+    2 * count / max_key_rows keys qualify. A limit of None is the caller's word that no key is hot.
     """
     keys = as_list(key)
-    if max_key_rows is None or df.count() <= max_key_rows:
+    if max_key_rows is None:
+        return None
+    rows = df.count() if rows is None else rows
+    if rows <= max_key_rows:
         return None
     shared_dir(df.sparkSession)
-    counted = (df.select(*keys).filter(~any_null(keys))
-               .groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-               .filter(F.col("n_rows") > max_key_rows)
-               .checkpoint())
-    return None if counted.isEmpty() else counted
+    fraction = min(1.0, SAMPLE_HITS / max_key_rows)
+    least = max_key_rows if fraction == 1.0 else fraction * max_key_rows / 2
+    known = df.select(*keys).filter(~any_null(keys))
+    known = known if fraction == 1.0 else known.sample(fraction, seed=1)
+    found = (known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
+             .select(*keys, (F.col("n") / fraction).cast("bigint").alias("n_rows"))
+             .checkpoint())
+    return None if found.isEmpty() else found
 
 
 def left_join(left: DataFrame, right: DataFrame, key: str | Sequence[str],
@@ -89,20 +96,17 @@ def left_join(left: DataFrame, right: DataFrame, key: str | Sequence[str],
     return cold_rows.unionByName(hot_rows)
 
 
-def thin_keys(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Key columns with at most THIN_COPIES copies per key, for the right side of a semi or anti join.
+def anti_join(left: DataFrame, right: DataFrame, key: str | Sequence[str],
+              max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
+    """Left rows without a partner. Repeated left rows and left rows with a null key are kept.
 
-    Grouping by a part number as well keeps the result free of a partitioning by the key alone. The join
-    then shuffles both of its sides itself, which is what lets adaptive execution split a hot left key.
+    Hot left keys are split by adaptive execution. Hot right keys are taken out of both sides before the
+    join: they occur on the right, so none of their left rows is in the result.
     """
     keys = as_list(key)
-    part = F.pmod(F.spark_partition_id(), F.lit(THIN_COPIES))
-    return (df.select(*keys).filter(~any_null(keys))
-            .withColumn("_part", part).groupBy(*keys, "_part").agg(F.lit(1).alias("_one"))
-            .select(*keys))
-
-
-def anti_join(left: DataFrame, right: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Left rows without a partner. Repeated left rows and left rows with a null key are kept."""
-    keys = as_list(key)
-    return left.join(thin_keys(right, keys), keys, "left_anti")
+    right = right.select(*keys)
+    hot = hot_keys(right, keys, max_key_rows)
+    if hot is not None:
+        hot = broadcast_if_small(hot.select(*keys))
+        left, right = left.join(hot, keys, "left_anti"), right.join(hot, keys, "left_anti")
+    return left.join(right, keys, "left_anti")
