@@ -12,6 +12,7 @@ from tidescore.operators import (
     funnel_audit,
     require_coverage,
     seen_since,
+    skew,
     validate_results,
 )
 
@@ -57,9 +58,11 @@ def test_two_key_columns(spark, rows):
 keys = st.lists(st.one_of(st.none(), st.integers(0, 4)), max_size=8)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(left=keys, right=keys)
-def test_same_as_spark_not_in_and_except(spark, rows, left, right):
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_same_as_spark_not_in_and_except(spark, rows, monkeypatch, broadcast_bytes, left, right):
+    monkeypatch.setattr(skew, "MAX_BROADCAST_BYTES", broadcast_bytes)
     kernel = spark.createDataFrame([(k,) for k in left], "k int")
     output = spark.createDataFrame([(k,) for k in right], "k int")
     not_in = spark.sql("SELECT k FROM {l} WHERE k NOT IN (SELECT k FROM {r})", l=kernel, r=output)

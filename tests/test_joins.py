@@ -23,7 +23,8 @@ def test_join_result(spark, rows):
     predictions = spark.createDataFrame([(1, "?", 0.5), (1, "?", 0.6), (9, "?", 0.9), (None, "?", 0.1)],
                                         "k int, f string, p double")
     expected = [(None, "n", None), (1, "x", 0.5), (1, "x", 0.6), (2, "y", None), (3, "z", None)]
-    for options in ({}, {"broadcast": True}, {"max_key_rows": 1}, {"max_key_rows": None}):
+    for options in ({}, {"broadcast": False}, {"broadcast": False, "max_key_rows": 1},
+                    {"broadcast": False, "max_key_rows": None}):
         assert rows(join_result(kernel, predictions, "k", "f,absent,k", **options)) == expected
     with pytest.raises(ValueError, match="both sides"):
         join_result(kernel, predictions, "k")
@@ -33,10 +34,10 @@ def test_left_join_with_hot_right_keys(spark, rows):
     left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (None, "n"), (4, "a")], "k int, l string")
     right = spark.range(30).select(F.when(F.col("id") < 20, 1).otherwise(F.col("id") % 3 + 2).cast("int").alias("k"), "id")
     plain = left.join(right, "k", "left")
-    assert rows(left_join(left, right, "k", max_key_rows=5)) == rows(plain)
+    assert rows(left_join(left, right, "k", 5, broadcast=False)) == rows(plain)
     assert sorted(hot_keys(right, "k", 5).collect()) == [(1, 20)]
     assert hot_keys(right, "k", 20) is None
-    assert hot_keys(right, "k", 30) is None
+    assert hot_keys(right, "k", None) is None
 
 
 def test_sizes(spark):
@@ -52,9 +53,8 @@ def test_sizes(spark):
 def test_fill_missing(spark, rows):
     base = spark.createDataFrame([(1, "a", None), (2, None, None), (3, None, 5), (None, None, 1)], "k int, v string, n int")
     updates = spark.createDataFrame([(1, "x", 7), (2, "y", None), (8, "z", 8), (None, "w", 3)], "k int, v string, n int")
-    for limit in (None, 1):
-        assert rows(fill_missing(base, updates, "k", "v,n", max_key_rows=limit)) == [
-            (None, None, 1), (1, "a", 7), (2, "y", None), (3, None, 5)]
+    assert rows(fill_missing(base, updates, "k", "v,n")) == [
+        (None, None, 1), (1, "a", 7), (2, "y", None), (3, None, 5)]
     assert rows(pending(base, "v").select("k")) == [(None,), (2,), (3,)]
 
 

@@ -11,8 +11,8 @@ from tidescore.operators import (
     hot_keys,
     join_result,
     left_join,
+    skew,
     upsert_newest,
-    wide,
 )
 from tidescore.sources import stage
 
@@ -25,8 +25,9 @@ SETTINGS = {
 
 
 @pytest.fixture
-def small_thresholds(spark):
+def small_thresholds(spark, monkeypatch):
     """Sizes at which a test's few rows are what gigabytes are to the defaults."""
+    monkeypatch.setattr(skew, "MAX_BROADCAST_BYTES", 1000)
     before = {name: spark.conf.get(name) for name in SETTINGS}
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
@@ -87,8 +88,7 @@ def test_hot_keys_are_found_in_a_sample(spark):
     assert hot.k == -1 and abs(hot.n_rows - 66_667) < 10_000
 
 
-def test_hot_target_key_is_split_in_an_upsert(spark, small_thresholds, skewed, even, capsys, monkeypatch):
-    monkeypatch.setattr(wide, "is_small", lambda df: False)
+def test_hot_target_key_is_split_in_an_upsert(spark, small_thresholds, skewed, even, capsys):
     target = skewed.withColumn("execution_date", F.lit("2024-01-01").cast("date"))
     delta = even.select("k", F.col("p").alias("v"), F.lit("2024-01-02").cast("date").alias("execution_date"))
     merged = upsert_newest(target, delta, "k")

@@ -41,19 +41,17 @@ def enrich_features(kernel: DataFrame, features_df: DataFrame, key: str | Sequen
     unusable = any_null(keys) | F.col(kernel_ts).isNull()
     rows = (kernel.filter(~unusable)
             .select(*keys, F.col(kernel_ts).alias("_ts"), F.struct(*columns).alias("_row")))
-    wanted, n_rows = rows.select(*keys), rows.count()
-    if is_small(wanted, rows=n_rows):
+    wanted = rows.select(*keys)
+    if is_small(wanted):
         facts = facts.join(F.broadcast(wanted), keys, "left_semi")
 
-    hot = None
-    if max_key_rows is not None:
-        hot = hot_keys(wanted.unionAll(facts.select(*keys)), keys, max_key_rows, n_rows + facts.count())
+    hot = hot_keys(wanted.unionAll(facts.select(*keys)), keys, max_key_rows)
     if hot is None:
         found = _by_key(rows, facts, keys)
     else:
         listed = broadcast_if_small(hot.select(*keys))
         found = _by_key(rows.join(listed, keys, "left_anti"), facts.join(listed, keys, "left_anti"), keys)
-        pieces = -(-hot.agg(F.sum("n_rows")).first()[0] // max_key_rows)
+        pieces = -(-sum(row.n_rows for row in hot.toLocalIterator()) // max_key_rows)
         found = found.unionAll(_by_range(rows.join(listed, keys, "left_semi"),
                                          facts.join(listed, keys, "left_semi"), keys, pieces,
                                          scratch or scratch_schema(kernel.sparkSession, "asof")))

@@ -8,26 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidescore.functions.columns import as_list
-from tidescore.operators.skew import MAX_KEY_ROWS, is_small, left_join
+from tidescore.operators.skew import MAX_KEY_ROWS, left_join
 
 
 def join_result(kernel: DataFrame, predictions: DataFrame, key: str | Sequence[str],
-                features: str | Sequence[str] = (), *, broadcast: bool = False,
+                features: str | Sequence[str] = (), *, broadcast: bool = True,
                 max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
     """Add the prediction columns to the kernel rows.
 
     The model's feature columns are dropped from the predictions first; names that are absent are
     ignored. Kernel rows without a prediction stay, with nulls, and repeated predictions repeat the row.
-    ``broadcast`` asks for a broadcast of the predictions, which is given only if they are small.
+    Predictions of small measured size are broadcast, unless ``broadcast`` is off.
     """
     keys = as_list(key)
     predictions = predictions.drop(*[name for name in as_list(features) if name not in keys])
     shared = [name for name in predictions.columns if name in kernel.columns and name not in keys]
     if shared:
         raise ValueError(f"columns on both sides: {shared}; list them as features to drop them")
-    if broadcast and is_small(predictions):
-        return kernel.join(F.broadcast(predictions), keys, "left")
-    return left_join(kernel, predictions, keys, max_key_rows)
+    return left_join(kernel, predictions, keys, max_key_rows, broadcast)
 
 
 def fill_missing(base: DataFrame, updates: DataFrame, key: str | Sequence[str],

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidescore.functions.columns import any_null, as_list
-from tidescore.sources.scratch import shared_dir
 
 # A key with more rows than this is handled by splitting it over tasks.
 MAX_KEY_ROWS = 1_000_000
 # Nothing larger than this is broadcast by our own hints.
 MAX_BROADCAST_BYTES = 64 << 20
-# Rows of a hot key that the sample which looks for hot keys is expected to hold.
+# Rows of a key at the limit that the sample which looks for hot keys is expected to hold.
 SAMPLE_HITS = 1000
+# Keys that are treated apart, the most frequent ones; the others take the ordinary way.
+MAX_HOT_KEYS = 100_000
 
 
 def _bytes_of(field: T.StructField):
@@ -28,11 +29,12 @@ def _bytes_of(field: T.StructField):
     return F.lit(16)
 
 
-def is_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES, rows: int | None = None) -> bool:
+def is_small(df: DataFrame, max_bytes: int | None = None, rows: int | None = None) -> bool:
     """Whether the frame's measured size is within the broadcast bound.
 
     The row count, which the caller may know, settles it for large frames without reading a column.
     """
+    max_bytes = MAX_BROADCAST_BYTES if max_bytes is None else max_bytes
     rows = df.count() if rows is None else rows
     if rows * 16 * len(df.columns) > max_bytes:
         return False
@@ -46,47 +48,46 @@ def is_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES, rows: int | No
     return (df.agg(F.sum(total)).first()[0] or 0) <= max_bytes
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Hint a broadcast where the measured size allows it; otherwise leave the join to Spark."""
     return F.broadcast(df) if is_small(df, max_bytes) else df
 
 
-def hot_keys(df: DataFrame, key: str | Sequence[str], max_key_rows: int | None = MAX_KEY_ROWS,
-             rows: int | None = None) -> DataFrame | None:
+def hot_keys(df: DataFrame, key: str | Sequence[str],
+             max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame | None:
     """Keys with more than ``max_key_rows`` rows and their estimated row counts, or None if there are none.
 
-    A frame that is not longer than the limit is settled by its row count. Otherwise the keys are looked for
-    in a sample of the key columns, so large that a key over the limit has some 1000 rows in it and one
-    with half as many is found as well; no other row leaves its task. The sample decides only which keys
-    are treated apart, and how they are treated is right for every key that occurs in the frame. At most
-    2 * count / max_key_rows keys qualify. A limit of None is the caller's word that no key is hot.
+    The keys are looked for in a sample of the key columns, so large that a key at the limit has some 1000
+    rows in it and one with half as many is found as well; no other row leaves its task. The sample decides
+    only which keys are treated apart, and that treatment is right for every key that occurs in the frame.
+    The list is short: at most MAX_HOT_KEYS. A limit of None is the caller's word that no key is hot.
     """
     keys = as_list(key)
     if max_key_rows is None:
         return None
-    rows = df.count() if rows is None else rows
-    if rows <= max_key_rows:
-        return None
-    shared_dir(df.sparkSession)
     fraction = min(1.0, SAMPLE_HITS / max_key_rows)
     least = max_key_rows if fraction == 1.0 else fraction * max_key_rows / 2
     known = df.select(*keys).filter(~any_null(keys))
     known = known if fraction == 1.0 else known.sample(fraction, seed=1)
     found = (known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
-             .select(*keys, (F.col("n") / fraction).cast("bigint").alias("n_rows"))
-             .checkpoint())
-    return None if found.isEmpty() else found
+             .orderBy(F.col("n").desc()).limit(MAX_HOT_KEYS)
+             .select(*keys, (F.col("n") / fraction).cast("bigint").alias("n_rows")))
+    listed = found.collect()
+    return df.sparkSession.createDataFrame(listed, found.schema) if listed else None
 
 
 def left_join(left: DataFrame, right: DataFrame, key: str | Sequence[str],
-              max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
+              max_key_rows: int | None = MAX_KEY_ROWS, broadcast: bool = True) -> DataFrame:
     """Left equi-join that also copes with keys repeated very often on the right.
 
-    Adaptive execution splits a hot key of the left side, but of a left join's right side it cannot. The
-    rows of hot right keys are therefore joined apart: they all find a match, so an inner join does, which
-    can be split on both sides.
+    A right side of small measured size is broadcast, unless ``broadcast`` is off. Otherwise both sides are
+    shuffled. Adaptive execution then splits a hot key of the left side, but of a left join's right side it
+    cannot. The rows of hot right keys are therefore joined apart: they all find a match, so an inner join
+    does, which can be split on both sides.
     """
     keys = as_list(key)
+    if broadcast and is_small(right):
+        return left.join(F.broadcast(right), keys, "left")
     hot = hot_keys(right, keys, max_key_rows)
     if hot is None:
         return left.join(right, keys, "left")
@@ -100,11 +101,14 @@ def anti_join(left: DataFrame, right: DataFrame, key: str | Sequence[str],
               max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
     """Left rows without a partner. Repeated left rows and left rows with a null key are kept.
 
-    Hot left keys are split by adaptive execution. Hot right keys are taken out of both sides before the
-    join: they occur on the right, so none of their left rows is in the result.
+    Right keys of small measured size are broadcast. Otherwise both sides are shuffled, and hot left keys
+    are split by adaptive execution. Hot right keys are taken out of both sides before that: they occur on
+    the right, so none of their left rows is in the result.
     """
     keys = as_list(key)
     right = right.select(*keys)
+    if is_small(right):
+        return left.join(F.broadcast(right), keys, "left_anti")
     hot = hot_keys(right, keys, max_key_rows)
     if hot is not None:
         hot = broadcast_if_small(hot.select(*keys))

@@ -74,9 +74,9 @@ def join_result_query(spark, sf_dir):
 
 
 @query(JOIN_SQL)
-def join_result_broadcast(spark, sf_dir):
+def join_result_shuffled(spark, sf_dir):
     return join_result(table(spark, sf_dir, "documents"), labels_as_predictions(spark, sf_dir), "doc_id",
-                       "lang,n_chars", broadcast=True)
+                       "lang,n_chars", broadcast=False)
 
 
 @query("""
@@ -88,7 +88,7 @@ def join_result_repeated(spark, sf_dir):
     customers = (table(spark, sf_dir, "customer").filter("c_nationkey <> 7")
                  .select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey", "c_acctbal"))
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return join_result(nations, customers, "n_nationkey", max_key_rows=50)
+    return join_result(nations, customers, "n_nationkey", max_key_rows=50, broadcast=False)
 
 
 def documents_without_french(spark, sf_dir):
