@@ -5,8 +5,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidescore.operators import DuplicateKeyError, merge_into_wide, newest_per_key, read_wide, skew, upsert_newest, wide
-from tidescore.sources import scratch_schema, set_properties, table_exists
+from tidescore.operators import DuplicateKeyError, merge_into_wide, newest_per_key, read_wide, skew, upsert_newest
+from tidescore.sources import scratch_schema, set_properties, stage, table_exists
 from tidescore.sources.tables import get_property
 
 D1, D2, D3 = (dt.date(2024, 1, day) for day in (1, 2, 3))
@@ -16,7 +16,7 @@ FIELDS = "k int, v string, execution_date date"
 @pytest.fixture(params=["small delta", "large delta"])
 def delta_size(request, monkeypatch):
     if request.param == "large delta":
-        monkeypatch.setattr(wide, "is_small", lambda df: False)
+        monkeypatch.setattr(skew, "MAX_BROADCAST_BYTES", 0)
     return request.param
 
 
@@ -70,7 +70,7 @@ dates = st.one_of(st.none(), st.sampled_from([D1, D2, D3]))
 sides = st.dictionaries(st.integers(0, 6), st.tuples(st.sampled_from("ab"), dates), max_size=6)
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(old=sides, new=sides)
 def test_against_plain_python(spark, rows, delta_size, old, new):
     def frame(side):
@@ -139,6 +139,16 @@ def test_delta_that_reads_the_wide_table(spark, rows, schema):
     assert rows(read_wide(spark, name)) == [(1, "new", D2), (2, "old", D1)]
 
 
+def test_stored_delta_is_not_copied(spark, rows, schema):
+    name = f"{schema}.wide"
+    delta = stage(spark.createDataFrame([(1, "new", D2), (None, "null", D2), (3, "new", D2)], FIELDS), schema, "delta")
+    merge_into_wide(spark, name, spark.createDataFrame([(1, "old", D1), (2, "old", D1)], FIELDS), "k", buckets=64,
+                    date_updated=True)
+    merge_into_wide(spark, name, delta, "k", date_updated=True, stored=True)
+    assert rows(read_wide(spark, name).drop("date_updated")) == [
+        (None, "null", D2), (1, "new", D2), (2, "old", D1), (3, "new", D2)]
+
+
 def test_null_keys_are_spread(spark, schema):
     name = f"{schema}.wide"
     merge_into_wide(spark, name, spark.range(500).selectExpr("cast(null as int) k", "cast(id as string) v",

@@ -41,11 +41,14 @@ def enrich_features(kernel: DataFrame, features_df: DataFrame, key: str | Sequen
     unusable = any_null(keys) | F.col(kernel_ts).isNull()
     rows = (kernel.filter(~unusable)
             .select(*keys, F.col(kernel_ts).alias("_ts"), F.struct(*columns).alias("_row")))
-    wanted = rows.select(*keys)
-    if is_small(wanted):
+    wanted, n = rows.select(*keys), rows.count()
+    if is_small(wanted, rows=n):
         facts = facts.join(F.broadcast(wanted), keys, "left_semi")
 
-    hot = hot_keys(wanted.unionAll(facts.select(*keys)), keys, max_key_rows)
+    hot = None
+    if max_key_rows is not None:
+        n = n + facts.count() if n <= max_key_rows else n
+        hot = hot_keys(wanted.unionAll(facts.select(*keys)), keys, max_key_rows, n)
     if hot is None:
         found = _by_key(rows, facts, keys)
     else:

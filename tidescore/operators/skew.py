@@ -53,17 +53,18 @@ def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame
     return F.broadcast(df) if is_small(df, max_bytes) else df
 
 
-def hot_keys(df: DataFrame, key: str | Sequence[str],
-             max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame | None:
+def hot_keys(df: DataFrame, key: str | Sequence[str], max_key_rows: int | None = MAX_KEY_ROWS,
+             rows: int | None = None) -> DataFrame | None:
     """Keys with more than ``max_key_rows`` rows and their estimated row counts, or None if there are none.
 
     The keys are looked for in a sample of the key columns, so large that a key at the limit has some 1000
     rows in it and one with half as many is found as well; no other row leaves its task. The sample decides
     only which keys are treated apart, and that treatment is right for every key that occurs in the frame.
-    The list is short: at most MAX_HOT_KEYS. A limit of None is the caller's word that no key is hot.
+    The list is short: at most MAX_HOT_KEYS. A limit of None is the caller's word that no key is hot, and a
+    known row count within the limit shows it.
     """
     keys = as_list(key)
-    if max_key_rows is None:
+    if max_key_rows is None or (rows is not None and rows <= max_key_rows):
         return None
     fraction = min(1.0, SAMPLE_HITS / max_key_rows)
     least = max_key_rows if fraction == 1.0 else fraction * max_key_rows / 2
@@ -86,9 +87,10 @@ def left_join(left: DataFrame, right: DataFrame, key: str | Sequence[str],
     does, which can be split on both sides.
     """
     keys = as_list(key)
-    if broadcast and is_small(right):
+    rows = right.count()
+    if broadcast and is_small(right, rows=rows):
         return left.join(F.broadcast(right), keys, "left")
-    hot = hot_keys(right, keys, max_key_rows)
+    hot = hot_keys(right, keys, max_key_rows, rows)
     if hot is None:
         return left.join(right, keys, "left")
     hot = broadcast_if_small(hot.select(*keys))
@@ -107,9 +109,10 @@ def anti_join(left: DataFrame, right: DataFrame, key: str | Sequence[str],
     """
     keys = as_list(key)
     right = right.select(*keys)
-    if is_small(right):
+    rows = right.count()
+    if is_small(right, rows=rows):
         return left.join(F.broadcast(right), keys, "left_anti")
-    hot = hot_keys(right, keys, max_key_rows)
+    hot = hot_keys(right, keys, max_key_rows, rows)
     if hot is not None:
         hot = broadcast_if_small(hot.select(*keys))
         left, right = left.join(hot, keys, "left_anti"), right.join(hot, keys, "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidescore.functions.columns import add_date_updated, any_null, as_list, cast_date_if_present, newer
@@ -31,17 +31,22 @@ def newest_per_key(delta: DataFrame, key: str | Sequence[str], date_columns: str
     return best.unionAll(delta.filter(any_null(keys)))
 
 
-def _check_repeats(target: DataFrame, delta: DataFrame, keys: list[str]) -> None:
-    """Raise if a key that the delta repeats is in the target. Without repeats the target is not read."""
+def _refuse_matched_repeats(target: DataFrame, delta: DataFrame, keys: list[str]) -> None:
+    """Raise if a key that the delta repeats is in the target."""
     repeated = (delta.select(*keys).filter(~any_null(keys)).groupBy(*keys)
                 .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(*keys))
-    if repeated.isEmpty():
-        return
     hit = target.select(*keys).join(repeated, keys, "left_semi").limit(1).collect()
     if hit:
         raise DuplicateKeyError(f"several delta rows for key {tuple(hit[0])} of the wide table")
 
 
+def _delta_stats(delta: DataFrame, keys: list[str], group: Column) -> list[Row]:
+    """Per group the delta's rows and the most rows of one non-null key, from one pass over the keys."""
+    per_key = delta.select(*keys, group.alias("group")).groupBy(*keys, "group").agg(F.count(F.lit(1)).alias("n"))
+    return per_key.groupBy("group").agg(
+        F.sum("n").alias("n_rows"), F.max(F.when(~any_null(keys), F.col("n"))).alias("most")).collect()
+
+
 def upsert_newest(target: DataFrame, delta: DataFrame, key: str | Sequence[str],
                   date_columns: str | Sequence[str] = "execution_date", *,
                   on_duplicate: str = "error") -> DataFrame:
@@ -56,26 +61,38 @@ def upsert_newest(target: DataFrame, delta: DataFrame, key: str | Sequence[str],
     hot target keys adaptive execution can split, and not by a full outer join, where it cannot.
     """
     keys, dates = as_list(key), as_list(date_columns)
+    delta = _as_target(target, delta)
+    stats = _delta_stats(delta, keys, F.lit(0))
+    return _merge(target, delta, keys, dates, on_duplicate, stats)
+
+
+def _as_target(target: DataFrame, delta: DataFrame) -> DataFrame:
+    """The delta with the target's columns and types, taken by name."""
     absent = [name for name in target.columns if name not in delta.columns]
     if absent:
         raise ValueError(f"the delta lacks columns of the target: {absent}")
-    delta = delta.select(*[F.col(field.name).cast(field.dataType).alias(field.name)
-                           for field in target.schema.fields])
-    if on_duplicate == "newest":
-        delta = newest_per_key(delta, keys, dates)
-    elif on_duplicate == "error":
-        _check_repeats(target, delta, keys)
-    else:
+    return delta.select(*[F.col(field.name).cast(field.dataType).alias(field.name)
+                          for field in target.schema.fields])
+
+
+def _merge(target: DataFrame, delta: DataFrame, keys: list[str], dates: list[str], on_duplicate: str,
+           stats: Sequence[Row]) -> DataFrame:
+    if on_duplicate not in ("error", "newest"):
         raise ValueError(f"unknown duplicate rule {on_duplicate!r}: error or newest")
+    if any((row.most or 0) > 1 for row in stats):
+        if on_duplicate == "newest":
+            delta = newest_per_key(delta, keys, dates)
+        else:
+            _refuse_matched_repeats(target, delta, keys)
 
-    small = is_small(delta)
+    small = is_small(delta, rows=sum(row.n_rows for row in stats))
     known = delta.filter(~any_null(keys))
     # Repeats can only be of keys that the target lacks, so they cannot multiply a target row.
     incoming = known.select(*keys, F.struct(*target.columns).alias("_new"))
     joined = target.join(F.broadcast(incoming) if small else incoming, keys, "left")
     take = F.coalesce(newer([F.col(f"_new.{name}") for name in dates], [F.col(name) for name in dates]),
                       F.lit(False))
-    kept = joined.select(*[_pick(take, name, keys) for name in target.columns])
+    kept = joined.select(*[_pick(take, name, [*keys, BUCKET]) for name in target.columns])
 
     if small:
         matched = target.select(*keys).join(F.broadcast(known.select(*keys)), keys, "left_semi").distinct()
@@ -85,8 +102,8 @@ def upsert_newest(target: DataFrame, delta: DataFrame, key: str | Sequence[str],
     return kept.unionByName(added).unionByName(delta.filter(any_null(keys)))
 
 
-def _pick(take: Column, name: str, keys: list[str]) -> Column:
-    if name in keys:
+def _pick(take: Column, name: str, unchanged: list[str]) -> Column:
+    if name in unchanged:
         return F.col(name)
     return F.when(take, F.col(f"_new.{name}")).otherwise(F.col(name)).alias(name)
 
@@ -106,7 +123,7 @@ def read_wide(spark: SparkSession, name: str) -> DataFrame:
 def merge_into_wide(spark: SparkSession, name: str, delta: DataFrame, key: str | Sequence[str],
                     date_columns: str | Sequence[str] = "execution_date", *,
                     select_fields: str | Sequence[str] | None = None, date_updated: bool = False, now=None,
-                    on_duplicate: str = "error", buckets: int = 256) -> None:
+                    on_duplicate: str = "error", buckets: int = 256, stored: bool = False) -> None:
     """Merge a delta into a wide table, creating the table from the delta if it does not exist.
 
     The table is partitioned by a hash bucket of the key, and a merge reads and rewrites only the buckets
@@ -116,12 +133,17 @@ def merge_into_wide(spark: SparkSession, name: str, delta: DataFrame, key: str |
     The new content of the touched buckets is stored next to the table before the first bucket is replaced.
     If a run breaks off in between, the next merge starts by finishing that replacement, which can be
     repeated without harm because it writes whole buckets.
+
+    The delta is read several times and is therefore first written to the shared folder, unless ``stored``
+    says that it comes straight from a stored table other than this one.
     """
     keys, dates = as_list(key), as_list(date_columns)
     if select_fields:
         delta = delta.select(*as_list(select_fields))
     delta = cast_date_if_present(delta)
     if date_updated:
+        # One value for the whole merge, however often the delta is read.
+        now = spark.range(1).select(F.current_timestamp()).first()[0] if now is None else now
         delta = add_date_updated(delta, now)
 
     if not table_exists(spark, name):
@@ -132,18 +154,22 @@ def merge_into_wide(spark: SparkSession, name: str, delta: DataFrame, key: str |
 
     _finish_replacement(spark, name)
     buckets = int(get_property(spark, name, BUCKETS_PROPERTY) or buckets)
-    scratch = scratch_schema(spark, "merge")
-    # The delta is read for its buckets, its repeats and twice for the merge, and may itself read the table.
-    delta = stage(_with_bucket(delta, keys, buckets), scratch, "delta")
-    touched = [row[0] for row in delta.select(BUCKET).distinct().collect()]
-    if touched:
-        current = load(spark, name).filter(F.col(BUCKET).isin(touched))
-        merged = upsert_newest(current.drop(BUCKET), delta.drop(BUCKET), keys, dates,
-                               on_duplicate=on_duplicate)
-        (_with_bucket(merged, keys, buckets).hint("rebalance", BUCKET)
+    scratch = None if stored else scratch_schema(spark, "merge")
+    current = load(spark, name)
+    delta = _with_bucket(_as_target(current.drop(BUCKET), delta), keys, buckets)
+    if scratch:
+        delta = stage(delta, scratch, "delta")
+    stats = _delta_stats(delta, keys, F.col(BUCKET))
+    if stats:
+        within = F.col(BUCKET).isin([row.group for row in stats])
+        merged = _merge(current.filter(within), delta, keys, dates, on_duplicate, stats)
+        # A row of any other bucket would take that bucket's place, so it has to stop the merge.
+        checked = F.when(within, F.col(BUCKET)).otherwise(F.raise_error(F.lit("row outside the merged buckets")))
+        (merged.withColumn(BUCKET, checked.cast("int")).hint("rebalance", BUCKET)
          .write.format("parquet").partitionBy(BUCKET).saveAsTable(_staged_name(name)))
         _finish_replacement(spark, name)
-    drop_schema(spark, scratch)
+    if scratch:
+        drop_schema(spark, scratch)
 
 
 def _staged_name(name: str) -> str:

@@ -64,7 +64,7 @@ def store_results(df: DataFrame, key: str | Sequence[str], run_type: str | None
     if wide:
         merge_into_wide(spark, wide.table, df, key, wide.date_columns, select_fields=wide.select_fields,
                         date_updated=wide.date_updated, now=wide.now, on_duplicate=wide.on_duplicate,
-                        buckets=wide.buckets)
+                        buckets=wide.buckets, stored=stored or scratch is not None)
     if events:
         source = events.build(df) if events.build else df
         rows = events_to_write(source, key, events.seen, events.where, events.limit)
