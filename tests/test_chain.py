@@ -3,7 +3,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidescore.operators import CoverageError, read_wide, seen_since
-from tidescore.plans import Events, History, Model, Step, Wide, run_chain, sql_frame, sql_step, store_results
+from tidescore.plans import (
+    Events,
+    History,
+    Model,
+    Step,
+    Wide,
+    WorkFailed,
+    run_chain,
+    sql_frame,
+    sql_step,
+    store_results,
+    update_work_list,
+)
 from tidescore.sources import shared_dir, table_exists
 
 
@@ -100,3 +112,15 @@ def test_store_results(spark, rows, source, schema):
     assert read_wide(spark, f"{schema}.wide").columns == ["k", "n", "execution_date", "date_updated"]
     assert spark.table(f"{schema}.events").count() == 2 and spark.table(f"{schema}.registry").count() == 1
     assert shared_dir(spark) in spark.sql(f"DESCRIBE SCHEMA {schema}").filter("info_name = 'Location'").first()[1]
+
+
+def test_work_list(spark, rows, schema):
+    name = f"{schema}.work_list"
+    fields = "table_name string, enriched_table_name string"
+    spark.createDataFrame([("a", None), ("b", "old"), ("c", None)], fields).write.saveAsTable(name)
+    finished = spark.createDataFrame([("a", "new"), ("a", "new"), ("b", "new"), ("z", "new")], fields)
+    with pytest.raises(WorkFailed):
+        update_work_list(spark, name, finished, failed=True)
+    expected = [("a", "new"), ("b", "old"), ("c", None)]
+    assert rows(spark.table(name)) == expected
+    assert rows(update_work_list(spark, name, finished.limit(0))) == expected

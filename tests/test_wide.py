@@ -104,16 +104,18 @@ def test_merge_creates_then_merges(spark, rows, schema):
     assert not table_exists(spark, f"{name}__merged")
 
 
-def test_merge_leaves_other_buckets_alone(spark, rows, schema):
+@pytest.mark.parametrize("staged", [True, False])
+def test_merge_leaves_other_buckets_alone(spark, rows, schema, staged):
     name = f"{schema}.wide"
     merge_into_wide(spark, name, spark.range(200).selectExpr("cast(id as int) k", "'old' v", "DATE'2024-01-01' execution_date"),
-                    "k", buckets=16)
+                    "k", buckets=16, properties={"write.delete.mode": "merge-on-read"})
+    assert get_property(spark, name, "write.delete.mode") == "merge-on-read"
 
     def files():
         parts = read_wide(spark, name).select(F.input_file_name().alias("f")).distinct().collect()
         return {row.f for row in parts}
     before = files()
-    merge_into_wide(spark, name, spark.createDataFrame([(5, "new", D2)], FIELDS), "k")
+    merge_into_wide(spark, name, spark.createDataFrame([(5, "new", D2)], FIELDS), "k", staged=staged)
     assert len(before - files()) == 1
     assert read_wide(spark, name).count() == 200
     assert read_wide(spark, name).filter("v = 'new'").count() == 1
@@ -149,6 +151,12 @@ def test_stored_delta_is_not_copied(spark, rows, schema):
         (None, "null", D2), (1, "new", D2), (2, "old", D1), (3, "new", D2)]
 
 
+def test_other_tables_are_refused(spark, schema):
+    spark.createDataFrame([(1, "x", D1)], FIELDS).write.saveAsTable(f"{schema}.plain")
+    with pytest.raises(ValueError, match="not created as a wide table"):
+        merge_into_wide(spark, f"{schema}.plain", spark.createDataFrame([(1, "y", D2)], FIELDS), "k")
+
+
 def test_null_keys_are_spread(spark, schema):
     name = f"{schema}.wide"
     merge_into_wide(spark, name, spark.range(500).selectExpr("cast(null as int) k", "cast(id as string) v",

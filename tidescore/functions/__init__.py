@@ -5,6 +5,7 @@ from tidescore.functions.columns import (
     as_list,
     cap_rows,
     cast_date_if_present,
+    choose,
     epoch_ms_to_ntz,
     newer,
     nullify,
@@ -21,6 +22,7 @@ __all__ = [
     "as_list",
     "cap_rows",
     "cast_date_if_present",
+    "choose",
     "epoch_ms_to_ntz",
     "inline_rows",
     "newer",

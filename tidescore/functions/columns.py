@@ -18,6 +18,13 @@ def as_list(names: str | Sequence[str] | None) -> list[str]:
     return list(dict.fromkeys(name for name in names if name))
 
 
+def choose(df: DataFrame, columns: str | Sequence[str | Column] | None) -> DataFrame:
+    """The chosen columns, given as names or as expressions, or the frame as it is."""
+    if not columns:
+        return df
+    return df.select(*(as_list(columns) if isinstance(columns, str) else columns))
+
+
 def any_null(key: str | Sequence[str]) -> Column:
     """True where at least one key column is null, so that the row can match nothing."""
     columns = as_list(key)

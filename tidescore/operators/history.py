@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
-from tidescore.functions.columns import add_nulls, as_list, nullify, stamp_run
+from tidescore.functions.columns import add_nulls, as_list, choose, nullify, stamp_run
 from tidescore.sources.tables import store, table_exists
 
 DATE = "execution_date"
@@ -14,19 +14,17 @@ RUN = "run_type"
 
 
 def history_rows(df: DataFrame, run_type: str | None = None, execution_date=None, *,
-                 columns: str | Sequence[str] | None = None,
+                 columns: str | Sequence[str | Column] | None = None,
                  nulls: Mapping[str, str] | None = None) -> DataFrame:
     """The rows as the history stores them: chosen columns, run stamp, typed nulls, blanks as null.
 
     The columns are chosen before stamping, so a given date or run type is never lost.
     """
-    if columns:
-        df = df.select(*as_list(columns))
-    return nullify(add_nulls(stamp_run(df, run_type, execution_date, DATE), nulls))
+    return nullify(add_nulls(stamp_run(choose(df, columns), run_type, execution_date, DATE), nulls))
 
 
 def append_to_history(df: DataFrame, table: str, run_type: str | None = None, execution_date=None, *,
-                      columns: str | Sequence[str] | None = None, nulls: Mapping[str, str] | None = None,
+                      columns: str | Sequence[str | Column] | None = None, nulls: Mapping[str, str] | None = None,
                       sort_by: str | Sequence[str] | None = None, replace_run: bool = False) -> None:
     """Append a run to the history table, partitioned by execution date.
 

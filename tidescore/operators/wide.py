@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tidescore.functions.columns import add_date_updated, any_null, as_list, cast_date_if_present, newer
-from tidescore.operators.skew import anti_join, is_small
+from tidescore.functions.columns import add_date_updated, any_null, as_list, cast_date_if_present, choose, newer
+from tidescore.operators.skew import anti_join, is_small, left_join
 from tidescore.sources.scratch import drop_schema, dynamic_overwrite, scratch_schema, stage
-from tidescore.sources.tables import drop_tables, get_property, load, set_properties, table_exists
+from tidescore.sources.tables import drop_tables, ensure_table, get_property, load, table_exists
 
 BUCKET = "wt_bucket"
 BUCKETS_PROPERTY = "wide.buckets"
@@ -89,7 +89,8 @@ def _merge(target: DataFrame, delta: DataFrame, keys: list[str], dates: list[str
     known = delta.filter(~any_null(keys))
     # Repeats can only be of keys that the target lacks, so they cannot multiply a target row.
     incoming = known.select(*keys, F.struct(*target.columns).alias("_new"))
-    joined = target.join(F.broadcast(incoming) if small else incoming, keys, "left")
+    joined = (target.join(F.broadcast(incoming), keys, "left") if small
+              else left_join(target, incoming, keys, broadcast=False))
     take = F.coalesce(newer([F.col(f"_new.{name}") for name in dates], [F.col(name) for name in dates]),
                       F.lit(False))
     kept = joined.select(*[_pick(take, name, [*keys, BUCKET]) for name in target.columns])
@@ -122,8 +123,9 @@ def read_wide(spark: SparkSession, name: str) -> DataFrame:
 
 def merge_into_wide(spark: SparkSession, name: str, delta: DataFrame, key: str | Sequence[str],
                     date_columns: str | Sequence[str] = "execution_date", *,
-                    select_fields: str | Sequence[str] | None = None, date_updated: bool = False, now=None,
-                    on_duplicate: str = "error", buckets: int = 256, stored: bool = False) -> None:
+                    select_fields: str | Sequence[str | Column] | None = None, date_updated: bool = False,
+                    now=None, on_duplicate: str = "error", buckets: int = 256, stored: bool = False,
+                    staged: bool = True, properties: Mapping[str, str] | None = None) -> None:
     """Merge a delta into a wide table, creating the table from the delta if it does not exist.
 
     The table is partitioned by a hash bucket of the key, and a merge reads and rewrites only the buckets
@@ -132,28 +134,32 @@ def merge_into_wide(spark: SparkSession, name: str, delta: DataFrame, key: str |
 
     The new content of the touched buckets is stored next to the table before the first bucket is replaced.
     If a run breaks off in between, the next merge starts by finishing that replacement, which can be
-    repeated without harm because it writes whole buckets.
+    repeated without harm because it writes whole buckets. ``staged=False`` writes the buckets only once;
+    lost executors do no harm then either, but a driver that is lost during the final renames does.
 
     The delta is read several times and is therefore first written to the shared folder, unless ``stored``
-    says that it comes straight from a stored table other than this one.
+    says that it comes straight from a stored table other than this one. ``select_fields`` may hold
+    expressions, and ``properties`` are given to the table when it is created.
     """
     keys, dates = as_list(key), as_list(date_columns)
-    if select_fields:
-        delta = delta.select(*as_list(select_fields))
-    delta = cast_date_if_present(delta)
+    delta = cast_date_if_present(choose(delta, select_fields))
     if date_updated:
         # One value for the whole merge, however often the delta is read.
         now = spark.range(1).select(F.current_timestamp()).first()[0] if now is None else now
         delta = add_date_updated(delta, now)
 
     if not table_exists(spark, name):
-        (_with_bucket(delta, keys, buckets).hint("rebalance", BUCKET)
-         .write.format("parquet").partitionBy(BUCKET).saveAsTable(name))
-        set_properties(spark, name, {BUCKETS_PROPERTY: str(buckets)})
+        first = _with_bucket(delta, keys, buckets)
+        ensure_table(spark, name, first.schema, partition_by=BUCKET,
+                     properties={**(properties or {}), BUCKETS_PROPERTY: str(buckets)})
+        first.hint("rebalance", BUCKET).write.insertInto(name)
         return
 
+    buckets = get_property(spark, name, BUCKETS_PROPERTY)
+    if buckets is None:
+        raise ValueError(f"{name} was not created as a wide table")
+    buckets = int(buckets)
     _finish_replacement(spark, name)
-    buckets = int(get_property(spark, name, BUCKETS_PROPERTY) or buckets)
     scratch = None if stored else scratch_schema(spark, "merge")
     current = load(spark, name)
     delta = _with_bucket(_as_target(current.drop(BUCKET), delta), keys, buckets)
@@ -165,9 +171,13 @@ def merge_into_wide(spark: SparkSession, name: str, delta: DataFrame, key: str |
         merged = _merge(current.filter(within), delta, keys, dates, on_duplicate, stats)
         # A row of any other bucket would take that bucket's place, so it has to stop the merge.
         checked = F.when(within, F.col(BUCKET)).otherwise(F.raise_error(F.lit("row outside the merged buckets")))
-        (merged.withColumn(BUCKET, checked.cast("int")).hint("rebalance", BUCKET)
-         .write.format("parquet").partitionBy(BUCKET).saveAsTable(_staged_name(name)))
-        _finish_replacement(spark, name)
+        merged = merged.withColumn(BUCKET, checked.cast("int")).hint("rebalance", BUCKET)
+        if staged:
+            merged.write.format("parquet").partitionBy(BUCKET).saveAsTable(_staged_name(name))
+            _finish_replacement(spark, name)
+        else:
+            with dynamic_overwrite(spark):
+                merged.write.mode("overwrite").insertInto(name)
     if scratch:
         drop_schema(spark, scratch)
 

@@ -1,5 +1,6 @@
 from tidescore.plans.steps import ChainResult, Model, Step, run_chain, sql_frame, sql_step
 from tidescore.plans.store import Events, History, Wide, store_results
+from tidescore.plans.work_list import WorkFailed, update_work_list
 
 __all__ = [
     "ChainResult",
@@ -8,8 +9,10 @@ __all__ = [
     "Model",
     "Step",
     "Wide",
+    "WorkFailed",
     "run_chain",
     "sql_frame",
     "sql_step",
     "store_results",
+    "update_work_list",
 ]

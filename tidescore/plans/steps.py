@@ -102,7 +102,7 @@ def run_chain(spark: SparkSession, source: DataFrame | str, steps: Sequence[Step
     source = load(spark, source) if isinstance(source, str) else source
     key_type = source.schema[key].dataType.simpleString()
     dropped_table = f"{schema}.dropped_rows"
-    ensure_table(spark, dropped_table, f"{key} {key_type}, drop_step string, priority double")
+    ensure_table(spark, dropped_table, f"`{key}` {key_type}, drop_step string, priority double")
 
     outputs: dict[str, DataFrame] = {}
     rows: dict[str, Row] = {}

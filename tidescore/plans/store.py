@@ -16,7 +16,7 @@ from tidescore.sources.scratch import drop_schema, scratch_schema, stage
 @dataclass(frozen=True)
 class History:
     table: str
-    columns: Sequence[str] | None = None
+    columns: Sequence[str | Column] | None = None
     nulls: Mapping[str, str] | None = None
     sort_by: Sequence[str] | None = None
     replace_run: bool = False
@@ -26,11 +26,12 @@ class History:
 class Wide:
     table: str
     date_columns: str | Sequence[str] = "execution_date"
-    select_fields: Sequence[str] | None = None
+    select_fields: Sequence[str | Column] | None = None
     date_updated: bool = True
     now: object = None
     on_duplicate: str = "error"
     buckets: int = 256
+    staged: bool = True
 
 
 @dataclass(frozen=True)
@@ -64,7 +65,7 @@ def store_results(df: DataFrame, key: str | Sequence[str], run_type: str | None
     if wide:
         merge_into_wide(spark, wide.table, df, key, wide.date_columns, select_fields=wide.select_fields,
                         date_updated=wide.date_updated, now=wide.now, on_duplicate=wide.on_duplicate,
-                        buckets=wide.buckets, stored=stored or scratch is not None)
+                        buckets=wide.buckets, stored=stored or scratch is not None, staged=wide.staged)
     if events:
         source = events.build(df) if events.build else df
         rows = events_to_write(source, key, events.seen, events.where, events.limit)

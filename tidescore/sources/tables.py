@@ -37,9 +37,12 @@ def store(df: DataFrame, name: str, mode: str = "overwrite",
         writer.saveAsTable(name)
 
 
+def _pairs(properties: Mapping[str, str]) -> str:
+    return ", ".join(f"'{key}' = '{value}'" for key, value in properties.items())
+
+
 def set_properties(spark: SparkSession, name: str, properties: Mapping[str, str]) -> None:
-    pairs = ", ".join(f"'{key}' = '{value}'" for key, value in properties.items())
-    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({pairs})")
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({_pairs(properties)})")
 
 
 def get_property(spark: SparkSession, name: str, key: str) -> str | None:
@@ -74,11 +77,15 @@ def create_table_with(spark: SparkSession, build: Callable[..., DataFrame], inpu
     return create_table(spark, load(spark, input_table).transform(build, **arguments), name)
 
 
-def ensure_table(spark: SparkSession, name: str, schema: T.StructType | str) -> DataFrame:
+def ensure_table(spark: SparkSession, name: str, schema: T.StructType | str, *,
+                 partition_by: str | Sequence[str] | None = None,
+                 properties: Mapping[str, str] | None = None) -> DataFrame:
     """Create an empty table with a declared schema unless it exists."""
     if not table_exists(spark, name):
         fields = schema if isinstance(schema, str) else schema.toDDL()
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({fields}) USING parquet")
+        parts = f" PARTITIONED BY ({', '.join(as_list(partition_by))})" if partition_by else ""
+        tags = f" TBLPROPERTIES ({_pairs(properties)})" if properties else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({fields}) USING parquet{parts}{tags}")
     return load(spark, name)
 
 

@@ -12,6 +12,7 @@ from tidescore.operators import (
     score_with_columns,
     snapshot_max_ts,
 )
+from tidescore.plans import update_work_list
 from tidescore.sources import create_table, scratch_schema
 from workload.registry import query, table
 
@@ -128,13 +129,11 @@ def work_list_update(spark, sf_dir):
     schema = scratch_schema(spark, "query")
     listed = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("table_name")).agg(
         F.lit(None).cast("string").alias("enriched_table_name"), F.count(F.lit(1)).alias("n_rows"))
-    work_list = create_table(spark, listed, f"{schema}.work_list")
+    create_table(spark, listed, f"{schema}.work_list")
     finished = inline_rows(spark, [("BUILDING", "enriched_building"), ("HOUSEHOLD", "enriched_household"),
                                    ("BUILDING", "enriched_building"), ("GONE", "enriched_gone")],
                            "table_name string, enriched_table_name string")
-    filled = fill_missing(pending(work_list, "enriched_table_name"), finished, "table_name",
-                          "enriched_table_name")
-    return create_table(spark, filled, f"{schema}.work_list", swap=True)
+    return update_work_list(spark, f"{schema}.work_list", finished)
 
 
 @query("SELECT l_partkey AS k FROM lineitem UNION SELECT l_suppkey FROM lineitem UNION SELECT c_custkey FROM customer")

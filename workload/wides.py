@@ -120,3 +120,20 @@ def merge_into_wide_part(spark, sf_dir):
     early = F.when(F.col("known"), F.lit("1900-01-01").cast("date")).otherwise(F.col("execution_date"))
     merge_into_wide(spark, name, old.withColumn("execution_date", early).drop("known"), "custkey")
     return read_wide(spark, name)
+
+
+@query("""
+    SELECT o_orderkey AS k, upper(o_orderstatus) AS language, CAST(o_orderdate AS DATE) AS site_change_date
+    FROM orders WHERE o_orderkey % 2 = 0
+    UNION ALL
+    SELECT o_orderkey, 'new', CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 2 = 1 AND o_totalprice > 200000""")
+def merge_into_wide_reshaped(spark, sf_dir):
+    """Renamed columns and a date from text on the way into the table, written only once."""
+    name = f"{scratch_schema(spark, 'query')}.wide"
+    orders = table(spark, sf_dir, "orders").withColumn("revision_date", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    shape = [F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("language"),
+             F.to_date("revision_date").alias("site_change_date")]
+    new = orders.filter("o_orderkey % 2 = 0 OR o_totalprice > 200000").withColumn("o_orderstatus", F.lit("new"))
+    for rows in (orders.filter("o_orderkey % 2 = 0"), new):
+        merge_into_wide(spark, name, rows, "k", "site_change_date", select_fields=shape, buckets=8, staged=False)
+    return read_wide(spark, name)
