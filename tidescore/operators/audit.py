@@ -73,12 +73,16 @@ def _not_in(kernel: DataFrame, output: DataFrame, key: str, max_key_rows: int |
     """Kernel keys NOT IN the output, repeats kept: an empty output keeps everything, null keys too, and one
     with a null keeps nothing.
 
-    Spark's own NOT IN broadcasts the output whatever its size. Here the nulls are counted by a scalar
-    subquery, which lets an ordinary anti-join do the rest.
+    Spark's own NOT IN broadcasts the output whatever its size. Here the output's rows and nulls are counted
+    first, and an ordinary anti-join does the rest.
     """
-    stats = output.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count(key).alias("n_known"))).scalar()
-    possible = (stats["n"] == 0) | ((stats["n"] == stats["n_known"]) & F.col(key).isNotNull())
-    return anti_join(kernel.select(key).filter(possible), output, key, max_key_rows)
+    counts = output.agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("n_known")).first()
+    keys = kernel.select(key)
+    if counts.n == 0:
+        return keys
+    if counts.n_known < counts.n:
+        return keys.limit(0)
+    return anti_join(keys.filter(F.col(key).isNotNull()), output, key, max_key_rows, counts.n)
 
 
 def dropped_rows(kernel: DataFrame, output: DataFrame, key: str | Sequence[str], step: str,

@@ -100,16 +100,17 @@ def left_join(left: DataFrame, right: DataFrame, key: str | Sequence[str],
 
 
 def anti_join(left: DataFrame, right: DataFrame, key: str | Sequence[str],
-              max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
+              max_key_rows: int | None = MAX_KEY_ROWS, rows: int | None = None) -> DataFrame:
     """Left rows without a partner. Repeated left rows and left rows with a null key are kept.
 
     Right keys of small measured size are broadcast. Otherwise both sides are shuffled, and hot left keys
     are split by adaptive execution. Hot right keys are taken out of both sides before that: they occur on
-    the right, so none of their left rows is in the result.
+    the right, so none of their left rows is in the result. ``rows`` is the right side's row count, if the
+    caller has it.
     """
     keys = as_list(key)
     right = right.select(*keys)
-    rows = right.count()
+    rows = right.count() if rows is None else rows
     if is_small(right, rows=rows):
         return left.join(F.broadcast(right), keys, "left_anti")
     hot = hot_keys(right, keys, max_key_rows, rows)

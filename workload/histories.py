@@ -14,7 +14,7 @@ def history_by_date_column(spark, sf_dir):
     name = f"{scratch_schema(spark, 'query')}.history"
     events = table(spark, sf_dir, "events").withColumn("execution_date", F.col("ts"))
     append_to_history(events, name, "daily",
-                      columns="event_id,user_id,event_type,value,execution_date", sort_by="event_id")
+                      columns="event_id,user_id,event_type,value,execution_date")
     return spark.table(name)
 
 
