@@ -98,7 +98,8 @@ def test_sql_templates(spark, source):
 
 def test_store_results(spark, rows, source, schema):
     df = source.withColumn("execution_date", F.lit("2024-01-01"))
-    seen = spark.createDataFrame([(1, 5)], "k bigint, evid int").withColumn("date_created", F.lit("2024-01-03").cast("timestamp_ntz"))
+    created = F.lit("2024-01-03").cast("timestamp_ntz")
+    seen = spark.createDataFrame([(1, 5)], "k bigint, evid int").withColumn("date_created", created)
     places = dict(
         history=History(f"{schema}.history", columns=["k", "execution_date"]),
         wide=Wide(f"{schema}.wide", select_fields=["k", "n", "execution_date"], buckets=2),

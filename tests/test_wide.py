@@ -107,8 +107,8 @@ def test_merge_creates_then_merges(spark, rows, schema):
 @pytest.mark.parametrize("staged", [True, False])
 def test_merge_leaves_other_buckets_alone(spark, rows, schema, staged):
     name = f"{schema}.wide"
-    merge_into_wide(spark, name, spark.range(200).selectExpr("cast(id as int) k", "'old' v", "DATE'2024-01-01' execution_date"),
-                    "k", buckets=16, properties={"write.delete.mode": "merge-on-read"})
+    first = spark.range(200).selectExpr("cast(id as int) k", "'old' v", "DATE'2024-01-01' execution_date")
+    merge_into_wide(spark, name, first, "k", buckets=16, properties={"write.delete.mode": "merge-on-read"})
     assert get_property(spark, name, "write.delete.mode") == "merge-on-read"
 
     def files():

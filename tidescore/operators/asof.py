@@ -42,8 +42,10 @@ def enrich_features(kernel: DataFrame, features_df: DataFrame, key: str | Sequen
     rows = (kernel.filter(~unusable)
             .select(*keys, F.col(kernel_ts).alias("_ts"), F.struct(*columns).alias("_row")))
     wanted = rows.select(*keys)
-    hot = hot_keys(wanted.unionAll(facts.select(*keys)), keys, max_key_rows)
-    if is_small(wanted):
+    n_kernel = kernel.count()
+    n_both = n_kernel + features_df.count() if n_kernel <= (max_key_rows or 0) else None
+    hot = hot_keys(wanted.unionAll(facts.select(*keys)), keys, max_key_rows, n_both)
+    if is_small(wanted, rows=n_kernel):
         facts = facts.join(F.broadcast(wanted), keys, "left_semi")
 
     if hot is None:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidescore.functions.columns import as_list, cap_rows
+from tidescore.functions.columns import cap_rows
 from tidescore.operators.skew import MAX_KEY_ROWS, anti_join
 from tidescore.sources.tables import drop_tables, insert_rows, store, table_exists
 
