@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,18 +50,6 @@ def store(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of that many rows for the plans built inside; long texts then need little memory."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
-
-
 def sample_by_class(df: DataFrame, label: str, id_col: str, max_rows: int) -> DataFrame:
     """About ``max_rows`` rows, shared evenly over the classes, chosen by a hash of the id.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidescore.llm import language
+from tidescore.llm import bpe, language, secrets, simhash
 from tidescore.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,18 @@ def query(function):
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(documents(spark, sf_dir))
+
+
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(documents(spark, sf_dir))
+
+
+@query
+def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded_digests(documents(spark, sf_dir))
