@@ -108,7 +108,7 @@ class Encoder:
         vocabulary = pa.table({"token": np.fromiter(ranks.values(), np.int32),
                                "entry": [entry.hex() for entry in ranks]})
         self.byte = np.array([ranks[bytes([value])] for value in range(256)], np.int32)
-        self.database = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.database = duckdb.connect(config={"threads": 1, "memory_limit": "4GB", "temp_directory": ""})
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
             self.database.register("rows", rows)
             self.database.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")

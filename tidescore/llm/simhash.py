@@ -57,10 +57,13 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-@F.pandas_udf("bigint")
-def fingerprint_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series(np.array([fingerprint(text) for text in texts], np.uint64).view(np.int64))
+def fingerprint_of(text: Column) -> Column:
+    """The fingerprint as a signed number, since Spark has no unsigned ones."""
+    @F.pandas_udf("bigint")
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint(text) for text in texts], np.uint64).view(np.int64))
+    return apply(text)
 
 
 def _block_keys(value: Column) -> Column:
@@ -161,7 +164,7 @@ def link(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``."""
     rows = id_and_text(docs, id_col, text_col)
-    prints = store(rows.select("doc_id", fingerprint_of("text").alias("value")), folder(docs.sparkSession, "prints"))
+    prints = store(rows.select("doc_id", fingerprint_of(F.col("text")).alias("value")), folder(docs.sparkSession, "prints"))
     return prints.join(link(prints), "value").select(
         "doc_id", F.lpad(F.lower(F.hex("value")), 16, "0").alias("fingerprint"), "component_id")
 
