@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidescore.llm import bpe, language, secrets, simhash
-from tidescore.llm.common import documents
+from tidescore.llm import bpe, language, lines, packing, quality, search, secrets, simhash, toxicity, training_order
+from tidescore.llm.common import documents, folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,36 @@ def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(documents(spark, sf_dir))
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
+@query
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row of each sequence in the shards, which are written below the shared folder."""
+    return training_order.write_shards(documents(spark, sf_dir), folder(spark, "shards"), key=20240229)
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(documents(spark, sf_dir))
+
+
+@query
+def op3_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each document whose id is divisible by 20, by its whole text."""
+    docs = documents(spark, sf_dir)
+    return search.top_k(docs, docs.filter("doc_id % 20 = 0"))
