@@ -33,8 +33,8 @@ from tidescore.llm.common import id_and_text
 
 # Words of more bytes than this take the form that contracts several pairs in a round.
 LONG = 64
-# Bytes of words in one query, documents looked at together, and encoded words remembered by a task.
-QUERY_BYTES, DOCUMENTS, REMEMBERED = 400_000, 500, 200_000
+# Bytes of words in one query, documents looked at together, and encoded words that a task remembers, up to twice.
+QUERY_BYTES, DOCUMENTS, REMEMBERED = 400_000, 500, 120_000
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 # place: word * 2**32 + position, the positions of a word without gaps.
@@ -178,13 +178,16 @@ def _task(path: str | None, pattern: str | None, result):
         encoder = _encoder(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
         split = regex.compile(pattern or public_tokenizers.PATTERN)
         known: dict[str, tuple[int, str, bytes]] = {}
+        older: dict[str, tuple[int, str, bytes]] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, DOCUMENTS):
                 part = batch.slice(start, DOCUMENTS)
                 pieces = [split.findall(text) if text else [] for text in part.column(1).to_pylist()]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                new = list({piece for words in pieces for piece in words if piece not in known})
+                if len(known) > REMEMBERED:  # what is still in use comes back from the older half
+                    known, older = {}, known
+                missing = {piece for words in pieces for piece in words if piece not in known}
+                known.update((piece, older[piece]) for piece in missing if piece in older)
+                new = [piece for piece in missing if piece not in older]
                 known.update(zip(new, encoder.encode(new)))
                 counts, ids, decoded = [], [], []
                 for words in pieces:
