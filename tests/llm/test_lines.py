@@ -4,7 +4,7 @@ import pytest
 
 from tidescore.llm import lines
 from tidescore.llm.lines import all_lines, deduplicate_lines, line_components, line_report, signatures
-from tests.llm.brute import groups, removed_lines, shingles, without
+from brute import groups, removed_lines, shingles, without
 
 
 def test_against_all_pairs(documents_small):

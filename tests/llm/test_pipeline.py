@@ -1,9 +1,9 @@
 import numpy as np
 
 import corpus_pipeline
-from tests.llm.brute import removed_lines, without
-from tests.llm.test_packing import check
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from brute import removed_lines, without
+from test_packing import check
+from test_simhash import plain_components, plain_fingerprint
 from tidescore.llm import language
 from tidescore.llm.secrets import _words, find_secrets, redacted
 
