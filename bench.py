@@ -115,16 +115,20 @@ NAIVE = [naive_join_result, naive_dropped_not_in, naive_validate_results, naive_
          naive_enrich_features_query, naive_merge_into_wide_query]
 
 
+def schemas(spark: SparkSession) -> set[str]:
+    return {row[0] for row in spark.sql("SHOW SCHEMAS").collect()}
+
+
 def timed(spark: SparkSession, query) -> float:
     """The median of some runs, after one that warms up."""
     times = []
+    before = schemas(spark)
     for _ in range(REPEATS + 1):
         start = time.perf_counter()
         run(query(spark, SF_DIR))
         times.append(time.perf_counter() - start)
-        for row in spark.sql("SHOW SCHEMAS").collect():
-            if row[0] != "default":
-                drop_schema(spark, row[0])
+        for name in schemas(spark) - before:
+            drop_schema(spark, name)
     return round(statistics.median(times[1:]), 3)
 
 

@@ -66,12 +66,10 @@ def test_same_as_spark_not_in_and_except(spark, rows, monkeypatch, broadcast_byt
     kernel = spark.createDataFrame([(k,) for k in left], "k int")
     output = spark.createDataFrame([(k,) for k in right], "k int")
     not_in = spark.sql("SELECT k FROM {l} WHERE k NOT IN (SELECT k FROM {r})", l=kernel, r=output)
-    for limit in (1, 100):
-        found = dropped_rows(kernel, output, "k", "s", nulls="sql", max_key_rows=limit)
-        assert rows(found.select("k")) == rows(not_in)
+    assert rows(dropped_rows(kernel, output, "k", "s", nulls="sql").select("k")) == rows(not_in)
     missing = dropped_rows(kernel, output, "k", "s", nulls="except").select("k")
     assert rows(missing) == rows(kernel.subtract(output))
-    kept = dropped_rows(kernel, output, "k", "s", nulls="keep", max_key_rows=1).select("k")
+    kept = dropped_rows(kernel, output, "k", "s", nulls="keep").select("k")
     assert rows(kept) == rows(kernel.join(output, "k", "left_anti"))
 
 
@@ -91,6 +89,9 @@ def test_coverage_at_the_threshold(spark):
     assert require_coverage(kernel, output).output_count == 99
     with pytest.raises(CoverageError, match="98 of 100"):
         require_coverage(kernel, spark.range(98), step="m")
+    assert all(coverage(kernel, spark.range(n), threshold=n).first().passed for n in (7, 14, 28, 29, 55, 57, 58))
+    assert coverage(spark.range(1000), spark.range(999), threshold=99.9).first().passed
+    assert not coverage(spark.range(1000), spark.range(998), threshold=99.9).first().passed
 
 
 def test_coverage_over_100_and_matched(spark):

@@ -81,8 +81,25 @@ def test_a_step_that_drops_nothing(spark, source):
 
 
 def test_gate(spark, source):
+    before = spark.catalog.listDatabases()
     with pytest.raises(CoverageError, match="9 of 10"):
         run_chain(spark, source, steps(threshold=91), "k")
+    assert spark.catalog.listDatabases() == before
+
+
+def test_model_forms(spark, rows, source, schema):
+    source.select("k", (F.col("n") * 2).alias("p")).filter("k <> 4").write.saveAsTable(f"{schema}.predictions")
+    source.write.saveAsTable(f"{schema}.source")
+    chain = [Step("stored", model=Model("s", [], table=f"{schema}.predictions", threshold=90)),
+             Step("plain", model=Model("p", ["n"], columns={"q": F.col("n") + 1})), Step("same")]
+    result = run_chain(spark, f"{schema}.source", chain, "k")
+    assert rows(result.outputs["same"].filter("k > 3 AND k < 6")) == [(4, 4, None, 5), (5, 5, 10, 6)]
+    assert rows(result.dropped) == [(4, "model_s", 1.0)]
+    assert result.coverage["stored"].output_count == 9 and result.coverage["plain"].pct == 100.0
+    assert sorted(row.name for row in spark.catalog.listTables(result.schema)) == ["dropped_rows", "plain", "stored"]
+    result.drop_temps()
+    with pytest.raises(ValueError, match="one of"):
+        Model("none", [])
 
 
 def test_sql_templates(spark, source):
@@ -103,7 +120,8 @@ def test_store_results(spark, rows, source, schema):
     places = dict(
         history=History(f"{schema}.history", columns=["k", "execution_date"]),
         wide=Wide(f"{schema}.wide", select_fields=["k", "n", "execution_date"], buckets=2),
-        events=Events(f"{schema}.events", f"{schema}.registry", 5, build=lambda rows: rows.filter("k < 4"),
+        events=Events(f"{schema}.events", f"{schema}.registry", 5, {
+            "source_number": 7, "endpoint": "things", "priority": 2}, build=lambda rows: rows.filter("k < 4"),
                       seen=seen, where=seen_since(5, "2024-01-01"), limit=2))
     store_results(df, "k", "daily", store=False, **places)
     assert not table_exists(spark, f"{schema}.history")

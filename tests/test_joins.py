@@ -48,6 +48,9 @@ def test_sizes(spark):
     assert is_small(nested, 150_000) and not is_small(nested, 90_000)
     assert is_small(text.limit(0), 1)
     assert broadcast_if_small(text, 90_000) is text
+    variant = spark.range(1).select(F.parse_json(F.lit("1")).alias("v"))
+    for odd in (variant, variant.select(F.array("v")), variant.select(F.struct("v"))):
+        assert not is_small(odd, 1 << 40)
 
 
 def test_fill_missing(spark, rows):
@@ -103,6 +106,34 @@ def test_enrich_against_pandas(spark, limit):
     assert found["f"].fillna(-1).tolist() == expected["f"].fillna(-1).tolist()
 
 
+def test_enrich_with_a_map(spark, rows):
+    kernel = spark.createDataFrame([(1, at(5))], "k int, ts timestamp_ntz")
+    features = spark.createDataFrame([(1, at(2), {"a": 1}, 7), (1, at(4), {"a": 2}, 8), (1, at(4), {"a": 3}, 9)],
+                                     "k int, ts timestamp_ntz, m map<string,int>, f int")
+    assert rows(enrich_features(kernel, features, "k", "m,f", "ts")) == [(1, at(5), {"a": 3}, 9)]
+    assert enrich_features(kernel, features, "k", "m", "ts").count() == 1
+
+
+def test_score_passes_keys_and_features_through(spark):
+    """Nulls next to large numbers, both instants of a repeated hour, and a year that nanoseconds do not reach."""
+    def load_model():
+        return lambda batch: pd.DataFrame({"p": batch["n"] + 1}, index=batch.index).iloc[::-1]
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame(
+            [(2**53 + 1, 1_730_610_000, 2**53 + 1), (None, 1_730_613_600, None), (3, 253_402_300_799, 1)],
+            "k bigint, s bigint, n bigint").select("k", F.timestamp_seconds("s").alias("ts"), "n")
+        for key in ("k,ts", "ts,k"):
+            found = score(df, key, "n,ts", load_model, "p bigint")
+            assert found.columns == [*key.split(","), "n", "p"]
+            expected = df.select(F.unix_micros("ts"), "k", "n", F.col("n") + 1)
+            assert found.select(F.unix_micros("ts"), "k", "n", "p").exceptAll(expected).isEmpty() and found.count() == 3
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_score(spark, rows):
     def load_model():
         return lambda batch: pd.DataFrame({"p": batch["n"] * 0.5}, index=batch.index)[batch["n"] > 1]

@@ -27,7 +27,7 @@ def normal(value):
     return float(value) if isinstance(value, Decimal) else value
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query(spark, duck, rows, name):
     found = queries()[name](spark, SF_DIR)
     result = duck.sql(oracle_sql()[name])

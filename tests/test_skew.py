@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidescore.functions import stack_distinct
 from tidescore.operators import (
     anti_join,
+    asof,
     dropped_rows,
     enrich_features,
     hot_keys,
@@ -76,16 +77,41 @@ def test_hot_right_key_of_a_left_join_is_joined_apart(spark, small_thresholds, s
     assert joined.count() == even.join(skewed, "k", "left").count()
 
 
-def test_hot_right_key_of_an_anti_join_is_taken_out(spark, small_thresholds, skewed, even, capsys):
-    left = anti_join(even, skewed, "k", max_key_rows=1000)
-    assert final_plan(left, capsys).count("BroadcastHashJoin") == 2
+def test_right_keys_of_an_anti_join_are_needed_once(spark, small_thresholds, skewed, even):
+    left = anti_join(even, skewed, "k")
     assert left.count() == even.join(skewed.select("k"), "k", "left_anti").count()
 
 
-def test_hot_keys_are_found_in_a_sample(spark):
+def test_hot_keys_are_all_listed(spark):
     rows = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 50_000).alias("k"))
-    [hot] = hot_keys(rows, "k", 20_000).collect()
-    assert hot.k == -1 and abs(hot.n_rows - 66_667) < 10_000
+    assert [tuple(row) for row in hot_keys(rows, "k", 20_000).collect()] == [(-1, 66_667)]
+    assert hot_keys(rows, "k", 2).count() == 33_334 and hot_keys(rows, "k", 70_000) is None
+
+
+@pytest.mark.parametrize("joined", [lambda l, r: left_join(l, r, "k", max_key_rows=3, broadcast=False),
+                                    lambda l, r: anti_join(l, r, "k")])
+def test_hot_timestamps_in_a_repeated_hour(spark, rows, small_thresholds, joined):
+    """Two instants that a clock change gives the same local time stay two keys."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        first, second = 1_730_610_000, 1_730_613_600  # 2024-11-03 01:00 twice
+        times = spark.createDataFrame([(first, "a"), (second, "b"), (0, "c")], "s bigint, v string")
+        left = times.select(F.timestamp_seconds("s").alias("k"), "v")
+        right = spark.range(10).select(F.timestamp_seconds(F.lit(first)).alias("k"), F.col("id").alias("p"))
+        plain = left.join(right, "k", "left") if "p" in joined(left, right).columns else left.join(right, "k", "left_anti")
+        found = [df.select(F.unix_micros("k").alias("k"), *df.columns[1:]) for df in (joined(left, right), plain)]
+        assert rows(found[0]) == rows(found[1])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_left_rows_do_not_vanish_if_the_right_side_changes(spark, small_thresholds):
+    """A right side that is not stored gives other keys on each run."""
+    left = spark.range(50).withColumnRenamed("id", "k")
+    changing = spark.range(4000).select((F.rand() * 40).cast("bigint").alias("k"), F.col("id").alias("p"))
+    joined = left_join(left, changing, "k", max_key_rows=90, broadcast=False)
+    assert joined.select("k").distinct().count() == 50
 
 
 def test_hot_target_key_is_split_in_an_upsert(spark, small_thresholds, skewed, even, capsys):
@@ -104,12 +130,14 @@ def test_counting_operators_combine_before_the_shuffle(spark, skewed, even, caps
         assert "HashAggregate" in plan[exchange:]
 
 
-def test_long_keys_are_cut_by_range(spark, schema, skewed):
+def test_long_keys_are_cut_by_range(spark, monkeypatch, skewed):
     """No window of the feature lookup holds more rows than about the limit."""
     kernel, features = skewed.filter("v % 2 = 0"), skewed.filter("v % 2 = 1").select("k", "v", F.col("v").alias("f"))
-    found = enrich_features(kernel, features, "k", "f", "v", max_key_rows=2000, scratch=schema)
+    cut = []
+    monkeypatch.setattr(asof, "stored", lambda df, plain=asof.stored: cut.append(plain(df)) or cut[-1])
+    found = enrich_features(kernel, features, "k", "f", "v", max_key_rows=2000)
     plain = enrich_features(kernel, features, "k", "f", "v", max_key_rows=None)
     assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
-    [pieces] = [row.name for row in spark.catalog.listTables(schema) if row.name.startswith("pieces")]
-    longest = spark.table(f"{schema}.{pieces}").groupBy("k", "_piece").count().agg(F.max("count")).first()[0]
+    [pieces] = cut
+    longest = pieces.groupBy("k", "_piece").count().agg(F.max("count")).first()[0]
     assert longest < 4000

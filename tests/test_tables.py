@@ -13,6 +13,7 @@ from tidescore.functions import (
 )
 from tidescore.operators import (
     append_to_history,
+    exclude_seen,
     outbox_row,
     snapshot_max_ts,
     snapshot_ready,
@@ -27,6 +28,7 @@ from tidescore.sources import (
     load,
     move_with_view,
     replace_rows,
+    restore_table,
     store,
     table_exists,
 )
@@ -126,15 +128,53 @@ def test_history_replace_run(spark, rows, schema):
                            ("2024-01-02", "it's", 1, "x"), ("2024-01-02", "it's", 2, "x")]
 
 
+REGISTRY = {"source_number": 7, "endpoint": "things", "priority": 2}
+
+
+def test_few_rows_in_many_tasks_make_one_file(spark, schema):
+    name = f"{schema}.history"
+    rows = spark.range(0, 4000, numPartitions=400).filter("id % 400 = 0")
+    append_to_history(rows, name, "daily", "2024-01-01")
+    assert load(spark, name).select(F.input_file_name()).distinct().count() == 1
+
+
+def test_replace_run_with_odd_column_names(spark, rows, schema):
+    name = f"{schema}.history"
+    df = spark.range(2).select("id", F.lit(1).alias("a b"), F.lit(2).alias("select"))
+    for _ in range(2):
+        append_to_history(df, name, "daily", "2024-01-01", replace_run=True)
+    assert rows(load(spark, name).select("id", "a b", "select")) == [(0, 1, 2), (1, 1, 2)]
+
+
+def test_broken_swaps(spark, rows, schema):
+    """Folders left by a write, and a break before and after the new table is there, do no harm."""
+    name = f"{schema}.t"
+    create_table(spark, spark.range(1), name)
+    folder = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Location'").first()[1]
+    spark.range(5).write.parquet(f"{folder}__new_half")
+    create_table(spark, spark.range(2), name, swap=True)
+    assert load(spark, name).count() == 2
+    spark.sql(f"ALTER TABLE {name} RENAME TO {name}__replaced_1")
+    restore_table(spark, name)
+    assert load(spark, name).count() == 2
+    create_table(spark, spark.range(9), f"{name}__replaced_2")
+    create_table(spark, f"SELECT id + 1 AS id FROM {name}", name, swap=True)
+    assert rows(load(spark, name)) == [(1,), (2,)]
+    assert [row.name for row in spark.catalog.listTables(schema)] == ["t"]
+
+
 def test_outbox(spark, rows, schema):
     registry = f"{schema}.registry"
     now = "2024-01-01 12:00:00"
     for count in (3, 2):
-        write_events(spark.range(count), f"{schema}.events", registry, 1511, now=now)
+        write_events(spark.range(count), f"{schema}.events", registry, 1511, now=now, **REGISTRY)
     assert load(spark, f"{schema}.events").count() == 2
-    row = (dt.datetime(2024, 1, 1, 12), f"{schema}.events", "profile-events", 70, 1511, True, 1)
+    row = (dt.datetime(2024, 1, 1, 12), f"{schema}.events", "things", 7, 1511, True, 2)
     assert rows(load(spark, registry)) == [row, row]
-    assert dict(outbox_row(spark, "t", 1).dtypes) == {
+    known = load(spark, f"{schema}.events").filter("id = 1")
+    write_events(exclude_seen(spark.range(4), known, "id"), f"{schema}.events", registry, 1511, **REGISTRY)
+    assert rows(load(spark, f"{schema}.events")) == [(0,), (2,), (3,)]
+    assert dict(outbox_row(spark, "t", 1, **REGISTRY).dtypes) == {
         "date_created": "timestamp_ntz", "table_name": "string", "endpoint": "string", "source_number": "int",
         "evid": "int", "drop_table": "boolean", "priority": "int"}
 

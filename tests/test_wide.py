@@ -1,12 +1,23 @@
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
+from threading import Barrier
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidescore.operators import DuplicateKeyError, merge_into_wide, newest_per_key, read_wide, skew, upsert_newest
-from tidescore.sources import scratch_schema, set_properties, stage, table_exists
+from tidescore.operators import (
+    ConcurrentMergeError,
+    DuplicateKeyError,
+    merge_into_wide,
+    newest_per_key,
+    read_wide,
+    skew,
+    upsert_newest,
+    wide,
+)
+from tidescore.sources import scratch_schema, set_properties, stage
 from tidescore.sources.tables import get_property
 
 D1, D2, D3 = (dt.date(2024, 1, day) for day in (1, 2, 3))
@@ -101,7 +112,7 @@ def test_merge_creates_then_merges(spark, rows, schema):
     assert rows(read_wide(spark, name).drop("date_updated")) == [
         (None, "new", D1), (None, "new", D1), (None, "null", D1), (1, "new", D3),
         (2, "old", D2), (2, "two", D2), (3, "new", D1)]
-    assert not table_exists(spark, f"{name}__merged")
+    assert [row.name for row in spark.catalog.listTables(schema)] == ["wide"]
 
 
 @pytest.mark.parametrize("staged", [True, False])
@@ -128,11 +139,79 @@ def test_broken_off_replacement_is_finished(spark, rows, schema):
     name = f"{schema}.wide"
     merge_into_wide(spark, name, spark.createDataFrame([(1, "old", D1), (2, "old", D1)], FIELDS), "k", buckets=1)
     spark.createDataFrame([(1, "staged", D3, 0), (2, "old", D1, 0)], f"{FIELDS}, wt_bucket int").write.partitionBy(
-        "wt_bucket").saveAsTable(f"{name}__merged")
+        "wt_bucket").saveAsTable(f"{name}__merged_1")
+    set_properties(spark, name, {"wide.pending": f"{name}__merged_1"})
     merge_into_wide(spark, name, spark.createDataFrame([(2, "new", D2)], FIELDS), "k")
     assert rows(read_wide(spark, name)) == [(1, "staged", D3), (2, "new", D2)]
 
 
+def test_what_broken_runs_leave_does_no_harm(spark, rows, schema):
+    """A half-written folder, a staged table that was never named, and one that is named and gone."""
+    name = f"{schema}.wide"
+    merge_into_wide(spark, name, spark.createDataFrame([(1, "old", D1)], FIELDS), "k", buckets=1)
+    folder = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Location'").first()[1]
+    spark.range(3).write.parquet(f"{folder}__merged")
+    spark.createDataFrame([(1, "never", D3, 0)], f"{FIELDS}, wt_bucket int").write.saveAsTable(f"{name}__merged_2")
+    set_properties(spark, name, {"wide.pending": f"{name}__merged_gone"})
+    merge_into_wide(spark, name, spark.createDataFrame([(1, "new", D2), (2, "new", D2)], FIELDS), "k")
+    assert rows(read_wide(spark, name)) == [(1, "new", D2), (2, "new", D2)]
+
+
+@pytest.mark.parametrize("staged", [True, False])
+def test_two_merges_at_once(spark, schema, staged):
+    """One of them raises, and every key keeps one row."""
+    name = f"{schema}.wide"
+    rows = spark.range(50).selectExpr("cast(id as int) k", "'old' v", "DATE'2024-01-01' execution_date")
+    merge_into_wide(spark, name, rows, "k", buckets=2)
+    gate, raised = Barrier(2), []
+
+    def merge(value):
+        delta = rows.withColumns({"v": F.lit(value), "execution_date": F.lit(D2)})
+        try:
+            merge_into_wide(spark, name, delta, "k", staged=staged)
+        except ConcurrentMergeError:
+            raised.append(value)
+
+    def together(*arguments, stats=wide._delta_stats):
+        found = stats(*arguments)
+        gate.wait(60)
+        return found
+
+    with pytest.MonkeyPatch.context() as patch, ThreadPoolExecutor(2) as pool:
+        patch.setattr(wide, "_delta_stats", together)
+        list(pool.map(merge, ["a", "b"]))
+    assert len(raised) == 1
+    found = read_wide(spark, name).collect()
+    assert len(found) == 50 and {row.v for row in found} == {"a", "b"} - set(raised)
+    merge_into_wide(spark, name, rows.limit(1).withColumn("execution_date", F.lit(D3)), "k")
+    assert read_wide(spark, name).filter("v = 'old'").count() == 1
+
+
+def test_values_that_do_not_fit_are_refused(spark, rows, schema):
+    name = f"{schema}.wide"
+    merge_into_wide(spark, name, spark.createDataFrame([(1, 7, D1)], "k int, n bigint, execution_date date"), "k", buckets=2)
+    for fields, row in (("k int, n double, execution_date date", (1, 7.9, D2)),
+                        ("k double, n bigint, execution_date date", (1.9, 7, D2)),
+                        ("k int, n string, execution_date date", (1, "7", D2)),
+                        ("k bigint, n bigint, execution_date date", (1, 7, D2))):
+        with pytest.raises(ValueError, match="does not fit"):
+            merge_into_wide(spark, name, spark.createDataFrame([row], fields), "k")
+    merge_into_wide(spark, name, spark.createDataFrame([(1, 8, D2)], "k smallint, n int, execution_date date"), "k")
+    assert rows(read_wide(spark, name)) == [(1, 8, D2)]
+    collated = spark.createDataFrame([("A", D1)], "k string, execution_date date")
+    with pytest.raises(ValueError, match="collation"):
+        merge_into_wide(spark, f"{schema}.other", collated.withColumn("k", F.collate("k", "UTF8_LCASE")), "k")
+
+
+def test_maps_do_not_decide(spark, rows):
+    fields = "k int, m map<string,int>, v int, execution_date date"
+    delta = spark.createDataFrame([(1, {"a": 1}, 1, D1), (1, {"a": 2}, 2, D1), (None, {"b": 1}, 1, D1)], fields)
+    assert rows(newest_per_key(delta, "k", "execution_date").filter("k = 1")) == [(1, {"a": 2}, 2, D1)]
+    found = upsert_newest(delta.filter("v = 1 AND k = 1"), delta.filter("k = 1").withColumn("execution_date", F.lit(D2)),
+                          "k", on_duplicate="newest")
+    assert rows(found) == [(1, {"a": 2}, 2, D2)]
+
+
 def test_delta_that_reads_the_wide_table(spark, rows, schema):
     name = f"{schema}.wide"
     merge_into_wide(spark, name, spark.createDataFrame([(1, "old", D1), (2, "old", D1)], FIELDS), "k", buckets=2)

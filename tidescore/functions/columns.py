@@ -34,6 +34,18 @@ def any_null(key: str | Sequence[str]) -> Column:
     return test
 
 
+def orderable(schema: T.StructType, names: Sequence[str]) -> list[str]:
+    """Those of the columns whose values have an order; maps and variants, also inside other types, have none."""
+    def ordered(kind: T.DataType) -> bool:
+        if isinstance(kind, T.ArrayType):
+            return ordered(kind.elementType)
+        if isinstance(kind, T.StructType):
+            return all(ordered(field.dataType) for field in kind.fields)
+        return not isinstance(kind, (T.MapType, T.VariantType))
+
+    return [name for name in names if ordered(schema[name].dataType)]
+
+
 def project_features(df: DataFrame, key: str | Sequence[str], features: str | Sequence[str]) -> DataFrame:
     """Key and feature columns, each once, also where the key is listed as a feature."""
     return df.select(*as_list([*as_list(key), *as_list(features)]))

@@ -14,9 +14,17 @@ from tidescore.operators.lookup import fill_missing, join_result
 from tidescore.operators.outbox import events_to_write, exclude_seen, outbox_row, seen_since, write_events
 from tidescore.operators.scoring import score, score_with_columns
 from tidescore.operators.skew import anti_join, broadcast_if_small, hot_keys, is_small, left_join
-from tidescore.operators.wide import DuplicateKeyError, merge_into_wide, newest_per_key, read_wide, upsert_newest
+from tidescore.operators.wide import (
+    ConcurrentMergeError,
+    DuplicateKeyError,
+    merge_into_wide,
+    newest_per_key,
+    read_wide,
+    upsert_newest,
+)
 
 __all__ = [
+    "ConcurrentMergeError",
     "CoverageError",
     "DuplicateKeyError",
     "EmptyKernelError",

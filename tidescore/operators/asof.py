@@ -3,28 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidescore.functions.columns import any_null, as_list
-from tidescore.operators.skew import MAX_KEY_ROWS, broadcast_if_small, hot_keys, is_small
-from tidescore.sources.scratch import scratch_schema, stage
+from tidescore.functions.columns import any_null, as_list, orderable
+from tidescore.operators.skew import MAX_KEY_ROWS, broadcast_if_small, hot_keys, is_small, stored
 
 
 def enrich_features(kernel: DataFrame, features_df: DataFrame, key: str | Sequence[str],
                     features: str | Sequence[str], kernel_ts: str, feature_ts: str | None = None,
-                    min_date=None, *, max_key_rows: int | None = MAX_KEY_ROWS,
-                    scratch: str | None = None) -> DataFrame:
+                    min_date=None, *, max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
     """Add the feature columns of the key's latest feature row at or before the kernel time.
 
-    Of several feature rows at one time the greatest value tuple counts. ``min_date`` leaves older feature
-    rows out. Kernel rows without a feature row, or with a null key or time, stay, with null features.
+    Of several feature rows at one time the greatest value tuple counts; maps and variants have no order and
+    do not decide. ``min_date`` leaves older feature rows out. Kernel rows without a feature row, or with a null key or time, stay, with null features.
 
     Both sides are sorted together once per key. Keys with more than ``max_key_rows`` rows on both sides
     together are sorted by ranges of (key, time) instead, over as many tasks as their rows need. The ranges
-    are stored in the schema ``scratch``, or a new one in the shared folder, which the result reads from.
+    are stored in the shared folder, which the result reads from. One pass counts the rows of both sides; keys
+    are counted only if the rows are enough for a long one.
     """
     keys, names = as_list(key), as_list(features)
     feature_ts = feature_ts or kernel_ts
@@ -34,7 +32,8 @@ def enrich_features(kernel: DataFrame, features_df: DataFrame, key: str | Sequen
     columns = kernel.columns
 
     facts = (features_df
-             .select(*keys, F.col(feature_ts).alias("_ts"), F.struct(*names).alias("_feat"))
+             .select(*keys, F.col(feature_ts).alias("_ts"), F.struct(*names).alias("_feat"),
+                     F.struct(*(orderable(features_df.schema, names) or [F.lit(0)])).alias("_order"))
              .filter(~any_null(keys) & F.col("_ts").isNotNull()))
     if min_date is not None:
         facts = facts.filter(F.col("_ts") >= F.lit(min_date).cast(facts.schema["_ts"].dataType))
@@ -42,8 +41,8 @@ def enrich_features(kernel: DataFrame, features_df: DataFrame, key: str | Sequen
     rows = (kernel.filter(~unusable)
             .select(*keys, F.col(kernel_ts).alias("_ts"), F.struct(*columns).alias("_row")))
     wanted = rows.select(*keys)
-    n_kernel = kernel.count()
-    n_both = n_kernel + features_df.count() if n_kernel <= (max_key_rows or 0) else None
+    sides = kernel.select(F.lit(1).alias("k")).unionAll(features_df.select(F.lit(0)))
+    n_both, n_kernel = sides.agg(F.count("k"), F.coalesce(F.sum("k"), F.lit(0))).first()
     hot = hot_keys(wanted.unionAll(facts.select(*keys)), keys, max_key_rows, n_both)
     if is_small(wanted, rows=n_kernel):
         facts = facts.join(F.broadcast(wanted), keys, "left_semi")
@@ -53,10 +52,9 @@ def enrich_features(kernel: DataFrame, features_df: DataFrame, key: str | Sequen
     else:
         listed = broadcast_if_small(hot.select(*keys))
         found = _by_key(rows.join(listed, keys, "left_anti"), facts.join(listed, keys, "left_anti"), keys)
-        pieces = -(-sum(row.n_rows for row in hot.toLocalIterator()) // max_key_rows)
+        pieces = -(-hot.agg(F.sum("n_rows")).first()[0] // max_key_rows)
         found = found.unionAll(_by_range(rows.join(listed, keys, "left_semi"),
-                                         facts.join(listed, keys, "left_semi"), keys, pieces,
-                                         scratch or scratch_schema(kernel.sparkSession, "asof")))
+                                         facts.join(listed, keys, "left_semi"), keys, pieces))
     types = dict(zip(names, (features_df.schema[name].dataType for name in names)))
     unfound = kernel.filter(unusable).select(
         *columns, *[F.lit(None).cast(types[name]).alias(name) for name in names])
@@ -65,10 +63,9 @@ def enrich_features(kernel: DataFrame, features_df: DataFrame, key: str | Sequen
 
 def _side_by_side(rows: DataFrame, facts: DataFrame, keys: list[str], payload: str | None) -> DataFrame:
     """Facts (kind 0) and rows to look up (kind 1) in one frame; at equal times facts sort first."""
-    feat_type = facts.schema["_feat"].dataType
-    left = facts.select(*keys, "_ts", F.lit(0).alias("_kind"), "_feat")
-    right = rows.select(*keys, "_ts", F.lit(1).alias("_kind"), F.lit(None).cast(feat_type).alias("_feat"),
-                        *([payload] if payload else []))
+    nothing = [F.lit(None).cast(facts.schema[name].dataType).alias(name) for name in ("_feat", "_order")]
+    left = facts.select(*keys, "_ts", F.lit(0).alias("_kind"), "_feat", "_order")
+    right = rows.select(*keys, "_ts", F.lit(1).alias("_kind"), *nothing, *([payload] if payload else []))
     if payload:
         left = left.withColumn(payload, F.lit(None).cast(rows.schema[payload].dataType))
     return left.unionByName(right)
@@ -76,28 +73,27 @@ def _side_by_side(rows: DataFrame, facts: DataFrame, keys: list[str], payload: s
 
 def _by_key(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     """One shuffle and one sort per key: (_row, _feat)."""
-    so_far = (Window.partitionBy(*keys).orderBy("_ts", "_kind", "_feat")
+    so_far = (Window.partitionBy(*keys).orderBy("_ts", "_kind", "_order")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     both = _side_by_side(rows, facts, keys, "_row")
     return (both.withColumn("_feat", F.last("_feat", ignorenulls=True).over(so_far))
             .filter(F.col("_kind") == 1).select("_row", "_feat"))
 
 
-def _by_range(rows: DataFrame, facts: DataFrame, keys: list[str], pieces: int,
-              scratch: str) -> DataFrame:
+def _by_range(rows: DataFrame, facts: DataFrame, keys: list[str], pieces: int) -> DataFrame:
     """The same for keys too long for one task: (_row, _feat).
 
     One fact and one lookup per (key, time) are range partitioned by them, which cuts a long key into
     pieces of equal length. Each piece is filled on its own; what it lacks at its start comes from the last
     fact of the key's earlier pieces, of which there is one row each.
     """
-    facts = facts.groupBy(*keys, "_ts").agg(F.max("_feat").alias("_feat"))
+    facts = facts.groupBy(*keys, "_ts").agg(F.max_by("_feat", "_order").alias("_feat"), F.max("_order").alias("_order"))
     lookups = rows.select(*keys, "_ts").distinct()
     cut = (_side_by_side(lookups, facts, keys, None)
            .repartitionByRange(pieces, *keys, "_ts", "_kind")
            .withColumn("_piece", F.spark_partition_id()))
     # Stored, because the piece numbers hold only within the one job that computed the ranges.
-    cut = stage(cut, scratch, f"pieces_{uuid4().hex[:12]}")
+    cut = stored(cut.drop("_order"))
 
     within = (Window.partitionBy(*keys, "_piece").orderBy("_ts", "_kind")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))

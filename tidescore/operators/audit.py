@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidescore.functions.columns import as_list, tag_dropped
-from tidescore.operators.skew import MAX_KEY_ROWS, anti_join
+from tidescore.operators.skew import anti_join
 
 
 class CoverageError(RuntimeError):
@@ -26,7 +27,8 @@ def coverage(kernel: DataFrame, output: DataFrame, key: str | Sequence[str] | No
 
     Counting rows needs no column and no shuffle. With a ``key`` the row also has matched_count, the kernel
     rows whose key (null equals null) is in the output; that takes a shuffle of both key columns.
-    An empty kernel gives a null percentage and does not pass.
+    An empty kernel gives a null percentage and does not pass. Whether it passes is decided on whole numbers
+    and the threshold's decimal digits, not on the rounded percentage: equal passes.
     """
     if key is None:
         sides = kernel.select(F.lit(1).alias("k")).unionAll(output.select(F.lit(0).alias("k")))
@@ -42,8 +44,9 @@ def coverage(kernel: DataFrame, output: DataFrame, key: str | Sequence[str] | No
                              F.coalesce(F.sum("o"), F.lit(0)).alias("output_count"),
                              F.coalesce(matched, F.lit(0)).alias("matched_count"))
     pct = F.try_divide(F.col("output_count").cast("double"), F.col("kernel_count")) * 100
-    return (counts.withColumn("pct", pct)
-            .withColumn("passed", F.coalesce(F.col("pct") >= threshold, F.lit(False))))
+    needed = F.lit(Decimal(str(threshold))) * F.col("kernel_count")
+    enough = (F.col("kernel_count") > 0) & (F.col("output_count") * 100 >= needed)
+    return counts.withColumn("pct", pct).withColumn("passed", enough)
 
 
 def require_coverage(kernel: DataFrame, output: DataFrame, threshold: float = 99.0, step: str = "step"):
@@ -69,7 +72,7 @@ def _except(kernel: DataFrame, output: DataFrame, keys: list[str]) -> DataFrame:
             .filter(F.col("sides") == 1).select(*keys))
 
 
-def _not_in(kernel: DataFrame, output: DataFrame, key: str, max_key_rows: int | None) -> DataFrame:
+def _not_in(kernel: DataFrame, output: DataFrame, key: str) -> DataFrame:
     """Kernel keys NOT IN the output, repeats kept: an empty output keeps everything, null keys too, and one
     with a null keeps nothing.
 
@@ -82,12 +85,11 @@ def _not_in(kernel: DataFrame, output: DataFrame, key: str, max_key_rows: int |
         return keys
     if counts.n_known < counts.n:
         return keys.limit(0)
-    return anti_join(keys.filter(F.col(key).isNotNull()), output, key, max_key_rows, counts.n)
+    return anti_join(keys.filter(F.col(key).isNotNull()), output, key, counts.n)
 
 
 def dropped_rows(kernel: DataFrame, output: DataFrame, key: str | Sequence[str], step: str,
-                 priority: float = 1.0, nulls: str = "except", *,
-                 max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
+                 priority: float = 1.0, nulls: str = "except") -> DataFrame:
     """Keys of the kernel that the output lacks, as (key, drop_step, priority).
 
     ``nulls`` picks one of three rules, which differ for repeated and null keys:
@@ -101,22 +103,21 @@ def dropped_rows(kernel: DataFrame, output: DataFrame, key: str | Sequence[str],
     elif nulls == "sql":
         if len(keys) != 1:
             raise ValueError("NOT IN is defined for one key column")
-        missing = _not_in(kernel, output, keys[0], max_key_rows)
+        missing = _not_in(kernel, output, keys[0])
     elif nulls == "keep":
-        missing = anti_join(kernel.select(*keys), output, keys, max_key_rows)
+        missing = anti_join(kernel.select(*keys), output, keys)
     else:
         raise ValueError(f"unknown null rule {nulls!r}: except, sql or keep")
     return tag_dropped(missing, step, priority)
 
 
-def funnel_audit(outputs: Sequence[tuple[str, DataFrame]], key: str, priority: float = 2.0, *,
-                 max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
+def funnel_audit(outputs: Sequence[tuple[str, DataFrame]], key: str, priority: float = 2.0) -> DataFrame:
     """For every step after the first, the keys of the previous output NOT IN its own output."""
     if len(outputs) < 2:
         raise ValueError("a funnel needs at least two outputs")
     pairs = zip(outputs, outputs[1:])
     return reduce(DataFrame.unionAll, [
-        dropped_rows(before, after, key, step, priority, "sql", max_key_rows=max_key_rows)
+        dropped_rows(before, after, key, step, priority, "sql")
         for (_, before), (step, after) in pairs])
 
 

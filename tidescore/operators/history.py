@@ -29,8 +29,9 @@ def append_to_history(df: DataFrame, table: str, run_type: str | None = None, ex
     """Append a run to the history table, partitioned by execution date.
 
     Rows whose dates come from a column are brought together by date first; adaptive execution splits the
-    tasks of large dates. Under one given date nothing needs to move, and every task writes its rows where
-    they are. ``sort_by`` sorts the rows of each file, which narrows its column statistics.
+    tasks of large dates. Under one given date the rows are dealt out evenly, to as many tasks as their size
+    needs, so that a few rows left in many tasks do not become as many files. ``sort_by`` sorts the rows of each
+    file, which narrows its column statistics.
 
     A plain append run twice stores its rows twice. ``replace_run`` makes the run's rows replace those
     stored under the same date and run type. Both must be given, and the table is partitioned by both.
@@ -38,8 +39,7 @@ def append_to_history(df: DataFrame, table: str, run_type: str | None = None, ex
     if replace_run and not (run_type and execution_date):
         raise ValueError("replace_run needs a run type and an execution date")
     rows = history_rows(df, run_type, execution_date, columns=columns, nulls=nulls)
-    if not execution_date:
-        rows = rows.hint("rebalance", DATE)
+    rows = rows.hint("rebalance") if execution_date else rows.hint("rebalance", DATE)
     rows = rows.sortWithinPartitions(DATE, *as_list(sort_by)) if sort_by or not execution_date else rows
     if not replace_run:
         store(rows, table, "append", DATE)
@@ -51,7 +51,7 @@ def append_to_history(df: DataFrame, table: str, run_type: str | None = None, ex
     partitions = [column.name for column in spark.catalog.listColumns(table) if column.isPartition]
     if partitions != [DATE, RUN]:
         raise ValueError(f"{table} is partitioned by {partitions}; replace_run needs {[DATE, RUN]}")
-    stored = [name for name in spark.table(table).columns if name not in partitions]
+    stored = ["`" + name.replace("`", "``") + "`" for name in spark.table(table).columns if name not in partitions]
     run = run_type.replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({DATE} = '{execution_date}', {RUN} = '{run}') "
               f"SELECT {', '.join(stored)} FROM {{rows}}", rows=rows)

@@ -8,13 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidescore.functions.columns import cap_rows
-from tidescore.operators.skew import MAX_KEY_ROWS, anti_join
-from tidescore.sources.tables import drop_tables, insert_rows, store, table_exists
-
-# Fixed values of the registry: source number, endpoint and priority.
-SOURCE_NUMBER = 70
-ENDPOINT = "profile-events"
-PRIORITY = 1
+from tidescore.operators.skew import anti_join
+from tidescore.sources.tables import create_table, insert_rows, store, table_exists
 
 
 def seen_since(evid: int, since, until=None, *, evid_column: str = "evid",
@@ -28,9 +23,9 @@ def seen_since(evid: int, since, until=None, *, evid_column: str = "evid",
 
 
 def exclude_seen(df: DataFrame, seen: DataFrame, key: str | Sequence[str],
-                 where: Column | None = None, *, max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
+                 where: Column | None = None) -> DataFrame:
     """Rows whose key is not among the seen ones; repeated rows and rows with a null key stay."""
-    return anti_join(df, seen if where is None else seen.filter(where), key, max_key_rows)
+    return anti_join(df, seen if where is None else seen.filter(where), key)
 
 
 def events_to_write(df: DataFrame, key: str | Sequence[str], seen: DataFrame | None = None,
@@ -39,9 +34,8 @@ def events_to_write(df: DataFrame, key: str | Sequence[str], seen: DataFrame | N
     return cap_rows(df if seen is None else exclude_seen(df, seen, key, where), limit)
 
 
-def outbox_row(spark: SparkSession, table_name: str, evid: int, *, source_number: int = SOURCE_NUMBER,
-               endpoint: str = ENDPOINT, drop_table: bool = True, priority: int = PRIORITY,
-               now=None) -> DataFrame:
+def outbox_row(spark: SparkSession, table_name: str, evid: int, *, source_number: int, endpoint: str,
+               priority: int, drop_table: bool = True, now=None) -> DataFrame:
     """The registry's row for one events table."""
     created = F.localtimestamp() if now is None else F.lit(now).cast("timestamp_ntz")
     return spark.range(1).select(
@@ -56,10 +50,9 @@ def outbox_row(spark: SparkSession, table_name: str, evid: int, *, source_number
 
 
 def write_events(events: DataFrame, events_table: str, registry: str, evid: int, **registry_values) -> None:
-    """Recreate the events table from the rows, then announce it in the registry."""
+    """Replace the events table by the rows, which may come from that table, then announce it in the registry."""
     spark = events.sparkSession
-    drop_tables(spark, [events_table])
-    store(events, events_table)
+    create_table(spark, events, events_table, swap=True)
     row = outbox_row(spark, events_table, evid, **registry_values)
     if table_exists(spark, registry):
         insert_rows(row, registry)

@@ -4,42 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidescore.functions.columns import any_null, as_list
+from tidescore.sources.scratch import shared_dir
 
 # A key with more rows than this is handled by splitting it over tasks.
 MAX_KEY_ROWS = 1_000_000
 # Nothing larger than this is broadcast by our own hints.
 MAX_BROADCAST_BYTES = 64 << 20
-# Rows of a key at the limit that the sample which looks for hot keys is expected to hold.
-SAMPLE_HITS = 1000
-# Keys that are treated apart, the most frequent ones; the others take the ordinary way.
-MAX_HOT_KEYS = 100_000
 
+FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType,
+         T.YearMonthIntervalType, T.NullType)
 
-def _bytes_of(field: T.StructField):
+
+def _measurable(kind: T.DataType) -> bool:
+    """Whether the size of values of this type is known or can be measured, also inside other types."""
+    if isinstance(kind, T.ArrayType):
+        return _measurable(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _measurable(kind.keyType) and _measurable(kind.valueType)
+    if isinstance(kind, T.StructType):
+        return all(_measurable(field.dataType) for field in kind.fields)
+    return isinstance(kind, (*FIXED, T.StringType, T.BinaryType))
+
+
+def _bytes_of(field: T.StructField) -> Column:
     name = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, FIXED):
+        return F.lit(16)
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(name), F.lit(0)) + 16
-    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        return F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0)) + 16
-    return F.lit(16)
+    return F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0)) + 16
 
 
 def is_small(df: DataFrame, max_bytes: int | None = None, rows: int | None = None) -> bool:
     """Whether the frame's measured size is within the broadcast bound.
 
-    The row count, which the caller may know, settles it for large frames without reading a column.
+    The row count, which the caller may know, settles it for large frames without reading a column. A frame
+    with a column whose size cannot be measured is not small.
     """
     max_bytes = MAX_BROADCAST_BYTES if max_bytes is None else max_bytes
+    if not _measurable(df.schema):
+        return False
     rows = df.count() if rows is None else rows
     if rows * 16 * len(df.columns) > max_bytes:
         return False
-    fixed = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
-    if not any(isinstance(field.dataType, fixed) for field in df.schema.fields):
+    if all(isinstance(field.dataType, FIXED) for field in df.schema.fields):
         return True
     sizes = [_bytes_of(field) for field in df.schema.fields]
     total = sizes[0]
@@ -53,28 +66,27 @@ def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame
     return F.broadcast(df) if is_small(df, max_bytes) else df
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame's rows as they are now, in the shared folder: every later read gets the same ones."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def hot_keys(df: DataFrame, key: str | Sequence[str], max_key_rows: int | None = MAX_KEY_ROWS,
              rows: int | None = None) -> DataFrame | None:
-    """Keys with more than ``max_key_rows`` rows and their estimated row counts, or None if there are none.
+    """The keys with more than ``max_key_rows`` rows and their row counts, or None if there are none.
 
-    The keys are looked for in a sample of the key columns, so large that a key at the limit has some 1000
-    rows in it and one with half as many is found as well; no other row leaves its task. The sample decides
-    only which keys are treated apart, and that treatment is right for every key that occurs in the frame.
-    The list is short: at most MAX_HOT_KEYS. A limit of None is the caller's word that no key is hot, and a
-    known row count within the limit shows it.
+    The keys are counted exactly, with counts combined before the shuffle, and the list stays in the shared
+    folder. A limit of None is the caller's word that no key is hot, and a known row count within the limit
+    shows it; nothing is counted then.
     """
     keys = as_list(key)
     if max_key_rows is None or (rows is not None and rows <= max_key_rows):
         return None
-    fraction = min(1.0, SAMPLE_HITS / max_key_rows)
-    least = max_key_rows if fraction == 1.0 else fraction * max_key_rows / 2
-    known = df.select(*keys).filter(~any_null(keys))
-    known = known if fraction == 1.0 else known.sample(fraction, seed=1)
-    found = (known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
-             .orderBy(F.col("n").desc()).limit(MAX_HOT_KEYS)
-             .select(*keys, (F.col("n") / fraction).cast("bigint").alias("n_rows")))
-    listed = found.collect()
-    return df.sparkSession.createDataFrame(listed, found.schema) if listed else None
+    found = (df.select(*keys).filter(~any_null(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+             .filter(F.col("n_rows") > max_key_rows))
+    found = stored(found)
+    return None if found.isEmpty() else found
 
 
 def left_join(left: DataFrame, right: DataFrame, key: str | Sequence[str],
@@ -83,8 +95,8 @@ def left_join(left: DataFrame, right: DataFrame, key: str | Sequence[str],
 
     A right side of small measured size is broadcast, unless ``broadcast`` is off. Otherwise both sides are
     shuffled. Adaptive execution then splits a hot key of the left side, but of a left join's right side it
-    cannot. The rows of hot right keys are therefore joined apart: they all find a match, so an inner join
-    does, which can be split on both sides.
+    cannot. The rows of hot right keys are therefore stored and joined apart, by an inner join, which can be
+    split on both sides; left rows that find none of the stored rows are added.
     """
     keys = as_list(key)
     rows = right.count()
@@ -93,28 +105,24 @@ def left_join(left: DataFrame, right: DataFrame, key: str | Sequence[str],
     hot = hot_keys(right, keys, max_key_rows, rows)
     if hot is None:
         return left.join(right, keys, "left")
-    hot = broadcast_if_small(hot.select(*keys))
-    cold_rows = left.join(hot, keys, "left_anti").join(right.join(hot, keys, "left_anti"), keys, "left")
-    hot_rows = left.join(hot, keys, "left_semi").join(right.join(hot, keys, "left_semi"), keys, "inner")
+    listed = broadcast_if_small(hot.select(*keys))
+    many = stored(right.join(listed, keys, "left_semi"))
+    there = broadcast_if_small(stored(many.select(*keys).distinct()))
+    few = right.join(listed, keys, "left_anti")
+    cold_rows = left.join(there, keys, "left_anti").join(few, keys, "left")
+    hot_rows = left.join(there, keys, "left_semi").join(many, keys, "inner")
     return cold_rows.unionByName(hot_rows)
 
 
-def anti_join(left: DataFrame, right: DataFrame, key: str | Sequence[str],
-              max_key_rows: int | None = MAX_KEY_ROWS, rows: int | None = None) -> DataFrame:
+def anti_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], rows: int | None = None) -> DataFrame:
     """Left rows without a partner. Repeated left rows and left rows with a null key are kept.
 
-    Right keys of small measured size are broadcast. Otherwise both sides are shuffled, and hot left keys
-    are split by adaptive execution. Hot right keys are taken out of both sides before that: they occur on
-    the right, so none of their left rows is in the result. ``rows`` is the right side's row count, if the
-    caller has it.
+    A right side that a known row count, ``rows``, shows to be small is broadcast. Otherwise each right key is
+    needed only once: repeats are combined before the shuffle, and the keys are stored, so that adaptive
+    execution can split hot left keys.
     """
     keys = as_list(key)
     right = right.select(*keys)
-    rows = right.count() if rows is None else rows
-    if is_small(right, rows=rows):
+    if rows is not None and is_small(right, rows=rows):
         return left.join(F.broadcast(right), keys, "left_anti")
-    hot = hot_keys(right, keys, max_key_rows, rows)
-    if hot is not None:
-        hot = broadcast_if_small(hot.select(*keys))
-        left, right = left.join(hot, keys, "left_anti"), right.join(hot, keys, "left_anti")
-    return left.join(right, keys, "left_anti")
+    return left.join(stored(right.distinct()), keys, "left_anti")

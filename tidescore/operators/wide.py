@@ -2,31 +2,54 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Mapping, Sequence
+from contextlib import ExitStack
+from threading import RLock
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-
-from tidescore.functions.columns import add_date_updated, any_null, as_list, cast_date_if_present, choose, newer
-from tidescore.operators.skew import anti_join, is_small, left_join
-from tidescore.sources.scratch import drop_schema, dynamic_overwrite, scratch_schema, stage
-from tidescore.sources.tables import drop_tables, ensure_table, get_property, load, table_exists
+from pyspark.sql import types as T
+
+from tidescore.functions.columns import (
+    add_date_updated,
+    any_null,
+    as_list,
+    cast_date_if_present,
+    choose,
+    newer,
+    orderable,
+)
+from tidescore.operators.skew import is_small
+from tidescore.sources.scratch import scratch, stage
+from tidescore.sources.tables import drop_tables, ensure_table, get_property, load, set_properties, table_exists
 
 BUCKET = "wt_bucket"
-BUCKETS_PROPERTY = "wide.buckets"
+# Table properties: the number of buckets, how many merges there were, and a stored merge that is to be put in place.
+BUCKETS_PROPERTY, VERSION_PROPERTY, PENDING_PROPERTY = "wide.buckets", "wide.version", "wide.pending"
+# One per table, for merges of one driver.
+LOCKS: dict[str, RLock] = defaultdict(RLock)
 
 
 class DuplicateKeyError(ValueError):
     """Several delta rows match one row of the wide table."""
 
 
+class ConcurrentMergeError(RuntimeError):
+    """Another merge changed the table while this one was computed; nothing of this one was stored."""
+
+
 def newest_per_key(delta: DataFrame, key: str | Sequence[str], date_columns: str | Sequence[str]) -> DataFrame:
-    """One row per non-null key: the newest date, then the greatest values. Rows with a null key all stay."""
+    """One row per non-null key: the newest date, then the greatest values. Rows with a null key all stay.
+
+    Columns without an order, maps and variants, do not decide; of rows that differ only there any one counts.
+    """
     keys, dates = as_list(key), as_list(date_columns)
     rest = [name for name in delta.columns if name not in keys]
     order = F.struct(F.coalesce(*[F.col(name) for name in dates]).alias("_date"),
-                     *[F.col(name) for name in rest])
-    best = (delta.filter(~any_null(keys)).groupBy(*keys).agg(F.max(order).alias("_best"))
+                     *[F.col(name) for name in orderable(delta.schema, rest)])
+    best = (delta.filter(~any_null(keys)).groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_best"))
             .select(*[F.col(name) if name in keys else F.col(f"_best.{name}") for name in delta.columns]))
     return best.unionAll(delta.filter(any_null(keys)))
 
@@ -57,6 +80,9 @@ def upsert_newest(target: DataFrame, delta: DataFrame, key: str | Sequence[str],
     null key never match. ``on_duplicate`` says what several delta rows for one key do: ``error`` raises if
     the target has the key (and adds them all if it has not), ``newest`` keeps the newest of them.
 
+    The delta's values have to fit the target's types without loss: a wider number or a text for a number is
+    refused, a narrower number is widened.
+
     A small delta is broadcast and the target is not shuffled. A large one is joined by a left join, whose
     hot target keys adaptive execution can split, and not by a full outer join, where it cannot.
     """
@@ -66,12 +92,37 @@ def upsert_newest(target: DataFrame, delta: DataFrame, key: str | Sequence[str],
     return _merge(target, delta, keys, dates, on_duplicate, stats)
 
 
+WIDER = {"tinyint": 1, "smallint": 2, "int": 3, "bigint": 4, "float": 5, "double": 6}
+DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
+
+
+def _fits(kind: T.DataType, target: T.DataType) -> bool:
+    """Whether every value of one type is stored in the other as the same value."""
+    name, wanted = kind.simpleString(), target.simpleString()
+    if name == wanted or isinstance(kind, T.NullType):
+        return True
+    if isinstance(target, T.DecimalType):
+        whole = target.precision - target.scale
+        if isinstance(kind, T.DecimalType):
+            return kind.scale <= target.scale and kind.precision - kind.scale <= whole
+        return DIGITS.get(name, whole + 1) <= whole
+    if name in WIDER and wanted in WIDER:
+        exact = wanted == "double" and name in ("tinyint", "smallint", "int", "float")
+        small = wanted == "float" and name in ("tinyint", "smallint")
+        return exact or small or (wanted in DIGITS and name in DIGITS and WIDER[name] < WIDER[wanted])
+    return isinstance(kind, T.DateType) and wanted in ("timestamp", "timestamp_ntz")
+
+
 def _as_target(target: DataFrame, delta: DataFrame) -> DataFrame:
-    """The delta with the target's columns and types, taken by name."""
+    """The delta with the target's columns and types, taken by name; a type that may lose something is refused."""
     absent = [name for name in target.columns if name not in delta.columns]
     if absent:
         raise ValueError(f"the delta lacks columns of the target: {absent}")
-    return delta.select(*[F.col(field.name).cast(field.dataType).alias(field.name)
+    for field in target.schema.fields:
+        kind = delta.schema[field.name].dataType
+        if not _fits(kind, field.dataType):
+            raise ValueError(f"{field.name}: {kind.simpleString()} does not fit {field.dataType.simpleString()}")
+    return delta.select(*[F.col(f"`{field.name}`").cast(field.dataType).alias(field.name)
                           for field in target.schema.fields])
 
 
@@ -89,8 +140,7 @@ def _merge(target: DataFrame, delta: DataFrame, keys: list[str], dates: list[str
     known = delta.filter(~any_null(keys))
     # Repeats can only be of keys that the target lacks, so they cannot multiply a target row.
     incoming = known.select(*keys, F.struct(*target.columns).alias("_new"))
-    joined = (target.join(F.broadcast(incoming), keys, "left") if small
-              else left_join(target, incoming, keys, broadcast=False))
+    joined = target.join(F.broadcast(incoming) if small else incoming, keys, "left")
     take = F.coalesce(newer([F.col(f"_new.{name}") for name in dates], [F.col(name) for name in dates]),
                       F.lit(False))
     kept = joined.select(*[_pick(take, name, [*keys, BUCKET]) for name in target.columns])
@@ -99,7 +149,7 @@ def _merge(target: DataFrame, delta: DataFrame, keys: list[str], dates: list[str
         matched = target.select(*keys).join(F.broadcast(known.select(*keys)), keys, "left_semi").distinct()
         added = known.join(matched, keys, "left_anti")
     else:
-        added = anti_join(known, target, keys)
+        added = known.join(target.select(*keys).distinct(), keys, "left_anti")
     return kept.unionByName(added).unionByName(delta.filter(any_null(keys)))
 
 
@@ -110,8 +160,14 @@ def _pick(take: Column, name: str, unchanged: list[str]) -> Column:
 
 
 def _with_bucket(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """Bucket by key; rows with a null key match nothing and are spread by their other values."""
-    others = [F.col(name) for name in df.columns if name not in keys] or [F.lit(0)]
+    """Bucket by key; rows with a null key match nothing and are spread by their other values.
+
+    Keys whose equality is not that of their bytes are refused, since the bucket is a hash of the bytes.
+    """
+    for name in keys:
+        if "collate" in df.schema[name].dataType.simpleString():
+            raise ValueError(f"key {name} has a collation; use its lower-case form or another plain text as the key")
+    others = [F.col(name) for name in orderable(df.schema, [name for name in df.columns if name not in keys])] or [F.lit(0)]
     spread = F.when(any_null(keys), F.xxhash64(*others)).otherwise(F.xxhash64(*keys))
     return df.withColumn(BUCKET, F.pmod(spread, F.lit(buckets)).cast("int"))
 
@@ -132,11 +188,16 @@ def merge_into_wide(spark: SparkSession, name: str, delta: DataFrame, key: str |
     that the delta falls in. ``buckets`` is fixed at creation; a delta should touch few of them, so choose
     more buckets for small deltas on a large table.
 
-    The new content of the touched buckets is stored next to the table before the first bucket is replaced.
-    If a run breaks off in between, the next merge starts by finishing that replacement, which can be
-    repeated without harm because it writes whole buckets. ``staged=False`` writes the buckets only once;
+    The new content of the touched buckets is stored next to the table, under a name of its own, before the first
+    bucket is replaced, and a property of the table then names it. If a run breaks off after that, the next merge
+    begins with that replacement, which can be repeated without harm because it writes whole buckets; what is
+    left of a run that broke off earlier is in nobody's way. ``staged=False`` writes the buckets only once;
     lost executors do no harm then either, but a driver that is lost during the final renames does.
 
+    A merge that finds, before it replaces anything, that another one has changed the table since it began
+    raises ``ConcurrentMergeError``. Merges of one driver are kept apart by a lock; two drivers must not replace
+    buckets of one table at the same moment.
+
     The delta is read several times and is therefore first written to the shared folder, unless ``stored``
     says that it comes straight from a stored table other than this one. ``select_fields`` may hold
     expressions, and ``properties`` are given to the table when it is created.
@@ -150,47 +211,58 @@ def merge_into_wide(spark: SparkSession, name: str, delta: DataFrame, key: str |
 
     if not table_exists(spark, name):
         first = _with_bucket(delta, keys, buckets)
-        ensure_table(spark, name, first.schema, partition_by=BUCKET,
-                     properties={**(properties or {}), BUCKETS_PROPERTY: str(buckets)})
+        ensure_table(spark, name, first.schema, partition_by=BUCKET, options={"partitionOverwriteMode": "dynamic"},
+                     properties={**(properties or {}), BUCKETS_PROPERTY: str(buckets), VERSION_PROPERTY: "0"})
         first.hint("rebalance", BUCKET).write.insertInto(name)
         return
 
     buckets = get_property(spark, name, BUCKETS_PROPERTY)
     if buckets is None:
         raise ValueError(f"{name} was not created as a wide table")
-    buckets = int(buckets)
     _finish_replacement(spark, name)
-    scratch = None if stored else scratch_schema(spark, "merge")
+    version = get_property(spark, name, VERSION_PROPERTY)
     current = load(spark, name)
-    delta = _with_bucket(_as_target(current.drop(BUCKET), delta), keys, buckets)
-    if scratch:
-        delta = stage(delta, scratch, "delta")
-    stats = _delta_stats(delta, keys, F.col(BUCKET))
-    if stats:
+    delta = _with_bucket(_as_target(current.drop(BUCKET), delta), keys, int(buckets))
+    with ExitStack() as temporary:
+        if not stored:
+            delta = stage(delta, temporary.enter_context(scratch(spark, "merge")), "delta")
+        stats = _delta_stats(delta, keys, F.col(BUCKET))
+        if not stats:
+            return
         within = F.col(BUCKET).isin([row.group for row in stats])
         merged = _merge(current.filter(within), delta, keys, dates, on_duplicate, stats)
         # A row of any other bucket would take that bucket's place, so it has to stop the merge.
         checked = F.when(within, F.col(BUCKET)).otherwise(F.raise_error(F.lit("row outside the merged buckets")))
         merged = merged.withColumn(BUCKET, checked.cast("int")).hint("rebalance", BUCKET)
-        if staged:
-            merged.write.format("parquet").partitionBy(BUCKET).saveAsTable(_staged_name(name))
-            _finish_replacement(spark, name)
-        else:
-            with dynamic_overwrite(spark):
+        if not staged:
+            with LOCKS[name]:
+                _next_version(spark, name, version)
                 merged.write.mode("overwrite").insertInto(name)
-    if scratch:
-        drop_schema(spark, scratch)
+            return
+        new = f"{name}__merged_{uuid4().hex[:12]}"
+        try:
+            merged.write.format("parquet").partitionBy(BUCKET).saveAsTable(new)
+            with LOCKS[name]:
+                _next_version(spark, name, version, new)
+                _finish_replacement(spark, name)
+        except ConcurrentMergeError:
+            drop_tables(spark, [new])
+            raise
 
 
-def _staged_name(name: str) -> str:
-    return f"{name}__merged"
+def _next_version(spark: SparkSession, name: str, version: str | None, pending: str = "") -> None:
+    """Claim the table's next version for a merge that began at this one."""
+    if get_property(spark, name, VERSION_PROPERTY) != version or get_property(spark, name, PENDING_PROPERTY):
+        raise ConcurrentMergeError(f"{name} was changed by another merge")
+    set_properties(spark, name, {VERSION_PROPERTY: str(int(version or 0) + 1), PENDING_PROPERTY: pending})
 
 
 def _finish_replacement(spark: SparkSession, name: str) -> None:
     """Put a completely stored set of buckets, if there is one, in the place of the table's own."""
-    staged = _staged_name(name)
-    if not table_exists(spark, staged):
-        return
-    with dynamic_overwrite(spark):
-        load(spark, staged).write.mode("overwrite").insertInto(name)
-    drop_tables(spark, [staged])
+    with LOCKS[name]:
+        pending = get_property(spark, name, PENDING_PROPERTY)
+        if pending and table_exists(spark, pending):
+            load(spark, pending).write.mode("overwrite").insertInto(name)
+        if pending:
+            set_properties(spark, name, {PENDING_PROPERTY: ""})
+            drop_tables(spark, [pending])

@@ -6,12 +6,12 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 
 from tidescore.operators.audit import funnel_audit, validate_results
 from tidescore.operators.history import append_to_history
 from tidescore.operators.lookup import join_result
-from tidescore.operators.scoring import score
+from tidescore.operators.scoring import score, score_with_columns
 from tidescore.plans.store import Events, History, Wide, store_results
 from tidescore.sources.scratch import drop_schema, scratch_schema, stage
 from tidescore.sources.tables import ensure_table, insert_rows, load
@@ -19,13 +19,24 @@ from tidescore.sources.tables import ensure_table, insert_rows, load
 
 @dataclass(frozen=True)
 class Model:
-    """A model, the features it reads, the columns it adds (as DDL) and the coverage it has to reach."""
+    """A model, the features it reads, and the coverage it has to reach.
+
+    It is given in one of three forms: ``load`` with the columns it adds as DDL in ``predictions``, as for
+    ``score``; ``columns``, new columns as expressions; or ``table``, where its predictions are already stored
+    under the chain's key.
+    """
 
     name: str
     features: Sequence[str]
-    load: Callable
-    predictions: str
+    load: Callable | None = None
+    predictions: str = ""
     threshold: float = 99.0
+    columns: Mapping[str, Column] | None = None
+    table: str | None = None
+
+    def __post_init__(self):
+        if sum(form is not None for form in (self.load, self.columns, self.table)) != 1:
+            raise ValueError(f"model {self.name}: give one of load, columns and table")
 
 
 @dataclass(frozen=True)
@@ -34,7 +45,7 @@ class Step:
 
     ``build`` makes the step's table from its input: a function of the input frame, or SQL text that reads
     ``{input}``; ``params`` are the function's arguments or the text's named parameters. Without ``build``
-    the input is taken as it is. The input is the previous step's output unless ``input_step`` names
+    the input is taken as it is, and not copied if it is a stored table. The input is the previous step's output unless ``input_step`` names
     another one or ``input_table`` a table.
     """
 
@@ -95,30 +106,40 @@ def run_chain(spark: SparkSession, source: DataFrame | str, steps: Sequence[Step
     lacks are recorded under the next step's name with priority 2; a key can be in both records.
 
     ``only`` runs just the steps it names, and ``overrides`` changes fields of single steps, for backfills.
-    ``dropped_history`` names the history table that the run's dropped rows are appended to.
+    ``dropped_history`` names the history table that the run's dropped rows are appended to. A run that fails
+    leaves none of its own tables behind.
     """
     steps = _selected(steps, only, overrides or {})
     schema = scratch_schema(spark, "run")
-    source = load(spark, source) if isinstance(source, str) else source
-    key_type = source.schema[key].dataType.simpleString()
+    try:
+        return _run(spark, schema, source, steps, key, run_type, execution_date, dropped_history, store)
+    except BaseException:
+        drop_schema(spark, schema)
+        raise
+
+
+def _run(spark: SparkSession, schema: str, source: DataFrame | str, steps: Sequence[Step], key: str, run_type: str,
+         execution_date, dropped_history: str | None, store: bool) -> ChainResult:
+    is_stored = isinstance(source, str)
+    current = load(spark, source) if is_stored else source
+    key_type = current.schema[key].dataType.simpleString()
     dropped_table = f"{schema}.dropped_rows"
     ensure_table(spark, dropped_table, f"`{key}` {key_type}, drop_step string, priority double")
 
     outputs: dict[str, DataFrame] = {}
     rows: dict[str, Row] = {}
-    current = source
     for step in steps:
-        built = _build(_input(spark, step, outputs, current), step)
+        is_stored = is_stored or bool(outputs) or bool(step.input_table or step.input_step)
+        kernel = _input(spark, step, outputs, current)
+        if step.build is not None or not is_stored:
+            kernel = stage(_build(kernel, step), schema, step.name if step.model is None else f"{step.name}__kernel")
         if step.model is None:
-            current = stage(built, schema, step.name)
+            current = kernel
         else:
-            model = step.model
-            kernel = stage(built, schema, f"{step.name}__kernel")
-            scored = stage(score(kernel, key, model.features, model.load, model.predictions),
-                           schema, f"{step.name}__scored")
-            rows[step.name], missing = validate_results(kernel, scored, key, model.name, model.threshold)
+            scored = _predictions(spark, schema, step, kernel, key)
+            rows[step.name], missing = validate_results(kernel, scored, key, step.model.name, step.model.threshold)
             insert_rows(missing, dropped_table)
-            current = stage(join_result(kernel, scored, key, model.features), schema, step.name)
+            current = stage(join_result(kernel, scored, key, step.model.features), schema, step.name)
         outputs[step.name] = current
         store_results(current, key, run_type, execution_date, history=step.history, wide=step.wide,
                       events=step.events, store=store, stored=True)
@@ -130,6 +151,16 @@ def run_chain(spark: SparkSession, source: DataFrame | str, steps: Sequence[Step
     return ChainResult(spark, schema, outputs, rows, dropped)
 
 
+def _predictions(spark: SparkSession, schema: str, step: Step, kernel: DataFrame, key: str) -> DataFrame:
+    """The model's predictions: stored ones as they are, expressions unstored, those of a function stored once."""
+    model = step.model
+    if model.table is not None:
+        return load(spark, model.table)
+    if model.columns is not None:
+        return score_with_columns(kernel, key, model.features, model.columns)
+    return stage(score(kernel, key, model.features, model.load, model.predictions), schema, f"{step.name}__scored")
+
+
 def _selected(steps: Sequence[Step], only: Sequence[str] | None, overrides: Mapping[str, Mapping]) -> list[Step]:
     names = [step.name for step in steps]
     unknown = [name for name in [*(only or []), *overrides] if name not in names]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from tidescore.operators.history import append_to_history
 from tidescore.operators.outbox import events_to_write, write_events
 from tidescore.operators.wide import merge_into_wide
-from tidescore.sources.scratch import drop_schema, scratch_schema, stage
+from tidescore.sources.scratch import scratch, stage
 
 
 @dataclass(frozen=True)
@@ -36,9 +37,12 @@ class Wide:
 
 @dataclass(frozen=True)
 class Events:
+    """An events table and its registry; ``announced`` has the registry's source_number, endpoint and priority."""
+
     table: str
     registry: str
     evid: int
+    announced: Mapping[str, object]
     build: Callable[[DataFrame], DataFrame] | None = None
     seen: DataFrame | None = None
     where: Column | None = None
@@ -55,20 +59,19 @@ def store_results(df: DataFrame, key: str | Sequence[str], run_type: str | None
     """
     if not store:
         return
-    spark, scratch = df.sparkSession, None
-    if not stored and sum(place is not None for place in (history, wide, events)) > 1:
-        scratch = scratch_schema(spark, "result")
-        df = stage(df, scratch, "result")
-    if history:
-        append_to_history(df, history.table, run_type, execution_date, columns=history.columns,
-                          nulls=history.nulls, sort_by=history.sort_by, replace_run=history.replace_run)
-    if wide:
-        merge_into_wide(spark, wide.table, df, key, wide.date_columns, select_fields=wide.select_fields,
-                        date_updated=wide.date_updated, now=wide.now, on_duplicate=wide.on_duplicate,
-                        buckets=wide.buckets, stored=stored or scratch is not None, staged=wide.staged)
-    if events:
-        source = events.build(df) if events.build else df
-        rows = events_to_write(source, key, events.seen, events.where, events.limit)
-        write_events(rows, events.table, events.registry, events.evid)
-    if scratch:
-        drop_schema(spark, scratch)
+    spark = df.sparkSession
+    with ExitStack() as temporary:
+        if not stored and sum(place is not None for place in (history, wide, events)) > 1:
+            df = stage(df, temporary.enter_context(scratch(spark, "result")), "result")
+            stored = True
+        if history:
+            append_to_history(df, history.table, run_type, execution_date, columns=history.columns,
+                              nulls=history.nulls, sort_by=history.sort_by, replace_run=history.replace_run)
+        if wide:
+            merge_into_wide(spark, wide.table, df, key, wide.date_columns, select_fields=wide.select_fields,
+                            date_updated=wide.date_updated, now=wide.now, on_duplicate=wide.on_duplicate,
+                            buckets=wide.buckets, stored=stored, staged=wide.staged)
+        if events:
+            source = events.build(df) if events.build else df
+            rows = events_to_write(source, key, events.seen, events.where, events.limit)
+            write_events(rows, events.table, events.registry, events.evid, **events.announced)

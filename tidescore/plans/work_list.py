@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidescore.operators.lookup import fill_missing
-from tidescore.sources.tables import create_table, load
+from tidescore.sources.tables import create_table, load, restore_table
 
 
 class WorkFailed(RuntimeError):
@@ -15,6 +15,7 @@ class WorkFailed(RuntimeError):
 def update_work_list(spark: SparkSession, name: str, finished: DataFrame, key: str = "table_name",
                      column: str = "enriched_table_name", failed: bool = False) -> DataFrame:
     """Fill the results of finished work into the list, replace the list, and only then report failures."""
+    restore_table(spark, name)
     filled = fill_missing(load(spark, name), finished.select(key, column).distinct(), key, column)
     stored = create_table(spark, filled, name, swap=True)
     if failed:

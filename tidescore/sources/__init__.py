@@ -9,6 +9,7 @@ from tidescore.sources.tables import (
     load,
     move_with_view,
     replace_rows,
+    restore_table,
     set_properties,
     store,
     table_exists,
@@ -25,6 +26,7 @@ __all__ = [
     "load",
     "move_with_view",
     "replace_rows",
+    "restore_table",
     "scratch_schema",
     "set_properties",
     "shared_dir",

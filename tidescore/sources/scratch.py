@@ -44,12 +44,10 @@ def stage(df: DataFrame, schema: str, name: str) -> DataFrame:
 
 
 @contextmanager
-def dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
-    """Let an overwrite replace only the partitions that the new rows fall in."""
-    setting = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "dynamic")
+def scratch(spark: SparkSession, prefix: str = "scratch") -> Iterator[str]:
+    """A scratch schema that is dropped at the end, also after a failure."""
+    name = scratch_schema(spark, prefix)
     try:
-        yield
+        yield name
     finally:
-        spark.conf.set(setting, before)
+        drop_schema(spark, name)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -12,6 +12,10 @@ from tidescore.functions.columns import as_list, cap_rows
 from tidescore.functions.frames import inline_rows, stack_distinct
 
 
+# Between a table's name and a unique one, for the old table while a swap is going on.
+REPLACED = "__replaced_"
+
+
 def is_path(name: str) -> bool:
     return "/" in name
 
@@ -55,22 +59,41 @@ def create_table(spark: SparkSession, source: str | DataFrame, name: str, *, swa
     """Create or replace a table from SQL text (with named parameters ``args``) or from a frame.
 
     With ``swap`` the rows are first written next to the table and then renamed into place, so the
-    query may read the table it replaces, and a failing query leaves the old table as it was.
+    query may read the table it replaces, and a failing query leaves the old table as it was. The old table is
+    renamed before it is dropped; a run that breaks off in between is put right by ``restore_table``, which
+    this begins with. What is left of a broken-off write has a name of its own and is in nobody's way.
     """
+    if swap:
+        restore_table(spark, name)
     df = spark.sql(source, args=dict(args)) if isinstance(source, str) and args else source
     df = spark.sql(df) if isinstance(df, str) else df
     df = cap_rows(df, limit)
     if not swap:
         store(df, name)
         return load(spark, name)
-    staged = f"{name}__tmp"
-    drop_tables(spark, [staged])
+    staged = f"{name}__new_{uuid4().hex[:12]}"
     store(df, staged)
-    drop_tables(spark, [name])
+    old = f"{name}{REPLACED}{uuid4().hex[:12]}"
+    if table_exists(spark, name):
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
     spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+    drop_tables(spark, [old])
     return load(spark, name)
 
 
+def restore_table(spark: SparkSession, name: str) -> None:
+    """Undo or finish a swap that broke off: the renamed old table comes back, or goes if the new one is there."""
+    schema, _, table = name.rpartition(".")
+    within = f" IN {schema}" if schema else ""
+    found = spark.sql(f"SHOW TABLES{within} LIKE '{table}{REPLACED}*'").collect()
+    for row in found:
+        old = f"{schema}.{row.tableName}" if schema else row.tableName
+        if table_exists(spark, name):
+            drop_tables(spark, [old])
+        else:
+            spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
+
+
 def create_table_with(spark: SparkSession, build: Callable[..., DataFrame], input_table: str, name: str,
                       **arguments) -> DataFrame:
     """Create or replace a table with a user function from the input frame to the output frame."""
@@ -78,14 +101,15 @@ def create_table_with(spark: SparkSession, build: Callable[..., DataFrame], inpu
 
 
 def ensure_table(spark: SparkSession, name: str, schema: T.StructType | str, *,
-                 partition_by: str | Sequence[str] | None = None,
-                 properties: Mapping[str, str] | None = None) -> DataFrame:
-    """Create an empty table with a declared schema unless it exists."""
+                 partition_by: str | Sequence[str] | None = None, properties: Mapping[str, str] | None = None,
+                 options: Mapping[str, str] | None = None) -> DataFrame:
+    """Create an empty table with a declared schema unless it exists; ``options`` hold for its writers."""
     if not table_exists(spark, name):
         fields = schema if isinstance(schema, str) else schema.toDDL()
         parts = f" PARTITIONED BY ({', '.join(as_list(partition_by))})" if partition_by else ""
         tags = f" TBLPROPERTIES ({_pairs(properties)})" if properties else ""
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({fields}) USING parquet{parts}{tags}")
+        settings = f" OPTIONS ({_pairs(options)})" if options else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({fields}) USING parquet{settings}{parts}{tags}")
     return load(spark, name)
 
 
@@ -115,13 +139,7 @@ def move_with_view(spark: SparkSession, name: str, new_name: str) -> None:
     spark.sql(f"CREATE VIEW {name} AS SELECT * FROM {new_name}")
 
 
-def replace_rows(spark: SparkSession, name: str, rows: Sequence[tuple], schema: T.StructType | str,
-                 wait_seconds: float = 120.0) -> DataFrame:
-    """Replace a small control table by rows held by the caller; one more try after a failure."""
-    df = inline_rows(spark, rows, schema, distinct=False)
-    try:
-        store(df, name)
-    except Exception:
-        time.sleep(wait_seconds)
-        store(df, name)
+def replace_rows(spark: SparkSession, name: str, rows: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
+    """Replace a small control table by rows held by the caller. Whoever runs this decides about another try."""
+    store(inline_rows(spark, rows, schema, distinct=False), name)
     return load(spark, name)

@@ -14,19 +14,22 @@ RUN_DATE = dt.date(2024, 3, 1)
 
 
 @query("""
-    SELECT 'history' AS place, count(*) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders
-    UNION ALL SELECT 'wide', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders WHERE o_orderstatus <> 'P'
-    UNION ALL SELECT 'events', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders
+    SELECT 'history' AS place, o_orderkey, o_orderstatus, CAST(o_orderdate AS DATE) AS execution_date FROM orders
+    UNION ALL SELECT 'wide', o_orderkey, o_orderstatus, CAST(o_orderdate AS DATE) FROM orders
+      WHERE o_orderstatus <> 'P'
+    UNION ALL SELECT 'events', o_orderkey, o_orderstatus, CAST(o_orderdate AS DATE) FROM orders
       WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT event_id FROM events WHERE event_type = 'click')""")
 def store_results_query(spark, sf_dir):
+    """The rows of every place, under the orders' own dates."""
     schema = scratch_schema(spark, "query")
     orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_orderstatus", F.trunc("o_orderdate", "year").alias("execution_date"))
+        "o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("execution_date"))
     clicks = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("o_orderkey"), "event_type", F.col("ts").alias("date_created"))
     history = History(f"{schema}.history")
     wide = Wide(f"{schema}.wide", buckets=8)
     events = Events(f"{schema}.events", f"{schema}.registry", 1511,
+                    {"source_number": 7, "endpoint": "orders", "priority": 3},
                     build=lambda rows: rows.filter("o_orderstatus = 'O'"), seen=clicks,
                     where=seen_since("click", "2024-01-01", "2024-02-01", evid_column="event_type"))
     finished = orders.filter("o_orderstatus <> 'P'")
@@ -35,9 +38,8 @@ def store_results_query(spark, sf_dir):
     store_results(orders, "o_orderkey", "daily", history=history, wide=wide, store=False)
     places = [("history", spark.table(history.table)), ("wide", read_wide(spark, wide.table)),
               ("events", spark.table(events.table))]
-    sums = [rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("o_orderkey").alias("key_sum"))
-            .select(F.lit(place).alias("place"), "n_rows", "key_sum") for place, rows in places]
-    return sums[0].unionAll(sums[1]).unionAll(sums[2])
+    rows = [found.select(F.lit(place).alias("place"), *orders.columns) for place, found in places]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
 
 
 def partial_model():
@@ -63,7 +65,7 @@ def document_steps(schema):
     return [
         Step("known_sources", lambda rows: rows.filter("source <> 'src19'")),
         Step("scored", model=model, wide=wide, history=History(
-            f"{schema}.history", columns=["doc_id", "lang", "length_score"], nulls={"visual_content": "string"})),
+            f"{schema}.history", columns=["doc_id", "lang", "length_score"], nulls={"remark": "string"})),
         sql_step("confident", TEMPLATES, "confident", least=0.2),
         sql_step("english", TEMPLATES, "english"),
     ]
@@ -107,7 +109,7 @@ def scoring_chain_dropped(spark, sf_dir):
 
 
 @query(f"""
-    SELECT h.doc_id, h.lang, h.length_score, CAST(NULL AS VARCHAR) AS visual_content, 'daily' AS run_type,
+    SELECT h.doc_id, h.lang, h.length_score, CAST(NULL AS VARCHAR) AS remark, 'daily' AS run_type,
            h.execution_date, w.length_score AS wide_score
     FROM ({SCORED}) h JOIN ({SCORED}) w ON h.doc_id = w.doc_id""")
 def scoring_chain_stored(spark, sf_dir):
@@ -127,3 +129,25 @@ def scoring_chain_backfill(spark, sf_dir):
     _, result = document_chain(spark, sf_dir, only=["scored", "confident"], store=False,
                                overrides={"confident": {"params": {"least": 0.5}}})
     return result.dropped
+
+
+@query("""
+    SELECT doc_id, lang, quality, toxic, drop_step FROM documents LEFT JOIN labels USING (doc_id)
+    LEFT JOIN (SELECT d.doc_id, 'model_labels' AS drop_step FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id)
+      USING (doc_id)""")
+def chain_with_stored_predictions(spark, sf_dir):
+    """The labels as stored predictions of the documents, next to what the check recorded as dropped."""
+    model = Model("labels", [], table=f"{sf_dir}/labels.parquet", threshold=20)
+    result = run_chain(spark, f"{sf_dir}/documents.parquet", [Step("labelled", model=model)], "doc_id")
+    labelled = result.outputs["labelled"].select("doc_id", "lang", "quality", "toxic")
+    return labelled.join(result.dropped.select("doc_id", "drop_step"), "doc_id", "left")
+
+
+@query("""
+    SELECT doc_id, lang, n_chars, CAST(n_chars AS DOUBLE) / 10 AS tenth, lang <> 'en' AS foreign_language FROM documents""")
+def chain_with_column_model(spark, sf_dir):
+    """A model of expressions; a second step without a build or a model hands its input on."""
+    model = Model("tenths", ["lang", "n_chars"], columns={
+        "tenth": F.col("n_chars") / 10, "foreign_language": F.col("lang") != "en"})
+    steps = [Step("scored", lambda rows: rows.select("doc_id", "lang", "n_chars"), model=model), Step("same")]
+    return run_chain(spark, f"{sf_dir}/documents.parquet", steps, "doc_id").outputs["same"]

@@ -19,7 +19,7 @@ def history_by_date_column(spark, sf_dir):
 
 
 @query("""
-    SELECT doc_id, lang, source, CAST(NULL AS VARCHAR) AS visual_content, 'monthly' AS run_type,
+    SELECT doc_id, lang, source, CAST(NULL AS VARCHAR) AS remark, 'monthly' AS run_type,
            DATE '2024-02-01' AS execution_date
     FROM documents
     UNION ALL
@@ -29,7 +29,7 @@ def history_by_given_date(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     for day, rows in (("2024-02-01", documents), ("2024-03-01", documents.filter("lang = 'en'"))):
         append_to_history(rows, name, "monthly", day, columns="doc_id,lang,source",
-                          nulls={"visual_content": "string"})
+                          nulls={"remark": "string"})
     return spark.table(name)
 
 

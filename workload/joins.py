@@ -1,13 +1,16 @@
 """Projection, scoring, joins, set operations and the latest-before lookup."""
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidescore.functions import cap_rows, inline_rows, nullify, pending, project_features, stack_distinct
 from tidescore.operators import (
+    anti_join,
     enrich_features,
     fill_missing,
     join_result,
+    left_join,
     score,
     score_with_columns,
     snapshot_max_ts,
@@ -50,6 +53,54 @@ def score_batches(spark, sf_dir):
                  LENGTH_PREDICTIONS)
 
 
+def doubling_model():
+    def load():
+        def predict(batch: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"doubled": batch["amount"] * 2}, index=batch.index)
+        return predict
+    return load
+
+
+@query("""
+    SELECT nullif(doc_id, 3) + 9007199254740992 AS key, nullif(n_chars, 100) + 9007199254740993 AS amount,
+           (nullif(n_chars, 100) + 9007199254740993) * 2 AS doubled
+    FROM documents""")
+def score_wide_numbers(spark, sf_dir):
+    """Keys and features that a double cannot hold, some of them null."""
+    rows = table(spark, sf_dir, "documents").selectExpr(
+        "nullif(doc_id, 3) + 9007199254740992 AS key", "nullif(n_chars, 100) + 9007199254740993 AS amount")
+    return score(rows, "key", "amount", doubling_model(), "doubled bigint")
+
+
+@query("""
+    SELECT ts, event_id AS amount, event_id * 2 AS doubled FROM events""")
+def score_by_time(spark, sf_dir):
+    """A timestamp as the key."""
+    rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("amount"))
+    scored = score(rows, "ts", "amount", doubling_model(), "doubled bigint")
+    return scored.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, n_orders FROM lineitem LEFT JOIN
+      (SELECT o_custkey AS l_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n_orders FROM orders)
+      USING (l_orderkey)""")
+def left_join_split(spark, sf_dir):
+    """Customers' numbers as order numbers, each repeated; the keys with many rows are joined apart."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    several = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("l_orderkey"), F.count(F.lit(1)).over(
+        Window.partitionBy("o_custkey")).alias("n_orders"))
+    return left_join(lines, several, "l_orderkey", max_key_rows=10, broadcast=False)
+
+
+@query("""
+    SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)""")
+def anti_join_large(spark, sf_dir):
+    """No count of the right side is given, so its distinct keys are stored and both sides are shuffled."""
+    heavy = table(spark, sf_dir, "lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))
+    return anti_join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), heavy, "o_orderkey")
+
+
 @query(LENGTH_SQL)
 def score_columns(spark, sf_dir):
     return score_with_columns(table(spark, sf_dir, "documents"), "doc_id", "lang,n_chars", {

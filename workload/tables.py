@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidescore.functions import add_date_updated
 from tidescore.operators import events_to_write, seen_since, write_events
 from tidescore.plans import sql_frame
 from tidescore.sources import (
@@ -13,9 +14,10 @@ from tidescore.sources import (
     insert_rows,
     load,
     move_with_view,
+    replace_rows,
     scratch_schema,
+    set_properties,
     store,
-    table_exists,
 )
 from workload.registry import query, table
 
@@ -78,26 +80,68 @@ def moved_table_and_view(spark, sf_dir):
     return load(spark, f"{schema}.parts").unionAll(load(spark, f"{schema}.parts_moved"))
 
 
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
 @query("""
-    SELECT c_mktsegment AS segment, count(*) AS n_rows,
-           c_mktsegment NOT IN ('BUILDING', 'HOUSEHOLD') AS still_there
-    FROM customer GROUP BY 1""")
+    SELECT c_custkey, lower(c_mktsegment) AS segment, c_mktsegment NOT IN ('BUILDING', 'HOUSEHOLD') AS still_there
+    FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY')""")
 def dropped_listed_tables(spark, sf_dir):
-    """One table per segment; the work list names some of them, one pending, one that does not exist."""
+    """One table per segment; the work list names some of them, one pending, one that does not exist.
+
+    Each customer comes with whether the table of the customer's segment is still in the catalog.
+    """
     schema = scratch_schema(spark, "query")
     customers = table(spark, sf_dir, "customer")
-    segments = [row[0] for row in customers.select("c_mktsegment").distinct().collect()]
-    counts = []
-    for segment in segments:
-        part = create_table(spark, customers.filter(F.col("c_mktsegment") == segment), f"{schema}.{segment}")
-        counts.append((segment, part.count()))
+    for segment in SEGMENTS:
+        create_table(spark, customers.filter(F.col("c_mktsegment") == segment), f"{schema}.{segment}")
     work_list = customers.filter("c_mktsegment IN ('BUILDING', 'HOUSEHOLD')").select(
         F.concat(F.lit(f"{schema}."), "c_mktsegment").alias("table_name"),
         F.when(F.col("c_mktsegment") == "BUILDING", f"{schema}.not_there").alias("enriched_table_name"))
     drop_listed_tables(spark, [work_list])
     drop_tables(spark, [f"{schema}.not_there_either", None])
-    rows = [(segment, n, table_exists(spark, f"{schema}.{segment}")) for segment, n in counts]
-    return spark.createDataFrame(rows, "segment string, n_rows bigint, still_there boolean")
+    left = spark.sql(f"SHOW TABLES IN {schema}").select(F.col("tableName").alias("segment"), F.lit(True).alias("found"))
+    listed = customers.filter(F.col("c_mktsegment").isin(*SEGMENTS)).select(
+        "c_custkey", F.lower("c_mktsegment").alias("segment"))
+    return listed.join(F.broadcast(left), "segment", "left").select(
+        "c_custkey", "segment", F.coalesce("found", F.lit(False)).alias("still_there"))
+
+
+@query("SELECT n_nationkey, n_name, 'merge-on-read' AS write_mode FROM nation")
+def table_property(spark, sf_dir):
+    """A table's rows, each with a property that was set on the table and read back."""
+    name = f"{scratch_schema(spark, 'query')}.nations"
+    store(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), name)
+    set_properties(spark, name, {"write.mode": "copy-on-write"})
+    set_properties(spark, name, {"write.mode": "merge-on-read"})
+    shown = spark.sql(f"SHOW TBLPROPERTIES {name}").filter("key = 'write.mode'").select(F.col("value").alias("write_mode"))
+    return load(spark, name).join(F.broadcast(shown))
+
+
+@query("""
+    SELECT r_regionkey, r_name, count(*) AS n_nations FROM region JOIN nation ON r_regionkey = n_regionkey
+    WHERE r_regionkey IN (1, 3) GROUP BY ALL""")
+def replaced_control_table(spark, sf_dir):
+    """The regions that a small control table names after it was replaced, with their nations counted."""
+    name = f"{scratch_schema(spark, 'query')}.control"
+    for keys in ([(0,), (2,)], [(1,), (3,)]):
+        replace_rows(spark, name, keys, "r_regionkey int")
+    regions = table(spark, sf_dir, "region").join(load(spark, name), "r_regionkey")
+    nations = table(spark, sf_dir, "nation")
+    return (regions.join(nations, regions.r_regionkey == nations.n_regionkey)
+            .groupBy("r_regionkey", "r_name").agg(F.count(F.lit(1)).alias("n_nations")))
+
+
+@query("""
+    SELECT c_custkey, TIMESTAMP '2024-03-01 08:30:00' AS date_updated FROM customer
+    WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-10')""")
+def stamped_and_unseen(spark, sf_dir):
+    """The update time fixed, and the events window open to its default end, tomorrow."""
+    purchases = table(spark, sf_dir, "events").withColumnsRenamed({"user_id": "c_custkey", "ts": "date_created"})
+    rows = events_to_write(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", purchases,
+                           seen_since("purchase", "2024-01-10", evid_column="event_type"))
+    stamped = add_date_updated(add_date_updated(rows, "2024-03-01 08:30:00"), "2030-01-01 00:00:00")
+    return stamped.withColumn("date_updated", F.col("date_updated").cast("timestamp_ntz"))
 
 
 @query("""
@@ -130,21 +174,23 @@ def events_to_write_query(spark, sf_dir):
 
 
 @query(f"""
-    SELECT 'unseen' AS events_table, 'profile-events' AS endpoint, 70 AS source_number, 1511 AS evid,
-           true AS drop_table, 1 AS priority, (SELECT count(*) FROM ({UNSEEN_SQL})) AS n_events
+    SELECT 'unseen' AS events_table, 'customers' AS endpoint, 7 AS source_number, 1511 AS evid,
+           true AS drop_table, 3 AS priority, TIMESTAMP '2024-03-01 12:00:00' AS date_created,
+           (SELECT count(*) FROM ({UNSEEN_SQL})) AS n_events
     UNION ALL
-    SELECT 'all_customers', 'profile-events', 70, 1512, true, 1, (SELECT count(*) FROM customer)""")
+    SELECT 'all_customers', 'customers', 7, 1512, true, 3, TIMESTAMP '2024-03-01 12:00:00', (SELECT count(*) FROM customer)""")
 def outbox_registry(spark, sf_dir):
     """Two events tables written and announced; each registry row with its table's row count."""
     schema = scratch_schema(spark, "query")
-    registry = f"{schema}.tables_to_write"
+    registry = f"{schema}.registry"
     seen, where = unseen_customers(spark, sf_dir)
     source = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     for name, rows, evid in (("unseen", events_to_write(source, "c_custkey", seen, where), 1511),
                              ("all_customers", events_to_write(source, "c_custkey"), 1512)):
-        write_events(rows, f"{schema}.{name}", registry, evid)
+        write_events(rows, f"{schema}.{name}", registry, evid, source_number=7, endpoint="customers", priority=3,
+                     now="2024-03-01 12:00:00")
     counts = [load(spark, f"{schema}.{name}").agg(F.count(F.lit(1)).alias("n_events"))
               .select(F.lit(f"{schema}.{name}").alias("table_name"), "n_events")
               for name in ("unseen", "all_customers")]
-    registered = load(spark, registry).drop("date_created").join(counts[0].unionAll(counts[1]), "table_name")
+    registered = load(spark, registry).join(counts[0].unionAll(counts[1]), "table_name")
     return registered.withColumn("events_table", F.substring_index("table_name", ".", -1)).drop("table_name")

@@ -137,3 +137,19 @@ def merge_into_wide_reshaped(spark, sf_dir):
     for rows in (orders.filter("o_orderkey % 2 = 0"), new):
         merge_into_wide(spark, name, rows, "k", "site_change_date", select_fields=shape, buckets=8, staged=False)
     return read_wide(spark, name)
+
+
+@query("""
+    SELECT lower(c_mktsegment) AS segment, max(c_custkey) AS custkey, DATE '2024-01-02' AS execution_date
+    FROM customer GROUP BY 1""")
+def merge_by_folded_key(spark, sf_dir):
+    """Segments in capitals and in lower case are one key after folding; a narrower number is widened."""
+    name = f"{scratch_schema(spark, 'query')}.wide"
+    customers = table(spark, sf_dir, "customer")
+    fields = [F.lower("c_mktsegment").alias("segment"), "custkey", "execution_date"]
+    for day, text in (("2024-01-01", F.col("c_mktsegment")), ("2024-01-02", F.lower("c_mktsegment"))):
+        rows = customers.groupBy(text.alias("c_mktsegment")).agg(F.max("c_custkey").alias("custkey"))
+        rows = rows.withColumn("execution_date", F.lit(day).cast("date"))
+        merge_into_wide(spark, name, rows, "segment", select_fields=fields, buckets=4)
+    merge_into_wide(spark, name, spark.table(name).limit(0).withColumn("custkey", F.lit(1)), "segment")
+    return read_wide(spark, name)
