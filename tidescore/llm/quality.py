@@ -89,12 +89,16 @@ def _described(docs: DataFrame, host_col: str, id_col: str, text_col: str) -> Da
                        F.xxhash64(doc_id, host.isNull(), host, text).alias("row"), lines_of(text).alias("lines"))
 
 
-def _with_removed(rows: DataFrame, most_documents: int, most_share: float) -> DataFrame:
-    """The rows with ``bad``, their frequent lines, and ``n_removed_words``, the words in these."""
+def _bad_lines(rows: DataFrame, most_documents: int, most_share: float) -> DataFrame:
+    """From stored rows of ``_described`` to ``row, bad``: the frequent lines of each row that has some."""
     frequent = frequent_lines(rows, most_documents, most_share)
     lines = rows.select("row", "host", F.explode("lines.line").alias("line")).filter("line IS NOT NULL")
-    bad = (lines.join(frequent, ["host", "line"], "left_semi")
-           .groupBy("row").agg(F.collect_set("line").alias("bad")))
+    return (lines.join(frequent, ["host", "line"], "left_semi")
+            .groupBy("row").agg(F.collect_set("line").alias("bad")))
+
+
+def _with_removed(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows with ``bad`` and ``n_removed_words``, the words in these lines."""
     inside = F.filter("lines", lambda line: F.array_contains("bad", line["line"]))
     removed = F.aggregate(inside["words"], F.lit(0).cast("bigint"), lambda total, words: total + words)
     return rows.join(bad, "row", "left").withColumn(
@@ -104,7 +108,9 @@ def _with_removed(rows: DataFrame, most_documents: int, most_share: float) -> Da
 def remove_frequent_lines(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
                           most_documents: int = MOST_DOCUMENTS, most_share: float = MOST_SHARE) -> DataFrame:
     """Three columns: the id, the text that is left without frequent lines, and ``n_removed_words``."""
-    rows = _with_removed(_described(docs, host_col, id_col, text_col), most_documents, most_share)
+    rows = _described(docs, host_col, id_col, text_col)
+    stored = store(rows.drop("text"), folder(docs.sparkSession, "lines"))
+    rows = _with_removed(rows, _bad_lines(stored, most_documents, most_share))
     both = F.zip_with(F.split("text", "\n"), "lines",
                       lambda text, found: F.struct(text.alias("text"), found["line"].alias("line")))
     left = F.filter(both, lambda line: line["line"].isNull() | ~F.array_contains("bad", line["line"]))
@@ -121,7 +127,8 @@ def quality(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", t
     repeated runs of three. ``kept`` also needs that the document is not depleted.
     """
     rows = _described(docs, host_col, id_col, text_col).withColumn("counts", counts_of(F.col("text"))).drop("text")
-    found = _with_removed(rows, most_documents, most_share).select(
+    rows = store(rows, folder(docs.sparkSession, "lines"))
+    found = _with_removed(rows, _bad_lines(rows, most_documents, most_share)).select(
         F.col("doc_id").cast("bigint"), "counts.*", "n_removed_words")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     depleted = F.col("n_words") - F.col("n_removed_words") < least_left * F.col("n_words")
