@@ -69,3 +69,32 @@ def op3_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each document whose id is divisible by 20, by its whole text."""
     docs = documents(spark, sf_dir)
     return search.top_k(docs, docs.filter("doc_id % 20 = 0"))
+
+
+ORACLES["op9_quality_rules"] = r"""
+    WITH docs AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words
+                  FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)),
+    runs AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS times
+             FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM docs)),
+    again AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM runs, range(3) AS three(k) WHERE times > 1 GROUP BY doc_id),
+    lines AS (SELECT doc_id, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n_words,
+                     regexp_replace(regexp_replace(trim(lower(line)), '[\x20\x09-\x0D]+', ' ', 'g'), '\p{Nd}+', '0', 'g')
+                       AS name
+              FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM docs)),
+    repeated AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE n_words > 0 GROUP BY doc_id),
+    hosts AS (SELECT source, count(DISTINCT doc_id) AS n_docs FROM docs GROUP BY source),
+    frequent AS (SELECT source, name FROM lines JOIN hosts USING (source) WHERE n_words > 0
+                 GROUP BY source, name, n_docs
+                 HAVING count(DISTINCT doc_id) > 8 AND count(DISTINCT doc_id) > 0.01 * n_docs),
+    removed AS (SELECT doc_id, sum(n_words) AS n FROM lines JOIN frequent USING (source, name) GROUP BY doc_id),
+    counted AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda w: len(w))), 0) AS word_chars,
+                       len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(repeated.n, 0) AS n_dup_lines,
+                       coalesce(again.n, 0) AS n_repeat_words, coalesce(removed.n, 0) AS n_removed_words
+                FROM docs LEFT JOIN repeated USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN removed USING (doc_id))
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+           CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+           CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+           n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+           NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 0.3 * n_words AS kept,
+           CAST(n_removed_words AS BIGINT) AS n_removed_words
+    FROM counted"""
