@@ -75,10 +75,10 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def _shingles(text: Column) -> Column:
-    """The distinct shingle hashes of a line."""
-    coded = F.encode(text, "UTF-32")
+    """The distinct shingle hashes of a line. The line is encoded once, as the variable of the outer function."""
     places = F.sequence(F.lit(0), F.greatest(F.char_length(text) - SHINGLE, F.lit(0)))
-    return F.array_distinct(F.transform(places, lambda at: _shingle(coded, at)))
+    coded = F.array(F.encode(text, "UTF-32"))
+    return F.array_distinct(F.transform(coded, lambda line: F.transform(places, lambda at: _shingle(line, at)))[0])
 
 
 def similar(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
