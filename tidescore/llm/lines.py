@@ -3,10 +3,12 @@
 Only DataFrame functions are used. Lines are normalised (lower case, single spaces, no spaces at the ends) and
 equal ones become one vertex, named by the hash of the line. Its shingles are rows only within a task: the lines are
 shuffled once by their name, and each signature is an aggregation over rows that are already together. A
-signature has the minima of the shingle hashes under ``BANDS * ROWS`` orders; the orders are XORs with constants.
+signature has the minima of the shingle hashes under ``BANDS * ROWS`` orders: as many hashes as a band has rows, each
+with its order changed by XOR with constants. Sixteen bits of each minimum are kept.
 
 Lines that agree in all rows of a band share a bucket. In each bucket every line is compared with the bucket's first
-and last line, exactly, and connected components join what is similar. Where a bucket still holds several components,
+and last line, exactly, unless under half of their signatures agree (of lines of similarity 0.8, one pair in a
+hundred thousand; short lines are always compared), and connected components join what is similar. Where a bucket still holds several components,
 the pairs of lines from different ones are compared as well, so every pair of a bucket that could join
 components is looked at, and the pairs inside a component are not. One line per component stays: the first by
 document id and line number.
@@ -30,13 +32,20 @@ from tidescore.operators.skew import broadcast_if_small
 
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 10, 3
+# Minima that have to agree before lines are compared, and shingles below which they need not.
+LEAST_AGREEING, SHORT = BANDS * ROWS // 2, 32
 # Shingles that one generated array holds.
 PIECE = 4096
 LAST = 2**63 - 1
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+    """Lower case and single spaces. Most lines have single spaces already and need no pattern."""
+    low = F.trim(F.lower(line))
+    spaced = line.contains("  ")
+    for space in "\t\x0b\x0c\r":
+        spaced = spaced | line.contains(space)
+    return F.when(spaced, F.trim(F.regexp_replace(low, r"[\x20\x09-\x0D]+", " "))).otherwise(low)
 
 
 def _constant(number: int) -> int:
@@ -55,62 +64,79 @@ def all_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _shingle(code_points: Column, at: Column) -> Column:
-    """Hash of the shingle at a place, from a line in four bytes per character."""
-    return F.xxhash64(F.substring(code_points, at * 4 + 1, F.lit(4 * SHINGLE)))
+    """The shingle at a place, from a line in four bytes per character."""
+    return F.substring(code_points, at * 4 + 1, F.lit(4 * SHINGLE))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """From ``name, text`` to ``name, bands``: the buckets of each distinct line."""
+    """From ``name, text`` to ``name, last, minima`` of each distinct line; it has ``last`` + 1 shingles."""
     whole = lines.groupBy("name").agg(F.min("text").alias("text"))
     last = F.greatest(F.char_length("text") - SHINGLE, F.lit(0))
     coded = whole.select("name", F.encode("text", "UTF-32").alias("coded"), last.alias("last"))
     starts = coded.select("name", "coded", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(PIECE))).alias("start"))
     end = F.least(F.col("start") + (PIECE - 1), F.col("last"))
     places = starts.select("name", "coded", F.explode(F.sequence("start", end)).alias("at"))
-    hashed = places.select("name", _shingle(F.col("coded"), F.col("at")).alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(_constant(k)))).alias(f"m{k}") for k in range(BANDS * ROWS)]
-    signed = hashed.groupBy("name").agg(*minima)
-    bands = [F.xxhash64(F.lit(band), *[f"m{band * ROWS + row}" for row in range(ROWS)]) for band in range(BANDS)]
-    return signed.select("name", F.array(*bands).alias("bands"))
+    cut = places.select("name", "at", _shingle(F.col("coded"), F.col("at")).alias("shingle"))
+    hashed = cut.select("name", "at", *[F.xxhash64(F.lit(row), "shingle").alias(f"h{row}") for row in range(ROWS)])
+    minima = [F.min(F.col(f"h{k % ROWS}").bitwiseXOR(F.lit(_constant(k)))).alias(f"m{k}") for k in range(BANDS * ROWS)]
+    signed = hashed.groupBy("name").agg(F.max("at").alias("last"), *minima)
+    low = [F.shiftright(F.shiftleft(f"m{k}", 48), 48).cast("smallint") for k in range(BANDS * ROWS)]
+    return signed.select("name", "last", F.array(*low).alias("minima"))
+
+
+def _bands(minima: Column) -> Column:
+    """The buckets of a signature: which band, and the bits of its minima."""
+    def bits(k):
+        return minima[k].cast("bigint").bitwiseAND(F.lit(0xFFFF))
+
+    found = []
+    for band in range(BANDS):
+        key = F.lit(band).cast("bigint")
+        for row in range(ROWS):
+            key = F.shiftleft(key, 16).bitwiseOR(bits(band * ROWS + row))
+        found.append(key)
+    return F.array(*found)
 
 
 def _shingles(text: Column) -> Column:
     """The distinct shingle hashes of a line. The line is encoded once, as the variable of the outer function."""
     places = F.sequence(F.lit(0), F.greatest(F.char_length(text) - SHINGLE, F.lit(0)))
     coded = F.array(F.encode(text, "UTF-32"))
-    return F.array_distinct(F.transform(coded, lambda line: F.transform(places, lambda at: _shingle(line, at)))[0])
+    return F.array_distinct(F.transform(coded, lambda line: F.transform(places, lambda at: F.xxhash64(_shingle(line, at))))[0])
 
 
-def similar(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+def similar(pairs: DataFrame, signed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``a, b`` of names whose lines' shingle sets have at least that Jaccard similarity."""
-    spark, base = pairs.sparkSession, folder(pairs.sparkSession, "similar")
-    names = store(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), f"{base}/names")
-    wanted = lines.select("name", "text").join(broadcast_if_small(names), "name", "left_semi")
-    texts = store(wanted.groupBy("name").agg(F.min("text").alias("text")), f"{base}/texts")
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    found = both.select("a", "b", _shingles(F.col("text_a")).alias("s_a"), _shingles(F.col("text_b")).alias("s_b"))
+    both = (pairs.join(signed.toDF("a", "last_a", "minima_a"), "a").join(signed.toDF("b", "last_b", "minima_b"), "b"))
+    equal = F.zip_with("minima_a", "minima_b", lambda one, other: (one == other).cast("int"))
+    agreeing = F.aggregate(equal, F.lit(0), lambda total, one: total + one)
+    alike = both.filter((F.least("last_a", "last_b") < SHORT) | (agreeing >= LEAST_AGREEING)).select("a", "b")
+    there = alike.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    found = there.select("a", "b", _shingles(F.col("text_a")).alias("s_a"), _shingles(F.col("text_b")).alias("s_b"))
     sizes = found.select("a", "b", F.size("s_a").alias("n_a"), F.size("s_b").alias("n_b"),
                          F.size(F.array_intersect("s_a", "s_b")).alias("common"))
-    alike = F.col("common") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("common"))
-    result = store(sizes.filter(alike).select("a", "b"), f"{base}/edges")
-    delete(spark, f"{base}/names")
-    delete(spark, f"{base}/texts")
-    return result
+    enough = F.col("common") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("common"))
+    return sizes.filter(enough).select("a", "b")
 
 
 def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``id, component`` of the names of all lines that are similar to another line."""
     spark, base = lines.sparkSession, folder(lines.sparkSession, "lines")
-    signed = store(signatures(lines), f"{base}/signatures")
-    members = signed.select("name", F.explode("bands").alias("band"))
+    every = store(signatures(lines), f"{base}/every")
+    members = every.select("name", F.explode(_bands(F.col("minima"))).alias("band"))
     buckets = store(members.groupBy("band").agg(F.min("name").alias("first"), F.max("name").alias("last"))
                     .filter("first < last"), f"{base}/buckets")
     inside = store(members.join(broadcast_if_small(buckets), "band"), f"{base}/inside")
-    delete(spark, f"{base}/signatures")
+    names = store(inside.select("name").distinct(), f"{base}/names")
+    wanted = broadcast_if_small(names)
+    signed = store(every.join(wanted, "name", "left_semi"), f"{base}/signed")
+    texts = store(lines.select("name", "text").join(wanted, "name", "left_semi")
+                  .groupBy("name").agg(F.min("text").alias("text")), f"{base}/texts")
+    delete(spark, f"{base}/every")
+
     stars = inside.select("name", F.explode(F.array("first", "last")).alias("end")).filter("name <> end")
-    pairs = store(stars.select(F.least("name", "end").alias("a"), F.greatest("name", "end").alias("b")).distinct(),
-                  f"{base}/pairs")
-    edges = similar(pairs, lines, similarity)
+    pairs = stars.select(F.least("name", "end").alias("a"), F.greatest("name", "end").alias("b")).distinct()
+    edges = store(similar(pairs, signed, texts, similarity), f"{base}/edges")
     found = store(components(edges), f"{base}/found")
 
     between = inside.filter("name <> first AND name <> last").select("band", "name")
@@ -121,11 +147,11 @@ def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFra
     left = store(named.join(several, "band", "left_semi"), f"{base}/left")
     other = left.toDF("band", "other", "other_component")
     crossed = left.join(other, "band").filter("name < other AND component <> other_component")
-    more = store(crossed.select(F.col("name").alias("a"), F.col("other").alias("b")).distinct(), f"{base}/more")
-    if not more.isEmpty():
-        links = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        found = components(links.unionAll(similar(more, lines, similarity)))
-    return found
+    pairs = crossed.select(F.col("name").alias("a"), F.col("other").alias("b")).distinct()
+    more = store(similar(pairs, signed, texts, similarity), f"{base}/more")
+    if more.isEmpty():
+        return found
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY
@@ -134,17 +160,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``doc`` is the document's id, or the greatest bigint for rows with a null id.
     """
-    lines = all_lines(docs, id_col, text_col)
-    found = store(line_components(lines, similarity), folder(docs.sparkSession, "line_components"))
-    names = lines.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line")).alias("first"))
+    spark, lines = docs.sparkSession, all_lines(docs, id_col, text_col)
+    found = store(line_components(lines, similarity), folder(spark, "line_components"))
+    places = store(lines.select("doc", "line", "name"), folder(spark, "line_places"))
+    names = places.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line")).alias("first"))
     classed = store(names.join(found, F.col("name") == F.col("id"), "left")
                     .select("name", "n", "first", F.coalesce("component", "name").alias("component")),
-                    folder(docs.sparkSession, "line_classes"))
+                    folder(spark, "line_classes"))
     kept = (classed.groupBy("component").agg(F.sum("n").alias("n"), F.min("first").alias("kept"))
             .filter("n > 1").select("component", "kept"))
-    several = store(classed.join(kept, "component").select("name", "kept"), folder(docs.sparkSession, "line_kept"))
-    gone = (lines.select("doc", "line", "name").join(several, "name")
-            .filter("doc <> kept.doc OR line <> kept.line"))
+    several = store(classed.join(kept, "component").select("name", "kept"), folder(spark, "line_kept"))
+    gone = places.join(several, "name").filter("doc <> kept.doc OR line <> kept.line")
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
