@@ -35,13 +35,17 @@ def components(edges: DataFrame) -> DataFrame:
                       f"{base}/pairs_{turn + 1}")
         delete(spark, f"{base}/pairs_{turn}")
     if not maps:
+        delete(spark, base)
         return spark.createDataFrame([], "id bigint, component bigint")
     found = maps[0]
     for later in maps[1:]:
         found = found.join(later.toDF("to", "next"), "to", "left").select("u", F.coalesce("next", "to").alias("to"))
     found = store(found, f"{base}/found")
     smallest = store(found.groupBy("to").agg(F.min("u").alias("component")), f"{base}/smallest")
-    return found.join(smallest, "to").select(F.col("u").alias("id"), "component")
+    named = found.join(smallest, "to").select(F.col("u").alias("id"), "component")
+    result = store(named, folder(spark, "connected"))
+    delete(spark, base)
+    return result
 
 
 def _order(column: str, turn: int) -> Column:

@@ -6,12 +6,14 @@ shuffled once by their name, and each signature is an aggregation over rows that
 signature has the minima of the shingle hashes under ``BANDS * ROWS`` orders: as many hashes as a band has rows, each
 with its order changed by XOR with constants. Sixteen bits of each minimum are kept.
 
-Lines that agree in all rows of a band share a bucket. In each bucket every line is compared with the bucket's first
-and last line, exactly, unless under half of their signatures agree (of lines of similarity 0.8, one pair in a
-hundred thousand; short lines are always compared), and connected components join what is similar. Where a bucket still holds several components,
-the pairs of lines from different ones are compared as well, so every pair of a bucket that could join
-components is looked at, and the pairs inside a component are not. One line per component stays: the first by
-document id and line number.
+Lines that agree in all rows of a band share a bucket. In each bucket every line is compared with the line that has
+the most copies and with the last by name, exactly, unless under half of their signatures agree (of lines of similarity 0.8, one pair in a
+hundred thousand; short lines are always compared), and connected components join what is similar.
+
+The lines of buckets that still hold several components are dealt out again, by many overlapping choices of six
+minima, which dissimilar lines rarely share; short lines keep their buckets. There, all pairs of lines from
+different components whose signatures agree enough are compared. So no line has a limit of partners, and pairs
+inside a component are not looked at. One line per component stays: the first by document id and line number.
 
 Two lines of similarity 0.8 share a bucket with probability 0.999; pairs that share none are not found.
 
@@ -23,6 +25,8 @@ whole; the pieces that long ones are cut into overlap, so no shingle is lost.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,8 @@ SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 10, 3
 # Minima that have to agree before lines are compared, and shingles below which they need not.
 LEAST_AGREEING, SHORT = BANDS * ROWS // 2, 32
+# The second dealing: how many choices, and of how many minima.
+CHOICES, CHOSEN = 40, 6
 # Shingles that one generated array holds.
 PIECE = 4096
 LAST = 2**63 - 1
@@ -69,19 +75,19 @@ def _shingle(code_points: Column, at: Column) -> Column:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """From ``name, text`` to ``name, last, minima`` of each distinct line; it has ``last`` + 1 shingles."""
-    whole = lines.groupBy("name").agg(F.min("text").alias("text"))
+    """From ``name, text`` to ``name, n, last, minima`` of each distinct line: ``n`` copies, ``last`` + 1 shingles."""
+    whole = lines.groupBy("name").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("n"))
     last = F.greatest(F.char_length("text") - SHINGLE, F.lit(0))
-    coded = whole.select("name", F.encode("text", "UTF-32").alias("coded"), last.alias("last"))
-    starts = coded.select("name", "coded", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(PIECE))).alias("start"))
+    coded = whole.select("name", "n", F.encode("text", "UTF-32").alias("coded"), last.alias("last"))
+    starts = coded.select("name", "n", "coded", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(PIECE))).alias("start"))
     end = F.least(F.col("start") + (PIECE - 1), F.col("last"))
-    places = starts.select("name", "coded", F.explode(F.sequence("start", end)).alias("at"))
-    cut = places.select("name", "at", _shingle(F.col("coded"), F.col("at")).alias("shingle"))
-    hashed = cut.select("name", "at", *[F.xxhash64(F.lit(row), "shingle").alias(f"h{row}") for row in range(ROWS)])
+    places = starts.select("name", "n", "coded", F.explode(F.sequence("start", end)).alias("at"))
+    cut = places.select("name", "n", "at", _shingle(F.col("coded"), F.col("at")).alias("shingle"))
+    hashed = cut.select("name", "n", "at", *[F.xxhash64(F.lit(row), "shingle").alias(f"h{row}") for row in range(ROWS)])
     minima = [F.min(F.col(f"h{k % ROWS}").bitwiseXOR(F.lit(_constant(k)))).alias(f"m{k}") for k in range(BANDS * ROWS)]
-    signed = hashed.groupBy("name").agg(F.max("at").alias("last"), *minima)
+    signed = hashed.groupBy("name").agg(F.max("n").alias("n"), F.max("at").alias("last"), *minima)
     low = [F.shiftright(F.shiftleft(f"m{k}", 48), 48).cast("smallint") for k in range(BANDS * ROWS)]
-    return signed.select("name", "last", F.array(*low).alias("minima"))
+    return signed.select("name", "n", "last", F.array(*low).alias("minima"))
 
 
 def _bands(minima: Column) -> Column:
@@ -98,6 +104,42 @@ def _bands(minima: Column) -> Column:
     return F.array(*found)
 
 
+def _choices(minima: Column) -> Column:
+    """The buckets of the second dealing: a fixed choice of minima each."""
+    choose = random.Random(1)
+    return F.array(*[F.xxhash64(F.lit(number), *[minima[k] for k in choose.sample(range(BANDS * ROWS), CHOSEN)])
+                     for number in range(CHOICES)])
+
+
+def _comparable(one: str, other: str) -> Column:
+    """Whether two signatures agree enough, or a line is too short to say."""
+    equal = F.zip_with(f"minima_{one}", f"minima_{other}", lambda a, b: (a == b).cast("int"))
+    agreeing = F.aggregate(equal, F.lit(0), lambda total, same: total + same)
+    return (F.least(f"last_{one}", f"last_{other}") < SHORT) | (agreeing >= LEAST_AGREEING)
+
+
+def _sketch(minima: Column) -> list[Column]:
+    """Four bits of each minimum, fifteen to a number."""
+    found = []
+    for start in range(0, BANDS * ROWS, 15):
+        packed = F.lit(0).cast("bigint")
+        for k in range(start, min(start + 15, BANDS * ROWS)):
+            packed = F.shiftleft(packed, 4).bitwiseOR(minima[k].cast("bigint").bitwiseAND(F.lit(15)))
+        found.append(packed.alias(f"sketch{start // 15}"))
+    return found
+
+
+def _sketches_agree(one: str, other: str) -> Column:
+    """True where signatures agree enough, and sometimes where they do not: four bits can agree by chance."""
+    different = F.lit(0)
+    for number in range(-(-BANDS * ROWS // 15)):
+        bits = F.col(f"sketch{number}_{one}").bitwiseXOR(F.col(f"sketch{number}_{other}"))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2)).bitwiseAND(F.lit(0x0111111111111111))
+        different = different + F.bit_count(bits)
+    return (F.least(f"last_{one}", f"last_{other}") < SHORT) | (different <= BANDS * ROWS - LEAST_AGREEING)
+
+
 def _shingles(text: Column) -> Column:
     """The distinct shingle hashes of a line. The line is encoded once, as the variable of the outer function."""
     places = F.sequence(F.lit(0), F.greatest(F.char_length(text) - SHINGLE, F.lit(0)))
@@ -108,9 +150,7 @@ def _shingles(text: Column) -> Column:
 def similar(pairs: DataFrame, signed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``a, b`` of names whose lines' shingle sets have at least that Jaccard similarity."""
     both = (pairs.join(signed.toDF("a", "last_a", "minima_a"), "a").join(signed.toDF("b", "last_b", "minima_b"), "b"))
-    equal = F.zip_with("minima_a", "minima_b", lambda one, other: (one == other).cast("int"))
-    agreeing = F.aggregate(equal, F.lit(0), lambda total, one: total + one)
-    alike = both.filter((F.least("last_a", "last_b") < SHORT) | (agreeing >= LEAST_AGREEING)).select("a", "b")
+    alike = both.filter(_comparable("a", "b")).select("a", "b")
     there = alike.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     found = there.select("a", "b", _shingles(F.col("text_a")).alias("s_a"), _shingles(F.col("text_b")).alias("s_b"))
     sizes = found.select("a", "b", F.size("s_a").alias("n_a"), F.size("s_b").alias("n_b"),
@@ -123,13 +163,14 @@ def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFra
     """``id, component`` of the names of all lines that are similar to another line."""
     spark, base = lines.sparkSession, folder(lines.sparkSession, "lines")
     every = store(signatures(lines), f"{base}/every")
-    members = every.select("name", F.explode(_bands(F.col("minima"))).alias("band"))
-    buckets = store(members.groupBy("band").agg(F.min("name").alias("first"), F.max("name").alias("last"))
-                    .filter("first < last"), f"{base}/buckets")
-    inside = store(members.join(broadcast_if_small(buckets), "band"), f"{base}/inside")
+    members = every.select("name", "n", F.explode(_bands(F.col("minima"))).alias("band"))
+    buckets = members.groupBy("band").agg(F.max_by("name", "n").alias("first"), F.max("name").alias("last"),
+                                          F.min("name").alias("least")).filter("least < last").drop("least")
+    buckets = store(buckets, f"{base}/buckets")
+    inside = store(members.drop("n").join(broadcast_if_small(buckets), "band"), f"{base}/inside")
     names = store(inside.select("name").distinct(), f"{base}/names")
     wanted = broadcast_if_small(names)
-    signed = store(every.join(wanted, "name", "left_semi"), f"{base}/signed")
+    signed = store(every.drop("n").join(wanted, "name", "left_semi"), f"{base}/signed")
     texts = store(lines.select("name", "text").join(wanted, "name", "left_semi")
                   .groupBy("name").agg(F.min("text").alias("text")), f"{base}/texts")
     delete(spark, f"{base}/every")
@@ -137,21 +178,29 @@ def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFra
     stars = inside.select("name", F.explode(F.array("first", "last")).alias("end")).filter("name <> end")
     pairs = stars.select(F.least("name", "end").alias("a"), F.greatest("name", "end").alias("b")).distinct()
     edges = store(similar(pairs, signed, texts, similarity), f"{base}/edges")
-    found = store(components(edges), f"{base}/found")
+    found = components(edges)
 
     between = inside.filter("name <> first AND name <> last").select("band", "name")
     named = store(between.join(found, F.col("name") == F.col("id"), "left")
                   .select("band", "name", F.coalesce("component", "name").alias("component")), f"{base}/named")
     several = (named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
                .filter("low < high").select("band"))
-    left = store(named.join(several, "band", "left_semi"), f"{base}/left")
-    other = left.toDF("band", "other", "other_component")
-    crossed = left.join(other, "band").filter("name < other AND component <> other_component")
-    pairs = crossed.select(F.col("name").alias("a"), F.col("other").alias("b")).distinct()
+    open_names = named.join(several, "band", "left_semi").select("name", "component").distinct()
+    again = store(open_names.join(signed, "name"), f"{base}/again")
+    short = F.when(F.col("last") < SHORT, _bands(F.col("minima")))
+    keys = F.concat(_choices(F.col("minima")), F.coalesce(short, F.array().cast("array<bigint>")))
+    sketch = _sketch(F.col("minima"))
+    dealt = again.select(F.explode(keys).alias("key"), "name", "component", "last", *sketch)
+    names = ["component", "last", *[f"sketch{number}" for number in range(len(sketch))]]
+    one, other = (dealt.toDF("key", side, *[f"{name}_{side}" for name in names]) for side in "ab")
+    crossed = one.join(other, (one.key == other.key) & (F.col("a") < F.col("b"))
+                       & (F.col("component_a") != F.col("component_b")) & _sketches_agree("a", "b"))
+    pairs = crossed.select("a", "b").distinct()
     more = store(similar(pairs, signed, texts, similarity), f"{base}/more")
-    if more.isEmpty():
-        return found
-    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
+    if not more.isEmpty():
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
+    delete(spark, base)
+    return found
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY
@@ -161,7 +210,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``doc`` is the document's id, or the greatest bigint for rows with a null id.
     """
     spark, lines = docs.sparkSession, all_lines(docs, id_col, text_col)
-    found = store(line_components(lines, similarity), folder(spark, "line_components"))
+    found = line_components(lines, similarity)
     places = store(lines.select("doc", "line", "name"), folder(spark, "line_places"))
     names = places.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line")).alias("first"))
     classed = store(names.join(found, F.col("name") == F.col("id"), "left")
