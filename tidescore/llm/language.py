@@ -28,7 +28,7 @@ BITS = 13
 SIZES = (2, 3, 4)
 DIMENSIONS = 16
 # Rows that the model may learn from, about; the only bound on data in this operator.
-MAX_ROWS = 4000
+MAX_ROWS = 3000
 # Bytes that one pass of the feature code holds at most.
 PIECE = 1 << 20
 UNKNOWN = "und"
@@ -118,6 +118,13 @@ def _train(x: np.ndarray, y: np.ndarray, n_classes: int, epochs: int, rate: floa
     return embedding @ linear, bias
 
 
+def _dense(sample: pd.DataFrame) -> np.ndarray:
+    found = np.zeros((len(sample), 1 << BITS), np.float32)
+    for row, bucket, share in zip(found, sample["bucket"], sample["share"]):
+        row[np.frombuffer(bucket, np.int32)] = np.frombuffer(share, np.float32)
+    return found
+
+
 def fit_language(docs: DataFrame, label: str = "lang", id_col: str = "doc_id", text_col: str = "text",
                  max_rows: int = MAX_ROWS, epochs: int = 30, rate: float = 2.0, rejected: float = 0.001
                  ) -> LanguageModel:
@@ -147,16 +154,11 @@ def fit_language(docs: DataFrame, label: str = "lang", id_col: str = "doc_id", t
         return LanguageModel([], np.zeros((1 << BITS, 0)), np.zeros(0), 1.0, 1.0)
     order = [zlib.crc32(bytes(bucket) + bytes(share)) for bucket, share in zip(sample["bucket"], sample["share"])]
     sample = sample.assign(order=order).sort_values(["order", "label"], kind="stable").reset_index(drop=True)
-    x = np.zeros((len(sample), 1 << BITS), np.float32)
-    for i, (bucket, share) in enumerate(zip(sample["bucket"], sample["share"])):
-        x[i, np.frombuffer(bucket, np.int32)] = np.frombuffer(share, np.float32)
     y = np.array([languages.index(value) for value in sample["label"]])
-    kept_out = np.arange(len(y)) % 5 == 4
-    if len(y) < 5 * len(languages):
-        kept_out[:] = False
-    table, bias = _train(x[~kept_out], y[~kept_out], len(languages), epochs, rate)
-    seen = kept_out if kept_out.any() else ~kept_out
-    logits, target = x[seen] @ table + bias, y[seen]
+    n_trained = len(y) - (len(y) // 5 if len(y) >= 5 * len(languages) else 0)  # the order is by hash
+    chosen = slice(n_trained, None) if n_trained < len(y) else slice(None)
+    table, bias = _train(_dense(sample[:n_trained]), y[:n_trained], len(languages), epochs, rate)
+    logits, target = _dense(sample[chosen]) @ table + bias, y[chosen]
 
     def loss(temperature):
         chances = _softmax(logits.astype(np.float64) / temperature)

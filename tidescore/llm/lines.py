@@ -7,10 +7,10 @@ signature has the minima of the shingle hashes under ``BANDS * ROWS`` orders: as
 with its order changed by XOR with constants. Sixteen bits of each minimum are kept.
 
 Lines that agree in all rows of a band share a bucket. In each bucket every line is compared with the line that has
-the most copies and with the last by name, exactly, unless under half of their signatures agree (of lines of similarity 0.8, one pair in a
-hundred thousand; short lines are always compared), and connected components join what is similar.
+the most copies and with the last by name, exactly, unless fewer than 17 of their 30 minima agree (of lines of similarity 0.8, one pair in a
+thousand; short lines are always compared), and connected components join what is similar.
 
-The lines of buckets that still hold several components are dealt out again, by many overlapping choices of six
+The lines of buckets that still hold several components are dealt out again, by many overlapping choices of seven
 minima, which dissimilar lines rarely share; short lines keep their buckets. There, all pairs of lines from
 different components whose signatures agree enough are compared. So no line has a limit of partners, and pairs
 inside a component are not looked at. One line per component stays: the first by document id and line number.
@@ -37,9 +37,9 @@ from tidescore.operators.skew import broadcast_if_small
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 10, 3
 # Minima that have to agree before lines are compared, and shingles below which they need not.
-LEAST_AGREEING, SHORT = BANDS * ROWS // 2, 32
+LEAST_AGREEING, SHORT = 17, 32
 # The second dealing: how many choices, and of how many minima.
-CHOICES, CHOSEN = 40, 6
+CHOICES, CHOSEN = 40, 7
 # Shingles that one generated array holds.
 PIECE = 4096
 LAST = 2**63 - 1
