@@ -77,3 +77,34 @@ def test_repeated_ids_are_one_document(docs_of):
     docs = docs_of([(1, "the same line stands here"), (1, "the same line stands here"), (2, "the same line stands here")])
     assert sorted((row.doc_id, row.text) for row in deduplicate_lines(docs).collect()) == [
         (1, "the same line stands here"), (1, "the same line stands here"), (2, "")]
+
+
+@pytest.mark.parametrize("chunk", [lines.CHUNK, 5])
+def test_crowded_buckets_lose_no_pair_that_shares_a_band(docs_of, monkeypatch, chunk):
+    monkeypatch.setattr(lines, "CHUNK", chunk)
+    choose = random.Random(5)
+    common = "".join(choose.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300))
+    texts = []
+    for _ in range(150):
+        tail = "".join(choose.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(150))
+        near = "".join(choose.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(39))
+        texts += [common + tail, common + tail[:-39] + near]
+    read = all_lines(docs_of(texts), "doc_id", "text")
+    names = [row.name for row in sorted(read.collect(), key=lambda row: row.doc)]
+    found = {row.id: row.component for row in line_components(read).collect()}
+    minima = {row.name: row.minima for row in signatures(read).collect()}
+
+    def agree(one, other):
+        same = [a == b for a, b in zip(minima[one], minima[other])]
+        return sum(same) >= 15 and any(all(same[k:k + lines.ROWS]) for k in range(0, len(same), lines.ROWS))
+
+    sets = [shingles(text) for text in texts]
+    near = [(names[k], names[k + 1]) for k in range(0, len(texts), 2)
+            if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1]) and agree(names[k], names[k + 1])]
+    assert len(near) > 140 and all(found.get(one) == found.get(other, -1) for one, other in near)
+    assert len({found[one] for one, _ in near}) == len(near)
+
+
+def test_large_components_share_a_crowded_bucket(docs_of, monkeypatch):
+    monkeypatch.setattr(lines, "CHUNK", 5)
+    test_a_large_group_of_near_copies(docs_of, 12)

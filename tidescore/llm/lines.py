@@ -7,15 +7,16 @@ signature has the minima of the shingle hashes under ``BANDS * ROWS`` orders: as
 with its order changed by XOR with constants. Sixteen bits of each minimum are kept.
 
 Lines that agree in all rows of a band share a bucket. In each bucket every line is compared with the line that has
-the most copies and with the last by name, exactly, unless fewer than 17 of their 30 minima agree (of lines of similarity 0.8, one pair in a
-thousand; short lines are always compared), and connected components join what is similar.
+the most copies and with the last by name, exactly, unless fewer than 15 of their 30 minima agree (of lines of
+similarity 0.8, one pair in twenty thousand; short lines are always compared), and connected components join what is similar.
 
-The lines of buckets that still hold several components are dealt out again, by many overlapping choices of seven
-minima, which dissimilar lines rarely share; short lines keep their buckets. There, all pairs of lines from
-different components whose signatures agree enough are compared. So no line has a limit of partners, and pairs
-inside a component are not looked at. One line per component stays: the first by document id and line number.
+In buckets that still hold several components, all pairs of lines from different components whose signatures agree
+enough are compared. A bucket with more than ``CHUNK`` lines is dealt out as pairs of chunks, and a component that fills a
+chunk has chunks of its own, which are not paired with each other. So no line has a limit of partners, and no
+task holds more than two chunks of a bucket. One line per component stays: the first by document id and line number.
 
-Two lines of similarity 0.8 share a bucket with probability 0.999; pairs that share none are not found.
+Two lines of similarity 0.8 share a bucket and agree in 15 minima with probability 0.9992 (at 0.85, 0.9999); pairs that do
+not are only found together if other lines connect them.
 
 Edge cases: blank lines are never removed. A line shorter than a shingle is one shingle. Null texts have no lines
 and stay null. Rows that share an id are one document, as are all rows with a null id, which come last. A document
@@ -25,8 +26,6 @@ whole; the pieces that long ones are cut into overlap, so no shingle is lost.
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +36,9 @@ from tidescore.operators.skew import broadcast_if_small
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 10, 3
 # Minima that have to agree before lines are compared, and shingles below which they need not.
-LEAST_AGREEING, SHORT = 17, 32
-# The second dealing: how many choices, and of how many minima.
-CHOICES, CHOSEN = 40, 7
+LEAST_AGREEING, SHORT = 15, 32
+# Lines of a bucket that are compared with each other in one place.
+CHUNK = 256
 # Shingles that one generated array holds.
 PIECE = 4096
 LAST = 2**63 - 1
@@ -104,13 +103,6 @@ def _bands(minima: Column) -> Column:
     return F.array(*found)
 
 
-def _choices(minima: Column) -> Column:
-    """The buckets of the second dealing: a fixed choice of minima each."""
-    choose = random.Random(1)
-    return F.array(*[F.xxhash64(F.lit(number), *[minima[k] for k in choose.sample(range(BANDS * ROWS), CHOSEN)])
-                     for number in range(CHOICES)])
-
-
 def _comparable(one: str, other: str) -> Column:
     """Whether two signatures agree enough, or a line is too short to say."""
     equal = F.zip_with(f"minima_{one}", f"minima_{other}", lambda a, b: (a == b).cast("int"))
@@ -118,28 +110,58 @@ def _comparable(one: str, other: str) -> Column:
     return (F.least(f"last_{one}", f"last_{other}") < SHORT) | (agreeing >= LEAST_AGREEING)
 
 
-def _sketch(minima: Column) -> list[Column]:
-    """Four bits of each minimum, fifteen to a number."""
-    found = []
-    for start in range(0, BANDS * ROWS, 15):
-        packed = F.lit(0).cast("bigint")
-        for k in range(start, min(start + 15, BANDS * ROWS)):
-            packed = F.shiftleft(packed, 4).bitwiseOR(minima[k].cast("bigint").bitwiseAND(F.lit(15)))
-        found.append(packed.alias(f"sketch{start // 15}"))
-    return found
+def _packed(minima: Column) -> list[Column]:
+    """The minima, a band of them to a number."""
+    bands = _bands(minima)
+    return [bands[band].alias(f"packed{band}") for band in range(BANDS)]
 
 
-def _sketches_agree(one: str, other: str) -> Column:
-    """True where signatures agree enough, and sometimes where they do not: four bits can agree by chance."""
+def _packed_comparable(one: str, other: str) -> Column:
+    """``_comparable`` of packed minima. A sum sets the highest bit of each sixteen that hold a difference."""
     different = F.lit(0)
-    for number in range(-(-BANDS * ROWS // 15)):
-        bits = F.col(f"sketch{number}_{one}").bitwiseXOR(F.col(f"sketch{number}_{other}"))
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2)).bitwiseAND(F.lit(0x0111111111111111))
-        different = different + F.bit_count(bits)
+    for band in range(BANDS):
+        bits = F.col(f"packed{band}_{one}").bitwiseXOR(F.col(f"packed{band}_{other}"))
+        above = bits.bitwiseAND(F.lit(0x7FFF7FFF7FFF)) + F.lit(0x7FFF7FFF7FFF)
+        different = different + F.bit_count(above.bitwiseOR(bits).bitwiseAND(F.lit(0x800080008000)))
     return (F.least(f"last_{one}", f"last_{other}") < SHORT) | (different <= BANDS * ROWS - LEAST_AGREEING)
 
 
+def _dealt(named: DataFrame) -> DataFrame:
+    """From ``band, component`` and more to ``key, side`` in their place: the lines to compare share a key.
+
+    Pairs are to be looked for among rows of side 0, and between rows of the sides 1 and 2.
+    """
+    sizes = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.col("n") >= CHUNK, F.struct(F.col("component").alias("alone"), "n"))
+    crowded = sizes.groupBy("band").agg(
+        F.sum("n").alias("total"), F.collect_list(own).alias("large"),
+        F.coalesce(F.sum(F.when(F.col("n") < CHUNK, F.col("n"))), F.lit(0)).alias("rest")).filter(F.col("total") > CHUNK)
+
+    def chunks(alone, n):
+        last = F.ceil(n / CHUNK) - 1
+        return F.transform(F.sequence(F.lit(0).cast("bigint"), last),
+                           lambda part: F.struct(alone.isNotNull().alias("large"), F.coalesce(alone, F.lit(0)).alias("alone"),
+                                                 part.alias("part")))
+
+    nobody = F.lit(None).cast("bigint")
+    mixed = F.when(F.col("rest") > 0, chunks(nobody, F.col("rest")))
+    whole = F.flatten(F.concat(F.transform("large", lambda one: chunks(one["alone"], one["n"])),
+                               F.array_compact(F.array(mixed))))
+    known = named.join(broadcast_if_small(crowded.select("band", "large", "rest", whole.alias("chunks"))), "band", "left")
+    found = F.filter("large", lambda one: one["alone"] == F.col("component"))
+    is_large = F.coalesce(F.size(found) > 0, F.lit(False))
+    parts = F.ceil(F.when(is_large, F.get(found, F.lit(0))["n"]).otherwise(F.col("rest")) / CHUNK)
+    mine = F.struct(is_large.alias("large"), F.when(is_large, F.col("component")).otherwise(0).alias("alone"),
+                    F.pmod(F.xxhash64("name"), parts).alias("part"))
+    others = F.filter("chunks", lambda chunk: ~chunk["large"] | (chunk["alone"] != F.col("mine.alone")) | ~F.col("mine.large"))
+    rows = known.withColumn("mine", F.when(F.col("chunks").isNotNull(), mine))
+    rows = rows.withColumn("other", F.explode(F.coalesce(others, F.array(F.col("mine")))))
+    key = F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other"))
+    side = F.when(F.col("mine").isNull() | (F.col("mine") == F.col("other")), 0).when(F.col("mine") < F.col("other"), 1)
+    return rows.select(key.alias("key"), side.otherwise(2).alias("side"),
+                       *[name for name in named.columns if name != "band"])
+
+
 def _shingles(text: Column) -> Column:
     """The distinct shingle hashes of a line. The line is encoded once, as the variable of the outer function."""
     places = F.sequence(F.lit(0), F.greatest(F.char_length(text) - SHINGLE, F.lit(0)))
@@ -185,16 +207,18 @@ def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFra
                   .select("band", "name", F.coalesce("component", "name").alias("component")), f"{base}/named")
     several = (named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
                .filter("low < high").select("band"))
-    open_names = named.join(several, "band", "left_semi").select("name", "component").distinct()
-    again = store(open_names.join(signed, "name"), f"{base}/again")
-    short = F.when(F.col("last") < SHORT, _bands(F.col("minima")))
-    keys = F.concat(_choices(F.col("minima")), F.coalesce(short, F.array().cast("array<bigint>")))
-    sketch = _sketch(F.col("minima"))
-    dealt = again.select(F.explode(keys).alias("key"), "name", "component", "last", *sketch)
-    names = ["component", "last", *[f"sketch{number}" for number in range(len(sketch))]]
-    one, other = (dealt.toDF("key", side, *[f"{name}_{side}" for name in names]) for side in "ab")
-    crossed = one.join(other, (one.key == other.key) & (F.col("a") < F.col("b"))
-                       & (F.col("component_a") != F.col("component_b")) & _sketches_agree("a", "b"))
+    held = (named.join(several, "band", "left_semi").groupBy("name", "component")
+            .agg(F.collect_list("band").alias("bands")).join(signed, "name"))
+    again = store(held.select("name", "component", "bands", "last", *_packed(F.col("minima"))), f"{base}/again")
+    dealt = _dealt(again.withColumn("band", F.explode("bands")).drop("bands"))
+    one, other = (dealt.filter(f"side <> {3 - number}").select("key", *[F.col(name).alias(f"{name}_{end}") for name in
+                                                                       dealt.columns if name != "key"])
+                  for number, end in ((1, "a"), (2, "b")))
+    inside = (F.col("side_a") != 0) & (F.col("side_b") != 0) | (F.col("side_a") == F.col("side_b")) & (
+        F.col("name_a") < F.col("name_b"))
+    crossed = one.join(other, (one.key == other.key) & inside & (F.col("component_a") != F.col("component_b"))
+                       & _packed_comparable("a", "b"))
+    crossed = crossed.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"))
     pairs = crossed.select("a", "b").distinct()
     more = store(similar(pairs, signed, texts, similarity), f"{base}/more")
     if not more.isEmpty():
