@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tidescore.llm.secrets import _words, find_secrets, guess_cost, joined, redact_secrets, scan_secrets, scanned
+from tidescore.llm.secrets import _words, find_secrets, guess_cost, joined, redact_secrets, redacted, scan_secrets, scanned
 
 WORDS = _words(None)
 RULES = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -85,3 +85,24 @@ def test_odd_rows(docs_of, odd):
     texts = {row.doc_id: row.text for row in cleaned.collect()}
     assert texts[1] is None and texts[4] == "word" and texts[len(odd) + 1] == "password=[secret] " * 2000
     assert scanned(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text, left", [
+    ("password=Abc123$kZ9!qLw2&vB end", "password=[secret] end"),
+    ("dbPassword=Ab3$kZ9!qLw2 end", "dbPassword=[secret] end"),
+    ("userToken => x9$Qm!27vKp&Lw end", "userToken => [secret] end"),
+    ("DBPassword=Ab3$kZ9!qLw2", "DBPassword=[secret]"),
+    ("password: Ab(9$kZ!qLw2", "password: [secret]"),
+    ("password: Ab,9;kZ<qL>w2, end", "password: [secret], end"),
+    ("pwd: 'Ab,9\"kZ;qLw2,', end", "pwd: '[secret]', end"),
+    ('{"password":"x9$Qm!27vKp","passcode":"k7#Rt!41zWb"}', '{"password":"[secret]","passcode":"[secret]"}'),
+    ("pwd: passcode:x9$Qm!27vKp&Lw", "pwd: [secret]"),
+    ("compassword=changeme passwords are Xk9$mQ2!vR7pLw", "compassword=[secret] passwords are Xk9$mQ2!vR7pLw"),
+])
+def test_values_are_redacted_whole(text, left):
+    assert redacted(text, find_secrets(text, WORDS)[0], "[secret]") == left
+
+
+def test_a_long_value_takes_time_in_proportion():
+    text = "token=" * 20_000
+    assert find_secrets(text, WORDS)[1] >= 10

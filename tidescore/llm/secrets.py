@@ -4,7 +4,9 @@ The patterns find assignments to a secret's name, access keys and long hexadecim
 after a word like password, passphrase or bearer is segmented at minimum cost into dictionary words, dates,
 repeats, keyboard walks, sequences and brute-force spans. The cost is the decimal logarithm of the guesses that
 an attacker would need. Values that cost at least ``least_guesses`` are added as spans of kind ``guess``; cheaper
-ones (``changeme``, ``summer2024``) are placeholders or prose and are not.
+ones (``changeme``, ``summer2024``) are placeholders or prose and are not. Such a value ends at white space or at its opening
+quote, whatever symbols are in it; commas, semicolons and quotes at its very end are not part of it unless it is quoted. It
+is added unless the patterns' spans cover all of it.
 
 The dictionary is the public rank file of a byte-level tokenizer: its entries that are whole words, by rank.
 
@@ -42,9 +44,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 NAMES = ("pass", "pwd", "secret", "token", "key", "bearer", "credential", "authorization")
 CONTEXT = re.compile(
-    r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private)[_-]?key|credentials?"""
-    r"""|authorization|bearer)["']?(?:\s*(?::=|=>|[:=])\s*|\s+(?:is|was)\s+|(?<=bearer)\s+)["'`]?([^\s"'`,;<>()]{6,})""",
-    ASCII)
+    r"""(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))"""
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private)[_-]?key|credentials?"""
+    r"""|authorization|bearer)["']?(?:\s*(?::=|=>|[:=])\s*|\s+(?:is|was)\s+|(?<=bearer)\s+)"""
+    r"""(?:(["'`])((?:(?!\1)\S){6,})|((?!["'`])\S{6,}))""", ASCII)
+# What ends a sentence or an enclosing string, and not the value before it.
+AFTER = ",;\"'`"
 
 # Costs as log10 of guesses: of a character that nothing explains, and of each further segment.
 CHARACTER, SEGMENT = 1.0, 0.3
@@ -164,15 +169,19 @@ def find_secrets(text: str | None, words: dict[str, float], least_guesses: float
         return sorted(spans), most
     spans += [Span(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     covered = _stretches(spans)
-    at = 0
-    for match in CONTEXT.finditer(text):
-        cost = guess_cost(match[1], words)
+    at, match = 0, CONTEXT.search(text)
+    while match:
+        value = match[2] or match[3].rstrip(AFTER)
+        start = match.start(match.lastindex)
+        end, cost = start + len(value), guess_cost(value, words) if len(value) >= 6 else 0.0
         most = max(most, cost)
-        start, end = match.span(1)
         while at < len(covered) and covered[at][1] <= start:
             at += 1
-        if cost >= least_guesses and (at == len(covered) or covered[at][0] >= end):
+        inside = at < len(covered) and covered[at][0] <= start and end <= covered[at][1]
+        if cost >= least_guesses and not inside:
             spans.append(Span(start, 3, end, start))
+        # In a cheap value another name can stand, with a value that is not cheap.
+        match = CONTEXT.search(text, end if cost >= least_guesses else start)
     return sorted(spans), most
 
 
