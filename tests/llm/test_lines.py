@@ -108,3 +108,14 @@ def test_crowded_buckets_lose_no_pair_that_shares_a_band(docs_of, monkeypatch, c
 def test_large_components_share_a_crowded_bucket(docs_of, monkeypatch):
     monkeypatch.setattr(lines, "CHUNK", 5)
     test_a_large_group_of_near_copies(docs_of, 12)
+
+
+def test_rows_that_share_an_id_lose_only_their_own_lines(docs_of):
+    docs = docs_of([(1, "the line that stands in two places"), (None, "the line that stands in two places\nkept alpha"),
+                    (None, "unique at the very start\nkept beta"), (3, "a first text of three"),
+                    (3, "quite another one\nthe line that stands in two places")])
+    texts = ["a first text of three", "kept alpha", "quite another one", "the line that stands in two places",
+             "unique at the very start\nkept beta"]
+    assert sorted(row.text for row in deduplicate_lines(docs).collect()) == texts
+    assert sorted((row.doc_id or 0, row.n_lines, row.removed) for row in line_report(docs).collect()) == [
+        (0, 2, []), (0, 2, [0]), (1, 1, []), (3, 1, []), (3, 2, [1])]

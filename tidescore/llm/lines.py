@@ -19,8 +19,8 @@ Two lines of similarity 0.8 share a bucket and agree in 15 minima with probabili
 not are only found together if other lines connect them.
 
 Edge cases: blank lines are never removed. A line shorter than a shingle is one shingle. Null texts have no lines
-and stay null. Rows that share an id are one document, as are all rows with a null id, which come last. A document
-all of whose lines stand elsewhere stays with an empty text. An empty table gives an empty result. Lines are read
+and stay null. Equal rows are one document; rows that share an id but not their text are several, as are those with a
+null id, which come last. A document all of whose lines stand elsewhere stays with an empty text. An empty table gives an empty result. Lines are read
 whole; the pieces that long ones are cut into overlap, so no shingle is lost.
 """
 
@@ -60,12 +60,18 @@ def _constant(number: int) -> int:
     return (value ^ value >> 29) - 2**63
 
 
+def _place(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What names a document: its id, or the greatest bigint for a null id, and the hash of its text."""
+    return F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LAST)), F.xxhash64(F.col(f"`{text_col}`"))
+
+
 def all_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc, line, name, text`` of each line that is not blank."""
-    doc = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LAST)).alias("doc")
-    rows = docs.select(doc, F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line", "raw"))
-    rows = rows.select("doc", "line", normal(F.col("raw")).alias("text")).filter("text <> ''")
-    return rows.select("doc", "line", F.xxhash64("text").alias("name"), "text")
+    """``doc, whole, line, name, text`` of each line that is not blank."""
+    doc, whole = _place(id_col, text_col)
+    rows = docs.select(doc.alias("doc"), whole.alias("whole"),
+                       F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line", "raw"))
+    rows = rows.select("doc", "whole", "line", normal(F.col("raw")).alias("text")).filter("text <> ''")
+    return rows.select("doc", "whole", "line", F.xxhash64("text").alias("name"), "text")
 
 
 def _shingle(code_points: Column, at: Column) -> Column:
@@ -229,39 +235,40 @@ def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFra
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY
                   ) -> DataFrame:
-    """``doc, removed``: the numbers (from 0, ascending) of the lines that go, for documents that lose some.
+    """``doc, whole, removed``: the numbers (from 0, ascending) of the lines that go, for documents that lose some.
 
-    ``doc`` is the document's id, or the greatest bigint for rows with a null id.
+    ``doc`` is the document's id, or the greatest bigint for rows with a null id, and ``whole`` the hash of its text.
     """
     spark, lines = docs.sparkSession, all_lines(docs, id_col, text_col)
     found = line_components(lines, similarity)
-    places = store(lines.select("doc", "line", "name"), folder(spark, "line_places"))
-    names = places.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line")).alias("first"))
+    places = store(lines.select("doc", "whole", "line", "name"), folder(spark, "line_places"))
+    names = places.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line", "whole")).alias("first"))
     classed = store(names.join(found, F.col("name") == F.col("id"), "left")
                     .select("name", "n", "first", F.coalesce("component", "name").alias("component")),
                     folder(spark, "line_classes"))
     kept = (classed.groupBy("component").agg(F.sum("n").alias("n"), F.min("first").alias("kept"))
             .filter("n > 1").select("component", "kept"))
     several = store(classed.join(kept, "component").select("name", "kept"), folder(spark, "line_kept"))
-    gone = places.join(several, "name").filter("doc <> kept.doc OR line <> kept.line")
-    return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    gone = places.join(several, "name").filter("doc <> kept.doc OR line <> kept.line OR whole <> kept.whole")
+    return gone.groupBy("doc", "whole").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY
                       ) -> DataFrame:
     """``docs`` with the text that is left; all rows and columns stay."""
-    gone = removed_lines(docs, id_col, text_col, similarity).toDF("doc__", "removed__")
+    gone = removed_lines(docs, id_col, text_col, similarity).toDF("doc__", "whole__", "removed__")
     text = F.col(f"`{text_col}`")
     left = F.filter(F.split(text, "\n"), lambda line, at: ~F.array_contains("removed__", at))
-    joined = docs.join(gone, F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LAST)) == F.col("doc__"), "left")
+    doc, whole = _place(id_col, text_col)
+    joined = docs.join(gone, (doc == F.col("doc__")) & (whole == F.col("whole__")), "left")
     cleaned = F.when(F.col("removed__").isNull(), text).otherwise(F.array_join(left, "\n"))
     return joined.withColumn(text_col, cleaned).select(*[f"`{column}`" for column in docs.columns])
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """A row per document: its id, its lines, how many of them go, and which (their numbers from 0)."""
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"),
-                       F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    report = rows.join(removed_lines(docs), "doc", "left")
+    doc, whole = _place("doc_id", "text")
+    rows = docs.select("doc_id", doc.alias("doc"), whole.alias("whole"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
+    report = rows.join(removed_lines(docs), ["doc", "whole"], "left")
     gone = F.coalesce("removed", F.array().cast("array<int>"))
     return report.select("doc_id", "n_lines", F.size(gone).alias("n_removed"), gone.alias("removed"))
