@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidescore.llm import bpe, language, lines, packing, quality, search, secrets, simhash, toxicity, training_order
+from tidescore.llm import (
+    balanced,
+    bpe,
+    collocation,
+    language,
+    lines,
+    packing,
+    quality,
+    search,
+    secrets,
+    simhash,
+    toxicity,
+    training_order,
+)
 from tidescore.llm.common import documents, folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +84,16 @@ def op3_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(docs, docs.filter("doc_id % 20 = 0"))
 
 
+@query
+def op12_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced.balanced(documents(spark, sf_dir))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(documents(spark, sf_dir))
+
+
 ORACLES["op9_quality_rules"] = r"""
     WITH docs AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words
                   FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)),
@@ -98,3 +121,31 @@ ORACLES["op9_quality_rules"] = r"""
            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 0.3 * n_words AS kept,
            CAST(n_removed_words AS BIGINT) AS n_removed_words
     FROM counted"""
+
+
+ORACLES["op13_collocations"] = r"""
+    WITH pieces AS (
+      SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                 translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+    counts AS (
+      SELECT lang, words[i:i + k - 1] AS words, k, CAST(count(*) AS HUGEINT) AS n
+      FROM (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces), range(1, 5) AS sizes(k)
+      WHERE i + k - 1 <= len(words) GROUP BY 1, 2, 3),
+    totals AS (SELECT lang, sum(len(words)) AS n FROM pieces GROUP BY lang),
+    candidates AS (SELECT lang, words, k, n AS a FROM counts WHERE k > 1 AND n >= 30),
+    cuts AS (
+      SELECT c.lang, c.words, c.k, a, cut, l.n AS l, r.n AS r, 2000000 * a // (l.n + r.n) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+      JOIN counts l ON l.lang = c.lang AND l.words = c.words[:cut] JOIN counts r ON r.lang = c.lang AND r.words = c.words[cut + 1:]),
+    worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1),
+    inner_phrases AS (
+      SELECT lang, words[i:i + size - 1] AS words, max(a) AS most
+      FROM (SELECT *, unnest(range(1, k - size + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS size FROM candidates)) GROUP BY 1, 2),
+    kept AS (SELECT w.*, array_to_string(w.words, ' ') AS phrase FROM worst w LEFT JOIN inner_phrases USING (lang, words)
+             WHERE coalesce(100 * most < 80 * a, true))
+    SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+           CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    JOIN totals USING (lang) WHERE rank <= 2000"""
