@@ -14,6 +14,7 @@ from tidescore.llm import (
     lines,
     packing,
     quality,
+    ranked,
     search,
     secrets,
     simhash,
@@ -84,6 +85,12 @@ def op3_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(docs, docs.filter("doc_id % 20 = 0"))
 
 
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents for each benchmark item."""
+    return ranked.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query
 def op12_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced.balanced(documents(spark, sf_dir))
@@ -123,6 +130,25 @@ ORACLES["op9_quality_rules"] = r"""
     FROM counted"""
 
 
+ORACLES["op11_ranked_search"] = r"""
+    WITH words AS (
+      SELECT row_id, doc_id, term, count(*) AS tf FROM (
+        SELECT row_id, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT row_number() OVER () AS row_id, doc_id, text FROM documents)) GROUP BY ALL),
+    docs AS (SELECT row_id, CAST(sum(tf) AS BIGINT) AS n FROM words GROUP BY row_id),
+    whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM docs),
+    lengths AS (SELECT row_id, 50 + (50 * n * docs) // terms AS m FROM docs, whole),
+    items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+                FROM words, whole GROUP BY term, docs),
+    scores AS (SELECT item_id, row_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+               FROM items JOIN weights USING (term) JOIN words USING (term) JOIN lengths USING (row_id) GROUP BY ALL)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+    WHERE rank <= 50"""
+
 ORACLES["op13_collocations"] = r"""
     WITH pieces AS (
       SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM (
