@@ -58,12 +58,12 @@ def test_against_counting_each_phrase(spark, seed):
 
 
 def test_few_bits_change_nothing(spark):
-    """With all pairs under few hashes windows are only longer."""
+    """With all runs under few hashes windows are only longer."""
     choose = random.Random(9)
     rows = [("en", " ".join(choose.choice("abcdefg") for _ in range(50))) for _ in range(20)]
     expected = brute(rows, 5)
     for bits in (28, 15, 4):
-        assert sorted(map(tuple, collocations(frame(spark, rows), least=5, pair_bits=bits).collect())) == expected
+        assert sorted(map(tuple, collocations(frame(spark, rows), least=5, run_bits=bits).collect())) == expected
 
 
 def test_odd_rows(spark, docs_of, odd):

@@ -5,10 +5,11 @@ that follow it in its piece, padded with the empty text where the piece ends. On
 of k words occurs where a window begins with it, so its count is the sum over the windows with that prefix, and
 one ROLLUP over the four columns gives the counts of all phrases of one to four words, and of all words.
 
-A phrase that occurs ``least`` times holds only pairs that do. Pairs are therefore first counted by hash, in a bitmap of
-2^28 bits of those that may be frequent, and a window is padded already where its next pair is none of them. This shortens
-windows, which makes far fewer different ones, and changes no count that is asked for: a frequent pair is
-always in the bitmap. The bitmap has the same size for any table; with more pairs than bits it shortens fewer windows.
+A phrase that occurs ``least`` times holds only shorter ones that do. Runs of two words are therefore first counted by hash,
+in a bitmap of 2^28 bits of those that may be frequent, then runs of three whose pairs may be; a window is padded
+already where the next word makes a run that is in none of them. This shortens windows, which makes far fewer different ones,
+and changes no count that is asked for: a frequent run is always in its bitmap. The bitmaps have the same size for
+any table; with more runs than bits they shorten fewer windows.
 
 A cut of a phrase into two scores ``2000000 * a // (l + r)`` by the counts of the phrase and its parts, and the phrase has
 the score of its worst cut. All of this is in decimals, which are exact beyond 64 bits.
@@ -21,12 +22,13 @@ a task holds some megabytes of text at once, or one longer text.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +37,8 @@ from tidescore.llm.common import delete, folder, store
 LEAST, FIRST, LONGEST = 30, 2000, 4
 # An inner phrase goes if a longer one has this many percent of its occurrences.
 COVERED = 80
-# Bits of the hash of a pair, bytes of text that are looked at together, parts of a language that are ranked apart.
-PAIR_BITS, TEXT_BYTES, PARTS = 28, 8 << 20, 128
+# Bits of the hash of a run, bytes of text that are looked at together, parts of a language that are ranked apart.
+RUN_BITS, TEXT_BYTES, PARTS = 28, 8 << 20, 128
 # Bytes of Spark's bitmaps.
 BITMAP = 4096
 NAMES = [f"w{k}" for k in range(1, LONGEST + 1)]
@@ -69,37 +71,45 @@ class Words:
         self.ids = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
         self.words = [b"", *list(numbers)[1:]]
 
-    def pair_hashes(self, lang: str, bits: int) -> np.ndarray:
-        """A hash of each word and its successor in the piece; the last word of a piece has -1."""
+    def starts(self, lang: str, bits: int, often: Sequence[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Where words are; for runs of 2, 3, ... words that start there whether they may be frequent, by these bitmaps;
+        and the hashes of the runs of one word more, -1 for those that end a piece or hold a run that is not frequent.
+        """
         own = np.fromiter((xxhash.xxh64_intdigest(word) for word in self.words), np.uint64, len(self.words))
-        seed = np.uint64(xxhash.xxh64_intdigest(lang, 1))
-        a, b = own[self.ids[:-1]], own[self.ids[1:]]
-        mixed = ((a ^ seed) * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xC2B2AE3D27D4EB4F)
-        hashes = (mixed >> np.uint64(64 - bits)).astype(np.int64)
-        hashes[(self.ids[:-1] == 0) | (self.ids[1:] == 0)] = -1
-        return hashes
-
-    def windows(self, going_on: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        ids = np.concatenate((self.ids, np.zeros(LONGEST, np.int64)))
+        n = len(self.ids)
+        hashes = own[ids] ^ np.uint64(xxhash.xxh64_intdigest(lang, 1))
+        fits, frequent = ids != 0, []
+        for size in range(2, len(often) + 3):
+            # A run is one word shorter and the word after it; it fits if both runs of the size before do.
+            fits = np.append(fits[:-1] & fits[1:], False)
+            word = np.append(own[ids[size - 1:]], np.zeros(size - 1, np.uint64))
+            hashes = (hashes * np.uint64(0x9E3779B97F4A7C15) + word) * np.uint64(0xC2B2AE3D27D4EB4F)
+            hashes ^= hashes >> np.uint64(31)
+            code = np.where(fits, (hashes >> np.uint64(64 - bits)).astype(np.int64), -1)
+            if size - 2 < len(often):
+                fits = fits & (often[size - 2][code >> 3] >> (code & 7).astype(np.uint8) & 1).astype(bool)
+                frequent.append(fits[:n])
+        return np.nonzero(self.ids)[0], frequent, code[:n]
+
+    def windows(self, at: np.ndarray, longer: Sequence[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         """Different windows, as one array of word numbers for each column, and their counts.
 
-        ``going_on`` says of each word but the last whether a window that reaches it takes the next one too.
+        ``longer`` says for each start whether the window there has 2, 3 and 4 words.
         """
-        at = np.nonzero(self.ids)[0]
-        going_on = np.append(going_on, False)
         code, parts, counts = self.ids[at], [], []
         columns = [np.arange(len(self.words))]  # words of the codes so far
         for k in range(LONGEST):
-            last = at + k
-            ends = ~going_on[last] if k < LONGEST - 1 else np.ones(len(at), bool)
+            ends = ~longer[k][at] if k < LONGEST - 1 else np.ones(len(at), bool)
             times = np.bincount(code[ends], minlength=len(columns[0]))
             there = np.nonzero(times)[0]
             counts.append(times[there])
             parts.append([column[there] for column in columns] + [np.zeros(len(there), np.int64)] * (LONGEST - k - 1))
             at, code = at[~ends], code[~ends]
-            if k == LONGEST - 1 or not len(at):
+            if not len(at):
                 break
-            longer, code = np.unique(code * len(self.words) + self.ids[at + k + 1], return_inverse=True)
-            before, word = np.divmod(longer, len(self.words))
+            different, code = np.unique(code * len(self.words) + self.ids[at + k + 1], return_inverse=True)
+            before, word = np.divmod(different, len(self.words))
             columns = [column[before] for column in columns] + [word]
         return [np.concatenate(column) for column in zip(*parts)], np.concatenate(counts)
 
@@ -121,39 +131,41 @@ def _by_language(batches: Iterator[pa.RecordBatch], text_bytes: int) -> Iterator
         yield lang, Words(texts.pop(lang))
 
 
-def frequent_pairs(texts: DataFrame, least: int, pair_bits: int, text_bytes: int) -> np.ndarray:
-    """The bitmap, as bytes, of the hashes under which at least so many pairs lie. It has ``2 ** pair_bits`` bits."""
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def frequent_runs(texts: DataFrame, least: int, run_bits: int, text_bytes: int, shorter: Sequence[Broadcast]) -> np.ndarray:
+    """The bitmap, as bytes, of the hashes under which at least so many runs lie. It has ``2 ** run_bits`` bits.
+
+    The runs are of two words, or one more for each bitmap of shorter ones that is given.
+    """
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words in _by_language(batches, text_bytes):
-            hashes = words.pair_hashes(lang, pair_bits)
+            hashes = words.starts(lang, run_bits, [bits.value for bits in shorter])[2]
             found, times = np.unique(hashes[hashes >= 0], return_counts=True)
             if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(times, pa.int64())], ["pair", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(times, pa.int64())], ["run", "n"])
 
-    often = texts.mapInArrow(pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).filter(
-        F.col("n") >= least)
-    number = F.col("pair") + 1  # Spark's bitmaps count from 1
+    often = texts.mapInArrow(runs, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    number = F.col("run") + 1  # Spark's bitmaps count from 1
     maps = often.groupBy(F.bitmap_bucket_number(number).alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
-    found = np.zeros(1 << (pair_bits - 3), np.uint8)
+    found = np.zeros(1 << (run_bits - 3), np.uint8)
     for row in maps.toLocalIterator():
         first = (row.part - 1) * BITMAP
         found[first:first + BITMAP] = np.frombuffer(bytes(row.bits), np.uint8)[:max(0, len(found) - first)]
     return found
 
 
-def window_counts(texts: DataFrame, least: int, pair_bits: int, text_bytes: int) -> DataFrame:
-    """``lang, w1 .. w4, n``: the padded windows and how often each occurs."""
-    often = texts.sparkSession.sparkContext.broadcast(frequent_pairs(texts, least, pair_bits, text_bytes))
+def window_counts(texts: DataFrame, least: int, run_bits: int, text_bytes: int) -> DataFrame:
+    """``lang, w1 .. w4, n``: the windows, padded with nulls, and how often each occurs."""
+    often: list[Broadcast] = []
+    for _ in range(LONGEST - 2):
+        often.append(texts.sparkSession.sparkContext.broadcast(frequent_runs(texts, least, run_bits, text_bytes, often)))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = often.value
         for lang, words in _by_language(batches, text_bytes):
-            hashes = words.pair_hashes(lang, pair_bits)
-            going_on = (bits[hashes >> 3] >> (hashes & 7).astype(np.uint8) & 1).astype(bool) & (hashes >= 0)
-            columns, times = words.windows(going_on)
+            at, frequent, code = words.starts(lang, run_bits, [bits.value for bits in often])
+            columns, times = words.windows(at, [*frequent, code >= 0])
             if len(times):
-                names = pa.array(words.words, pa.binary()).cast(pa.string())
+                names = pa.array([None, *words.words[1:]], pa.binary()).cast(pa.string())
                 langs = pa.array([lang]).take(pa.array(np.zeros(len(times), np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [langs, *[names.take(pa.array(column)) for column in columns], pa.array(times, pa.int64())],
@@ -164,13 +176,16 @@ def window_counts(texts: DataFrame, least: int, pair_bits: int, text_bytes: int)
 
 def phrase_counts(windows: DataFrame, least: int) -> DataFrame:
     """``lang, words, n``: all phrases of one to four words that occur so often, and each language's words as no words."""
-    rolled = windows.rollup("lang", *NAMES).agg(
+    padded = windows.select("lang", *[F.coalesce(name, F.lit("")).alias(name) for name in NAMES], "n")
+    rolled = padded.rollup("lang", *NAMES).agg(
         F.sum("n").alias("n"), F.grouping_id("lang", *NAMES).alias("rolled"))
     # The grouping number has a bit for each column that is summed over, the last column's the lowest.
     size = sum(F.when(F.col("rolled") < (1 << k), 1).otherwise(0) for k in range(LONGEST))
     last = F.coalesce(F.element_at(F.array(*NAMES), F.greatest(size, F.lit(1))), F.lit(""))
-    wanted = (F.col("rolled") < 1 << LONGEST) & ((size == 0) | ((last != "") & (F.col("n") >= least)))
-    return rolled.filter(wanted).select("lang", F.slice(F.array(*NAMES), 1, size).alias("words"), "n")
+    # Prefixes that end in padding go before anything is summed, since this needs none of the sums.
+    prefixes = rolled.filter(F.col("rolled") < 1 << LONGEST).filter((F.col("rolled") == (1 << LONGEST) - 1) | (last != ""))
+    often = prefixes.filter((F.col("rolled") == (1 << LONGEST) - 1) | (F.col("n") >= least))
+    return often.select("lang", F.slice(F.array(*NAMES), 1, size).alias("words"), "n")
 
 
 def _exact(name: str) -> Column:
@@ -204,7 +219,7 @@ def not_inside(phrases: DataFrame) -> DataFrame:
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST,
-                 first: int = FIRST, pair_bits: int = PAIR_BITS, text_bytes: int = TEXT_BYTES) -> DataFrame:
+                 first: int = FIRST, run_bits: int = RUN_BITS, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """Each language's best phrases: ``lang, rank`` (from 1), ``phrase, a, l, r, n, score``.
 
     The counts of the phrases are stored in the shared folder, where the result reads them.
@@ -212,7 +227,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     spark, path = docs.sparkSession, folder(docs.sparkSession, "windows")
-    windows = store(window_counts(texts, least, pair_bits, text_bytes), path)
+    windows = store(window_counts(texts, least, run_bits, text_bytes), path)
     counts = store(phrase_counts(windows, least), folder(spark, "phrases"))
     delete(spark, path)
     totals = counts.filter(F.size("words") == 0).select("lang", "n")
