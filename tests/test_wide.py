@@ -1,6 +1,12 @@
 import datetime as dt
+import os
+import subprocess
+import sys
+import time
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 from threading import Barrier
+from urllib.parse import urlparse
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -17,7 +23,9 @@ from tidescore.operators import (
     upsert_newest,
     wide,
 )
-from tidescore.sources import scratch_schema, set_properties, stage
+from tidescore.sources import commits, scratch_schema, set_properties, stage
+from tidescore.sources.commits import table_folder
+from tidescore.sources.files import Files
 from tidescore.sources.tables import get_property
 
 D1, D2, D3 = (dt.date(2024, 1, day) for day in (1, 2, 3))
@@ -243,3 +251,84 @@ def test_null_keys_are_spread(spark, schema):
     assert spark.table(name).select("wt_bucket").distinct().count() == 8
     set_properties(spark, name, {"write.delete.mode": "merge-on-read"})
     assert scratch_schema(spark) and skew.is_small(read_wide(spark, name))
+
+
+def test_two_processes_merge_at_once(spark, schema, tmp_path):
+    """Each with its own session and catalog: one is refused, no row is lost, and the next merge sees the winner's rows."""
+    name = f"{schema}.wide"
+    merge_into_wide(spark, name, spark.range(50).selectExpr("cast(id as int) k", "'old' v", "DATE'2024-01-01' execution_date"),
+                    "k", buckets=2)
+    folder, go = table_folder(spark, name), tmp_path / "go"
+    script = Path(__file__).with_name("merge_process.py")
+    workers = [subprocess.Popen([sys.executable, str(script), folder, str(tmp_path), value, str(tmp_path / f"ready_{value}"), str(go)],
+                                stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True,
+                                env={**os.environ, "PYTHONPATH": str(script.parent.parent)}) for value in "ab"]
+    for _ in range(1200):
+        if all((tmp_path / f"ready_{value}").exists() for value in "ab"):
+            break
+        assert all(worker.poll() is None for worker in workers)
+        time.sleep(0.1)
+    go.touch()
+    said = [worker.communicate(timeout=120)[0].split()[-1] for worker in workers]
+    assert sorted(said) == ["merged", "refused"]
+    winner = "ab"[said.index("merged")]
+    spark.catalog.refreshTable(name)
+    found = read_wide(spark, name).collect()
+    assert len(found) == 50 and {row.v for row in found} == {winner}
+    merge_into_wide(spark, name, spark.createDataFrame([(7, "next", D3)], FIELDS), "k")
+    assert sorted(row.v for row in read_wide(spark, name).collect()) == [winner] * 49 + ["next"]
+    assert sorted(name for name in os.listdir(urlparse(folder).path) if name.startswith("_staged")) == []
+
+
+class Broken(Exception):
+    pass
+
+
+@pytest.mark.parametrize("point", ["before the record", "after the record", "in the middle", "before it is marked as done"])
+def test_a_merge_that_breaks_off(spark, rows, schema, monkeypatch, point):
+    """Before its record it has not taken place; after it, it is finished by the next reader, and only once."""
+    name = f"{schema}.wide"
+    old = spark.createDataFrame([(1, "old", D1), (2, "old", D1), (None, "null", D1)], FIELDS)
+    merge_into_wide(spark, name, old, "k", buckets=64)
+    delta = spark.createDataFrame([(1, "new", D2), (3, "new", D2), (None, "more", D1)], FIELDS)
+    left = [2]
+
+    def breaks(plain):
+        def function(*arguments):
+            left[0] -= 1
+            if point != "in the middle" or not left[0]:
+                raise Broken
+            return plain(*arguments)
+        return function
+
+    what = {"before the record": (commits.Log, "commit"), "after the record": (commits.Log, "finish"),
+            "in the middle": (Files, "move"), "before it is marked as done": (commits.Log, "register")}[point]
+    finish = commits.Log.finish
+    with monkeypatch.context() as patch:
+        if point == "after the record":
+            # The merge first finishes the one before it.
+            patch.setattr(*what, lambda log, record: finish(log, record) if int(record) < 2 else breaks(finish)(log, record))
+        else:
+            patch.setattr(*what, breaks(getattr(*what)))
+        with pytest.raises(Broken):
+            merge_into_wide(spark, name, delta, "k", run="r1")
+    expected = [(None, "null", D1), (1, "old", D1), (2, "old", D1)]
+    merged = [(None, "more", D1), (None, "null", D1), (1, "new", D2), (2, "old", D1), (3, "new", D2)]
+    assert rows(read_wide(spark, name)) == (expected if point == "before the record" else merged)
+    for _ in range(2):
+        merge_into_wide(spark, name, delta, "k", run="r1")
+        assert rows(read_wide(spark, name)) == merged
+
+
+def test_who_is_late_harms_nothing(spark, rows, schema):
+    """A process that finishes an older merge again after later ones changes nothing."""
+    name = f"{schema}.wide"
+    for value, day in (("a", D1), ("b", D2), ("c", D3)):
+        merge_into_wide(spark, name, spark.createDataFrame([(1, value, day)], FIELDS), "k", buckets=1)
+    log = commits.Log(spark, name, "merges")
+    log.files.delete(f"{log.records}/{1:012d}.done")
+    with pytest.raises(commits.LostChangeError):
+        log.finish(f"{1:012d}")  # without its mark its files count as lost
+    for number in (2, 3):
+        log.finish(f"{number:012d}")
+    assert rows(read_wide(spark, name)) == [(1, "c", D3)]

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from contextlib import ExitStack
-from threading import RLock
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +19,15 @@ from tidescore.functions.columns import (
     orderable,
 )
 from tidescore.operators.skew import is_small
+from tidescore.sources.commits import Change, Log
 from tidescore.sources.scratch import scratch, stage
 from tidescore.sources.tables import drop_tables, ensure_table, get_property, load, set_properties, table_exists
 
 BUCKET = "wt_bucket"
-# Table properties: the number of buckets, how many merges there were, and a stored merge that is to be put in place.
-BUCKETS_PROPERTY, VERSION_PROPERTY, PENDING_PROPERTY = "wide.buckets", "wide.version", "wide.pending"
-# One per table, for merges of one driver.
-LOCKS: dict[str, RLock] = defaultdict(RLock)
+# Table properties: the number of buckets, and a stored merge that an earlier version of this library left to be put in place.
+BUCKETS_PROPERTY, PENDING_PROPERTY = "wide.buckets", "wide.pending"
+# How many runs the record of a merge remembers.
+REMEMBERED_RUNS = 1000
 
 
 class DuplicateKeyError(ValueError):
@@ -173,7 +171,10 @@ def _with_bucket(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
 
 
 def read_wide(spark: SparkSession, name: str) -> DataFrame:
-    """The wide table without its storage column."""
+    """The wide table without its storage column. A merge that broke off while its files moved is finished first."""
+    log = Log(spark, name, "merges")
+    if version := _version(log):
+        log.finish(_record(version))
     return load(spark, name).drop(BUCKET)
 
 
@@ -181,26 +182,26 @@ def merge_into_wide(spark: SparkSession, name: str, delta: DataFrame, key: str |
                     date_columns: str | Sequence[str] = "execution_date", *,
                     select_fields: str | Sequence[str | Column] | None = None, date_updated: bool = False,
                     now=None, on_duplicate: str = "error", buckets: int = 256, stored: bool = False,
-                    staged: bool = True, properties: Mapping[str, str] | None = None) -> None:
+                    staged: bool = True, properties: Mapping[str, str] | None = None, run: str | None = None) -> None:
     """Merge a delta into a wide table, creating the table from the delta if it does not exist.
 
     The table is partitioned by a hash bucket of the key, and a merge reads and rewrites only the buckets
     that the delta falls in. ``buckets`` is fixed at creation; a delta should touch few of them, so choose
     more buckets for small deltas on a large table.
 
-    The new content of the touched buckets is stored next to the table, under a name of its own, before the first
-    bucket is replaced, and a property of the table then names it. If a run breaks off after that, the next merge
-    begins with that replacement, which can be repeated without harm because it writes whole buckets; what is
-    left of a run that broke off earlier is in nobody's way. ``staged=False`` writes the buckets only once;
-    lost executors do no harm then either, but a driver that is lost during the final renames does.
+    The new content of the touched buckets is written in full inside the table's folder, where no reader looks. A
+    record numbered one above the last then names the new files and those they replace, and is created only if there is
+    none of that number; after it, files move and nothing is written again. Of two merges that began at the same state, in
+    one process or in several, one therefore raises ``ConcurrentMergeError`` and leaves no trace. A merge that
+    breaks off before its record has not taken place, and one that breaks off after it is finished by the next merge or
+    ``read_wide``, which can be repeated without harm.
 
-    A merge that finds, before it replaces anything, that another one has changed the table since it began
-    raises ``ConcurrentMergeError``. Merges of one driver are kept apart by a lock; two drivers must not replace
-    buckets of one table at the same moment.
+    A merge with the same ``run`` as one of the last thousand has taken place already and does nothing.
 
     The delta is read several times and is therefore first written to the shared folder, unless ``stored``
     says that it comes straight from a stored table other than this one. ``select_fields`` may hold
-    expressions, and ``properties`` are given to the table when it is created.
+    expressions, and ``properties`` are given to the table when it is created. ``staged`` has no effect any more, since
+    buckets are written once in any case.
     """
     keys, dates = as_list(key), as_list(date_columns)
     delta = cast_date_if_present(choose(delta, select_fields))
@@ -209,18 +210,24 @@ def merge_into_wide(spark: SparkSession, name: str, delta: DataFrame, key: str |
         now = spark.range(1).select(F.current_timestamp()).first()[0] if now is None else now
         delta = add_date_updated(delta, now)
 
+    first = None
     if not table_exists(spark, name):
         first = _with_bucket(delta, keys, buckets)
         ensure_table(spark, name, first.schema, partition_by=BUCKET, options={"partitionOverwriteMode": "dynamic"},
-                     properties={**(properties or {}), BUCKETS_PROPERTY: str(buckets), VERSION_PROPERTY: "0"})
-        first.hint("rebalance", BUCKET).write.insertInto(name)
+                     properties={**(properties or {}), BUCKETS_PROPERTY: str(buckets)})
+    log = Log(spark, name, "merges")
+    version, runs = _settled(spark, log)
+    if run is not None and run in runs:
+        return
+    runs = [*runs, run][-REMEMBERED_RUNS:] if run is not None else runs
+    if first is not None and not version:
+        change = log.stage(first.hint("rebalance", BUCKET), BUCKET)
+        _replace(log, version, runs, change)
         return
 
     buckets = get_property(spark, name, BUCKETS_PROPERTY)
     if buckets is None:
         raise ValueError(f"{name} was not created as a wide table")
-    _finish_replacement(spark, name)
-    version = get_property(spark, name, VERSION_PROPERTY)
     current = load(spark, name)
     delta = _with_bucket(_as_target(current.drop(BUCKET), delta), keys, int(buckets))
     with ExitStack() as temporary:
@@ -229,40 +236,54 @@ def merge_into_wide(spark: SparkSession, name: str, delta: DataFrame, key: str |
         stats = _delta_stats(delta, keys, F.col(BUCKET))
         if not stats:
             return
-        within = F.col(BUCKET).isin([row.group for row in stats])
-        merged = _merge(current.filter(within), delta, keys, dates, on_duplicate, stats)
-        # A row of any other bucket would take that bucket's place, so it has to stop the merge.
-        checked = F.when(within, F.col(BUCKET)).otherwise(F.raise_error(F.lit("row outside the merged buckets")))
-        merged = merged.withColumn(BUCKET, checked.cast("int")).hint("rebalance", BUCKET)
-        if not staged:
-            with LOCKS[name]:
-                _next_version(spark, name, version)
-                merged.write.mode("overwrite").insertInto(name)
-            return
-        new = f"{name}__merged_{uuid4().hex[:12]}"
+        touched = [row.group for row in stats]
+        old = log.listed(f"{BUCKET}={bucket}" for bucket in touched)
+        within = F.col(BUCKET).isin(touched)
         try:
-            merged.write.format("parquet").partitionBy(BUCKET).saveAsTable(new)
-            with LOCKS[name]:
-                _next_version(spark, name, version, new)
-                _finish_replacement(spark, name)
-        except ConcurrentMergeError:
-            drop_tables(spark, [new])
+            merged = _merge(current.filter(within), delta, keys, dates, on_duplicate, stats)
+            change = log.stage(merged.hint("rebalance", BUCKET), BUCKET)
+        except Exception as error:
+            if _version(log) != version:  # the files that it read may be gone
+                raise ConcurrentMergeError(f"{name} was changed by another merge") from error
             raise
+        change.remove = old
+        _replace(log, version, runs, change)
+
+
+def _record(version: int) -> str:
+    return f"{version:012d}"
+
 
+def _version(log: Log) -> int:
+    """How many merges there were."""
+    return max(map(int, log.names()), default=0)
 
-def _next_version(spark: SparkSession, name: str, version: str | None, pending: str = "") -> None:
-    """Claim the table's next version for a merge that began at this one."""
-    if get_property(spark, name, VERSION_PROPERTY) != version or get_property(spark, name, PENDING_PROPERTY):
-        raise ConcurrentMergeError(f"{name} was changed by another merge")
-    set_properties(spark, name, {VERSION_PROPERTY: str(int(version or 0) + 1), PENDING_PROPERTY: pending})
 
+def _settled(spark: SparkSession, log: Log) -> tuple[int, list[str]]:
+    """Finish the last merge; its number, and the last merges' runs."""
+    _finish_pending(spark, log.table)
+    version = _version(log)
+    if not version:
+        return 0, []
+    log.finish(_record(version))
+    spark.catalog.refreshTable(log.table)  # another process may have finished it
+    return version, log.says(_record(version)).get("runs", [])
 
-def _finish_replacement(spark: SparkSession, name: str) -> None:
-    """Put a completely stored set of buckets, if there is one, in the place of the table's own."""
-    with LOCKS[name]:
-        pending = get_property(spark, name, PENDING_PROPERTY)
-        if pending and table_exists(spark, pending):
-            load(spark, pending).write.mode("overwrite").insertInto(name)
-        if pending:
-            set_properties(spark, name, {PENDING_PROPERTY: ""})
-            drop_tables(spark, [pending])
+
+def _replace(log: Log, version: int, runs: list[str], change: Change) -> None:
+    """Put a merge in place that began when there were so many merges."""
+    change.says = {"runs": runs}
+    if not log.commit(_record(version + 1), change):
+        raise ConcurrentMergeError(f"{log.table} was changed by another merge")
+    log.finish(_record(version + 1))
+
+
+def _finish_pending(spark: SparkSession, name: str) -> None:
+    """Put in place what an earlier version of this library stored as a table and named in a property."""
+    pending = get_property(spark, name, PENDING_PROPERTY)
+    if not pending:
+        return
+    if table_exists(spark, pending):
+        load(spark, pending).write.mode("overwrite").insertInto(name)
+    set_properties(spark, name, {PENDING_PROPERTY: ""})
+    drop_tables(spark, [pending])

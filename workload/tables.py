@@ -25,9 +25,9 @@ from workload.registry import query, table
 @query("SELECT o_custkey, count(*) AS n_orders FROM orders WHERE o_totalprice > 100000 GROUP BY 1")
 def create_table_from_sql(spark, sf_dir):
     schema = scratch_schema(spark, "query")
-    table(spark, sf_dir, "orders").createOrReplaceTempView("tidescore_orders")
+    store(table(spark, sf_dir, "orders"), f"{schema}.orders")
     return create_table(
-        spark, "SELECT o_custkey, count(*) AS n_orders FROM tidescore_orders WHERE o_totalprice > :least "
+        spark, f"SELECT o_custkey, count(*) AS n_orders FROM {schema}.orders WHERE o_totalprice > :least "
         "GROUP BY o_custkey", f"{schema}.counts", args={"least": 100000})
 
 
