@@ -11,6 +11,7 @@ from tidescore.operators.audit import (
 from tidescore.operators.freshness import snapshot_max_ts, snapshot_ready
 from tidescore.operators.history import append_to_history, history_rows
 from tidescore.operators.lookup import fill_missing, join_result
+from tidescore.operators.once import append_once
 from tidescore.operators.outbox import events_to_write, exclude_seen, outbox_row, seen_since, write_events
 from tidescore.operators.scoring import score, score_with_columns
 from tidescore.operators.skew import anti_join, broadcast_if_small, hot_keys, is_small, left_join
@@ -29,6 +30,7 @@ __all__ = [
     "DuplicateKeyError",
     "EmptyKernelError",
     "anti_join",
+    "append_once",
     "append_to_history",
     "broadcast_if_small",
     "coverage",

@@ -111,14 +111,40 @@ def dropped_rows(kernel: DataFrame, output: DataFrame, key: str | Sequence[str],
     return tag_dropped(missing, step, priority)
 
 
+# A row per so many repeats of a key, before they become rows each.
+REPEATS = 10_000
+
+
 def funnel_audit(outputs: Sequence[tuple[str, DataFrame]], key: str, priority: float = 2.0) -> DataFrame:
-    """For every step after the first, the keys of the previous output NOT IN its own output."""
+    """For every step after the first, the keys of the previous output NOT IN its own output; repeats are kept.
+
+    One aggregation counts each key in all outputs, with counts combined before the only shuffle; a key is dropped
+    by a step where its count becomes zero, as often as it was there before. NOT IN's rule for nulls and
+    empty outputs depends on two numbers of each output, which are counted first without a shuffle of keys.
+    """
     if len(outputs) < 2:
         raise ValueError("a funnel needs at least two outputs")
-    pairs = zip(outputs, outputs[1:])
-    return reduce(DataFrame.unionAll, [
-        dropped_rows(before, after, key, step, priority, "sql")
-        for (_, before), (step, after) in pairs])
+    tagged = reduce(DataFrame.unionAll, [
+        output.select(key, F.lit(number).alias("step")) for number, (_, output) in enumerate(outputs)])
+    sizes = {row.step: row for row in tagged.groupBy("step").agg(
+        F.count(F.lit(1)).alias("n"), F.count(key).alias("n_known")).collect()}
+    counts = tagged.groupBy(key).agg(*[
+        F.count(F.when(F.col("step") == number, F.lit(1))).alias(f"n_{number}") for number in range(len(outputs))])
+
+    drops = []
+    for number, (step, _) in enumerate(outputs):
+        if not number or (number in sizes and sizes[number].n_known < sizes[number].n):
+            continue
+        gone = F.lit(True) if number not in sizes else (F.col(f"n_{number}") == 0) & F.col(key).isNotNull()
+        drops.append(F.struct(F.lit(step).alias("drop_step"), F.when(gone, F.col(f"n_{number - 1}")).otherwise(0).alias("n")))
+    if not drops:
+        return tag_dropped(outputs[0][1].select(key).limit(0), outputs[1][0], priority)
+    dropped = (counts.select(key, F.explode(F.array(*drops)).alias("drop")).filter("drop.n > 0")
+               .select(key, "drop.drop_step", "drop.n"))
+    # A key's repeats become rows in two stages, so that no array grows with them.
+    parts = dropped.withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {REPEATS}"))))
+    size = F.least(F.lit(REPEATS), F.col("n") - F.col("part") * REPEATS).cast("int")
+    return parts.select(key, "drop_step", F.explode(F.array_repeat(F.lit(float(priority)), size)).alias("priority"))
 
 
 def validate_results(kernel: DataFrame, output: DataFrame, key: str | Sequence[str], step: str,

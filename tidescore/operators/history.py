@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 
 from tidescore.functions.columns import add_nulls, as_list, choose, nullify, stamp_run
+from tidescore.operators.once import append_once
 from tidescore.sources.tables import store, table_exists
 
 DATE = "execution_date"
@@ -25,7 +26,8 @@ def history_rows(df: DataFrame, run_type: str | None = None, execution_date=None
 
 def append_to_history(df: DataFrame, table: str, run_type: str | None = None, execution_date=None, *,
                       columns: str | Sequence[str | Column] | None = None, nulls: Mapping[str, str] | None = None,
-                      sort_by: str | Sequence[str] | None = None, replace_run: bool = False) -> None:
+                      sort_by: str | Sequence[str] | None = None, replace_run: bool = False,
+                      run: str | None = None) -> None:
     """Append a run to the history table, partitioned by execution date.
 
     Rows whose dates come from a column are brought together by date first; adaptive execution splits the
@@ -33,7 +35,8 @@ def append_to_history(df: DataFrame, table: str, run_type: str | None = None, ex
     needs, so that a few rows left in many tasks do not become as many files. ``sort_by`` sorts the rows of each
     file, which narrows its column statistics.
 
-    A plain append run twice stores its rows twice. ``replace_run`` makes the run's rows replace those
+    A plain append run twice stores its rows twice. With the name of a ``run`` it takes place once for that run, however
+    often it is tried and wherever it breaks off. ``replace_run`` makes the run's rows replace those
     stored under the same date and run type. Both must be given, and the table is partitioned by both.
     """
     if replace_run and not (run_type and execution_date):
@@ -42,7 +45,10 @@ def append_to_history(df: DataFrame, table: str, run_type: str | None = None, ex
     rows = rows.hint("rebalance") if execution_date else rows.hint("rebalance", DATE)
     rows = rows.sortWithinPartitions(DATE, *as_list(sort_by)) if sort_by or not execution_date else rows
     if not replace_run:
-        store(rows, table, "append", DATE)
+        if run is None:
+            store(rows, table, "append", DATE)
+        else:
+            append_once(rows, table, run, DATE)
         return
     spark = df.sparkSession
     if not table_exists(spark, table):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidescore.functions.columns import cap_rows
+from tidescore.operators.once import append_once, has_appended
 from tidescore.operators.skew import anti_join
 from tidescore.sources.tables import create_table, insert_rows, store, table_exists
 
@@ -49,12 +50,22 @@ def outbox_row(spark: SparkSession, table_name: str, evid: int, *, source_number
     )
 
 
-def write_events(events: DataFrame, events_table: str, registry: str, evid: int, **registry_values) -> None:
-    """Replace the events table by the rows, which may come from that table, then announce it in the registry."""
+def write_events(events: DataFrame, events_table: str, registry: str, evid: int, *, run: str | None = None,
+                 **registry_values) -> None:
+    """Replace the events table by the rows, which may come from that table, then announce it in the registry.
+
+    With the name of a ``run`` the table is announced once for that run: a run that broke off between the rows and the
+    announcement is tried again as a whole, and one that was announced writes nothing.
+    """
     spark = events.sparkSession
-    create_table(spark, events, events_table, swap=True)
     row = outbox_row(spark, events_table, evid, **registry_values)
-    if table_exists(spark, registry):
+    token = f"{events_table} {run}"
+    if run is not None and has_appended(spark, registry, token):
+        return
+    create_table(spark, events, events_table, swap=True)
+    if run is not None:
+        append_once(row, registry, token)
+    elif table_exists(spark, registry):
         insert_rows(row, registry)
     else:
         store(row, registry)

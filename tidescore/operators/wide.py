@@ -85,7 +85,7 @@ def upsert_newest(target: DataFrame, delta: DataFrame, key: str | Sequence[str],
     hot target keys adaptive execution can split, and not by a full outer join, where it cannot.
     """
     keys, dates = as_list(key), as_list(date_columns)
-    delta = _as_target(target, delta)
+    delta = as_target(target, delta)
     stats = _delta_stats(delta, keys, F.lit(0))
     return _merge(target, delta, keys, dates, on_duplicate, stats)
 
@@ -111,11 +111,11 @@ def _fits(kind: T.DataType, target: T.DataType) -> bool:
     return isinstance(kind, T.DateType) and wanted in ("timestamp", "timestamp_ntz")
 
 
-def _as_target(target: DataFrame, delta: DataFrame) -> DataFrame:
-    """The delta with the target's columns and types, taken by name; a type that may lose something is refused."""
+def as_target(target: DataFrame, delta: DataFrame) -> DataFrame:
+    """A frame with another's columns and types, taken by name; a type that may lose something is refused."""
     absent = [name for name in target.columns if name not in delta.columns]
     if absent:
-        raise ValueError(f"the delta lacks columns of the target: {absent}")
+        raise ValueError(f"columns of the target are lacking: {absent}")
     for field in target.schema.fields:
         kind = delta.schema[field.name].dataType
         if not _fits(kind, field.dataType):
@@ -229,7 +229,7 @@ def merge_into_wide(spark: SparkSession, name: str, delta: DataFrame, key: str |
     if buckets is None:
         raise ValueError(f"{name} was not created as a wide table")
     current = load(spark, name)
-    delta = _with_bucket(_as_target(current.drop(BUCKET), delta), keys, int(buckets))
+    delta = _with_bucket(as_target(current.drop(BUCKET), delta), keys, int(buckets))
     with ExitStack() as temporary:
         if not stored:
             delta = stage(delta, temporary.enter_context(scratch(spark, "merge")), "delta")

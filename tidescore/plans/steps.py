@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
-from tidescore.operators.audit import funnel_audit, validate_results
+from tidescore.operators.audit import dropped_rows, funnel_audit, require_coverage
 from tidescore.operators.history import append_to_history
 from tidescore.operators.lookup import join_result
 from tidescore.operators.scoring import score, score_with_columns
 from tidescore.plans.store import Events, History, Wide, store_results
-from tidescore.sources.scratch import drop_schema, scratch_schema, stage
-from tidescore.sources.tables import ensure_table, insert_rows, load
+from tidescore.plans.manifest import Manifest, fingerprint
+from tidescore.sources.scratch import drop_schema, named_schema, scratch_schema
+from tidescore.sources.tables import ensure_table, load
 
 
 @dataclass(frozen=True)
@@ -97,7 +100,7 @@ class ChainResult:
 def run_chain(spark: SparkSession, source: DataFrame | str, steps: Sequence[Step], key: str, *,
               run_type: str = "daily", execution_date=None, only: Sequence[str] | None = None,
               overrides: Mapping[str, Mapping] | None = None, dropped_history: str | None = None,
-              store: bool = True) -> ChainResult:
+              store: bool = True, resume: str | None = None) -> ChainResult:
     """Run the steps in order and record what each of them dropped.
 
     Every step's output is written once as a table of the run and read from there by the next step, the
@@ -108,57 +111,81 @@ def run_chain(spark: SparkSession, source: DataFrame | str, steps: Sequence[Step
     ``only`` runs just the steps it names, and ``overrides`` changes fields of single steps, for backfills.
     ``dropped_history`` names the history table that the run's dropped rows are appended to. A run that fails
     leaves none of its own tables behind.
+
+    ``resume`` gives the run a name, which is that of its schema. Such a run keeps its tables when it fails, with a manifest of
+    what is finished, and the same call again goes on after the last finished part: no step is built or scored twice,
+    and history, wide table, events and dropped history take each result once, wherever the run broke off. A
+    finished part whose inputs or parameters have changed since raises ``ChangedStepError``.
     """
     steps = _selected(steps, only, overrides or {})
-    schema = scratch_schema(spark, "run")
+    schema = scratch_schema(spark, "run") if resume is None else named_schema(spark, resume)
+    manifest = Manifest(spark, schema, kept=resume is not None)
     try:
-        return _run(spark, schema, source, steps, key, run_type, execution_date, dropped_history, store)
+        return _run(spark, manifest, source, steps, key, run_type, execution_date, dropped_history, store)
     except BaseException:
-        drop_schema(spark, schema)
+        if resume is None:
+            drop_schema(spark, schema)
         raise
 
 
-def _run(spark: SparkSession, schema: str, source: DataFrame | str, steps: Sequence[Step], key: str, run_type: str,
+def _run(spark: SparkSession, manifest: Manifest, source: DataFrame | str, steps: Sequence[Step], key: str, run_type: str,
          execution_date, dropped_history: str | None, store: bool) -> ChainResult:
     is_stored = isinstance(source, str)
     current = load(spark, source) if is_stored else source
     key_type = current.schema[key].dataType.simpleString()
-    dropped_table = f"{schema}.dropped_rows"
-    ensure_table(spark, dropped_table, f"`{key}` {key_type}, drop_step string, priority double")
+    # What the parts of a run depend on: the run itself, and for each step its own settings and those before it.
+    before = fingerprint(source, key, run_type, execution_date)
 
     outputs: dict[str, DataFrame] = {}
     rows: dict[str, Row] = {}
+    dropped: list[DataFrame] = []
     for step in steps:
         is_stored = is_stored or bool(outputs) or bool(step.input_table or step.input_step)
+        before = fingerprint(before, step)
         kernel = _input(spark, step, outputs, current)
         if step.build is not None or not is_stored:
-            kernel = stage(_build(kernel, step), schema, step.name if step.model is None else f"{step.name}__kernel")
+            name = step.name if step.model is None else f"{step.name}__kernel"
+            kernel = manifest.stage(name, before, lambda: _build(kernel, step))
         if step.model is None:
             current = kernel
         else:
-            scored = _predictions(spark, schema, step, kernel, key)
-            rows[step.name], missing = validate_results(kernel, scored, key, step.model.name, step.model.threshold)
-            insert_rows(missing, dropped_table)
-            current = stage(join_result(kernel, scored, key, step.model.features), schema, step.name)
+            scored = _predictions(spark, manifest, step, kernel, key, before)
+            rows[step.name] = manifest.row(f"{step.name}__coverage", before, lambda: require_coverage(
+                kernel, scored, step.model.threshold, step.model.name))
+            dropped.append(dropped_rows(kernel, scored, key, f"model_{step.model.name}", 1.0, "except"))
+            current = manifest.stage(step.name, before, lambda: join_result(kernel, scored, key, step.model.features))
         outputs[step.name] = current
-        store_results(current, key, run_type, execution_date, history=step.history, wide=step.wide,
-                      events=step.events, store=store, stored=True)
+        manifest.once(f"{step.name}__stored", before, lambda: store_results(
+            current, key, run_type, execution_date, history=step.history, wide=step.wide, events=step.events,
+            store=store, stored=True, run=manifest.token(step.name)))
     if len(outputs) > 1:
-        insert_rows(funnel_audit(list(outputs.items()), key), dropped_table)
-    dropped = spark.table(dropped_table)
+        dropped.append(funnel_audit(list(outputs.items()), key))
+    table = _dropped_table(spark, manifest, dropped, key, key_type, before)
     if dropped_history:
-        append_to_history(dropped, dropped_history, run_type, execution_date)
-    return ChainResult(spark, schema, outputs, rows, dropped)
+        manifest.once("dropped_history", before, lambda: append_to_history(
+            table, dropped_history, run_type, execution_date, run=manifest.token("dropped_history")))
+    return ChainResult(spark, manifest.schema, outputs, rows, table)
+
+
+def _dropped_table(spark: SparkSession, manifest: Manifest, dropped: Sequence[DataFrame], key: str, key_type: str,
+                   before: str) -> DataFrame:
+    """All records of dropped rows, written once at the end."""
+    if not dropped:
+        return ensure_table(spark, f"{manifest.schema}.dropped_rows", f"`{key}` {key_type}, drop_step string, priority double")
+    typed = [frame.select(F.col(f"`{key}`").cast(key_type).alias(key), "drop_step", "priority") for frame in dropped]
+    return manifest.stage("dropped_rows", before, lambda: reduce(DataFrame.unionAll, typed))
 
 
-def _predictions(spark: SparkSession, schema: str, step: Step, kernel: DataFrame, key: str) -> DataFrame:
+def _predictions(spark: SparkSession, manifest: Manifest, step: Step, kernel: DataFrame, key: str,
+                 before: str) -> DataFrame:
     """The model's predictions: stored ones as they are, expressions unstored, those of a function stored once."""
     model = step.model
     if model.table is not None:
         return load(spark, model.table)
     if model.columns is not None:
         return score_with_columns(kernel, key, model.features, model.columns)
-    return stage(score(kernel, key, model.features, model.load, model.predictions), schema, f"{step.name}__scored")
+    return manifest.stage(f"{step.name}__scored", before,
+                          lambda: score(kernel, key, model.features, model.load, model.predictions))
 
 
 def _selected(steps: Sequence[Step], only: Sequence[str] | None, overrides: Mapping[str, Mapping]) -> list[Step]:

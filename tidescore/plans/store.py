@@ -51,11 +51,12 @@ class Events:
 
 def store_results(df: DataFrame, key: str | Sequence[str], run_type: str | None = None, execution_date=None,
                   *, history: History | None = None, wide: Wide | None = None, events: Events | None = None,
-                  store: bool = True, stored: bool = False) -> None:
+                  store: bool = True, stored: bool = False, run: str | None = None) -> None:
     """Put a result into the places that are given, one after another, or nowhere with ``store=False``.
 
     A result for several places is first written to the shared folder, so that it is computed once and all
-    places get the same rows; ``stored`` says that it is a table already.
+    places get the same rows; ``stored`` says that it is a table already. With the name of a ``run`` each place takes
+    the result once for that run, so a run that broke off can be tried again as a whole.
     """
     if not store:
         return
@@ -66,12 +67,12 @@ def store_results(df: DataFrame, key: str | Sequence[str], run_type: str | None
             stored = True
         if history:
             append_to_history(df, history.table, run_type, execution_date, columns=history.columns,
-                              nulls=history.nulls, sort_by=history.sort_by, replace_run=history.replace_run)
+                              nulls=history.nulls, sort_by=history.sort_by, replace_run=history.replace_run, run=run)
         if wide:
             merge_into_wide(spark, wide.table, df, key, wide.date_columns, select_fields=wide.select_fields,
                             date_updated=wide.date_updated, now=wide.now, on_duplicate=wide.on_duplicate,
-                            buckets=wide.buckets, stored=stored, staged=wide.staged)
+                            buckets=wide.buckets, stored=stored, staged=wide.staged, run=run)
         if events:
             source = events.build(df) if events.build else df
             rows = events_to_write(source, key, events.seen, events.where, events.limit)
-            write_events(rows, events.table, events.registry, events.evid, **events.announced)
+            write_events(rows, events.table, events.registry, events.evid, run=run, **events.announced)

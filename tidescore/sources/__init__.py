@@ -14,6 +14,7 @@ from tidescore.sources.tables import (
     store,
     table_exists,
 )
+from tidescore.sources.versions import publish_table, restore_published
 
 __all__ = [
     "create_table",
@@ -25,7 +26,9 @@ __all__ = [
     "insert_rows",
     "load",
     "move_with_view",
+    "publish_table",
     "replace_rows",
+    "restore_published",
     "restore_table",
     "scratch_schema",
     "set_properties",

@@ -29,6 +29,12 @@ def scratch_schema(spark: SparkSession, prefix: str = "scratch") -> str:
     return name
 
 
+def named_schema(spark: SparkSession, name: str) -> str:
+    """A schema of this name in the shared folder, created unless it is there."""
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name} LOCATION '{shared_dir(spark)}/{name}'")
+    return name
+
+
 def drop_schema(spark: SparkSession, schema: str) -> None:
     spark.sql(f"DROP SCHEMA IF EXISTS {schema} CASCADE")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from uuid import uuid4
 
@@ -73,7 +74,7 @@ def create_table(spark: SparkSession, source: str | DataFrame, name: str, *, swa
         return load(spark, name)
     staged = f"{name}__new_{uuid4().hex[:12]}"
     store(df, staged)
-    old = f"{name}{REPLACED}{uuid4().hex[:12]}"
+    old = f"{name}{REPLACED}{time.time_ns():020d}_{uuid4().hex[:12]}"
     if table_exists(spark, name):
         spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
     spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
@@ -82,16 +83,18 @@ def create_table(spark: SparkSession, source: str | DataFrame, name: str, *, swa
 
 
 def restore_table(spark: SparkSession, name: str) -> None:
-    """Undo or finish a swap that broke off: the renamed old table comes back, or goes if the new one is there."""
+    """Undo or finish a swap that broke off: the renamed old table comes back, or goes if the new one is there.
+
+    Of several old ones the newest comes back, and the others stay until the next swap.
+    """
     schema, _, table = name.rpartition(".")
     within = f" IN {schema}" if schema else ""
     found = spark.sql(f"SHOW TABLES{within} LIKE '{table}{REPLACED}*'").collect()
-    for row in found:
-        old = f"{schema}.{row.tableName}" if schema else row.tableName
-        if table_exists(spark, name):
-            drop_tables(spark, [old])
-        else:
-            spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
+    old = sorted(f"{schema}.{row.tableName}" if schema else row.tableName for row in found)
+    if table_exists(spark, name):
+        drop_tables(spark, old)
+    elif old:
+        spark.sql(f"ALTER TABLE {old[-1]} RENAME TO {name}")
 
 
 def create_table_with(spark: SparkSession, build: Callable[..., DataFrame], input_table: str, name: str,
@@ -120,9 +123,13 @@ def insert_rows(df: DataFrame, name: str) -> None:
 
 
 def drop_tables(spark: SparkSession, names: Iterable[str | None]) -> None:
-    """Drop each named table if it is there; missing names are skipped."""
+    """Drop each named table or view if it is there; missing names are skipped. A published table goes with its versions."""
+    from tidescore.sources.versions import drop_published, is_view
+
     for name in names:
-        if name:
+        if name and is_view(spark, name):
+            drop_published(spark, name)
+        elif name:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
