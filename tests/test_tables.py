@@ -191,3 +191,14 @@ def test_snapshot(spark, rows):
     assert snapshot_ready(df, "2024-01-17", "ms") is None
     before_1970 = spark.createDataFrame([(-1,)], "ms bigint")
     assert snapshot_ready(before_1970, "1969-12-31", "ms", None) == dt.datetime(1969, 12, 31, 23, 59, 59, 999000)
+
+
+def test_own_times(spark):
+    """Without a given time, rows are stamped with the time of the run."""
+    def clock(function):
+        return spark.range(1).select(function()).first()[0]
+
+    for made, function in ((lambda: add_date_updated(spark.range(1)).first().date_updated, F.current_timestamp),
+                           (lambda: outbox_row(spark, "t", 1, **REGISTRY).first().date_created, F.localtimestamp)):
+        begin, value, end = clock(function), made(), clock(function)
+        assert begin <= value <= end and end - begin < dt.timedelta(minutes=5)

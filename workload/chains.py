@@ -151,3 +151,40 @@ def chain_with_column_model(spark, sf_dir):
         "tenth": F.col("n_chars") / 10, "foreign_language": F.col("lang") != "en"})
     steps = [Step("scored", lambda rows: rows.select("doc_id", "lang", "n_chars"), model=model), Step("same")]
     return run_chain(spark, f"{sf_dir}/documents.parquet", steps, "doc_id").outputs["same"]
+
+
+class StoppedError(Exception):
+    """Stands for a driver that is lost."""
+
+
+@query(f"""
+    SELECT 'output' AS part, doc_id, CAST(NULL AS VARCHAR) AS drop_step FROM ({CONFIDENT}) WHERE lang = 'en'
+    UNION ALL SELECT 'history', doc_id, NULL FROM ({SCORED})
+    UNION ALL SELECT 'wide', doc_id, NULL FROM ({SCORED})
+    UNION ALL SELECT 'dropped', doc_id, drop_step FROM ({DROPPED_SQL})""")
+def resumed_chain(spark, sf_dir):
+    """A run that is lost in its third step, goes on, and is called once more: every place has each result once."""
+    schema = scratch_schema(spark, "query")
+    calls = []
+
+    def confident(rows, least):
+        calls.append(least)
+        if len(calls) == 1:
+            raise StoppedError
+        return rows.filter((F.col("length_score") >= least) | F.col("length_score").isNull())
+
+    steps = document_steps(schema)
+    steps[2] = Step("confident", confident, {"least": 0.2})
+    source = f"{schema}.documents"
+    document_source(spark, sf_dir).write.saveAsTable(source)
+    for _ in range(3):
+        try:
+            result = run_chain(spark, source, steps, "doc_id", run_type="daily", execution_date="2024-03-01",
+                               dropped_history=f"{schema}.dropped_history", resume=f"{schema}_run")
+        except StoppedError:
+            continue
+    parts = [("output", result.outputs["english"]), ("history", spark.table(f"{schema}.history")),
+             ("wide", read_wide(spark, f"{schema}.wide")), ("dropped", spark.table(f"{schema}.dropped_history"))]
+    frames = [found.select(F.lit(part).alias("part"), "doc_id", F.col("drop_step") if part == "dropped"
+                           else F.lit(None).cast("string").alias("drop_step")) for part, found in parts]
+    return frames[0].unionAll(frames[1]).unionAll(frames[2]).unionAll(frames[3])

@@ -45,3 +45,16 @@ def history_replace_run(spark, sf_dir):
     for run_type, rows in runs:
         append_to_history(rows, name, run_type, "2024-02-01", columns="c_custkey,c_nationkey", replace_run=True)
     return spark.table(name)
+
+
+@query("""
+    SELECT event_id, event_type, run_type, CAST(ts AS DATE) AS execution_date FROM events, (VALUES ('daily'), ('backfill')) AS runs(run_type)
+    WHERE run_type = 'daily' OR event_type <> 'click'""")
+def history_once_for_each_run(spark, sf_dir):
+    """Two runs, each tried twice; every run's rows are there once, under the events' own dates."""
+    name = f"{scratch_schema(spark, 'query')}.history"
+    events = table(spark, sf_dir, "events").withColumn("execution_date", F.col("ts"))
+    for run_type, rows in (("daily", events), ("backfill", events.filter("event_type <> 'click'"))):
+        for _ in range(2):
+            append_to_history(rows, name, run_type, columns="event_id,event_type,execution_date", run=f"{run_type} 2024-03-01")
+    return spark.table(name)

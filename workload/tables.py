@@ -14,11 +14,13 @@ from tidescore.sources import (
     insert_rows,
     load,
     move_with_view,
+    publish_table,
     replace_rows,
     scratch_schema,
     set_properties,
     store,
 )
+from tidescore.sources.tables import get_property
 from workload.registry import query, table
 
 
@@ -132,6 +134,57 @@ def replaced_control_table(spark, sf_dir):
             .groupBy("r_regionkey", "r_name").agg(F.count(F.lit(1)).alias("n_nations")))
 
 
+@query("SELECT o_orderkey, o_orderstatus, 'merge-on-read' AS write_mode FROM orders")
+def table_property_of_orders(spark, sf_dir):
+    """The orders of a stored table, each with a property of the table, which a constant carries."""
+    name = f"{scratch_schema(spark, 'query')}.orders"
+    store(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), name)
+    set_properties(spark, name, {"write.mode": "copy-on-write"})
+    set_properties(spark, name, {"write.mode": "merge-on-read"})
+    return load(spark, name).withColumn("write_mode", F.lit(get_property(spark, name, "write.mode")))
+
+
+@query("""
+    SELECT o_orderpriority, count(*) AS n_orders, sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS cents FROM orders
+    WHERE o_orderstatus IN ('F', 'P') GROUP BY ALL""")
+def orders_by_control_table(spark, sf_dir):
+    """The orders that a small control table chooses after it was replaced."""
+    name = f"{scratch_schema(spark, 'query')}.control"
+    for keys in ([("O",)], [("F",), ("P",)]):
+        replace_rows(spark, name, keys, "o_orderstatus string")
+    chosen = table(spark, sf_dir, "orders").join(F.broadcast(load(spark, name)), "o_orderstatus", "left_semi")
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    return chosen.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_orders"), F.sum(cents).alias("cents"))
+
+
+@query("""
+    SELECT o_orderkey, o_totalprice * 4 AS o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 1000""")
+def published_orders(spark, sf_dir):
+    """A published table, replaced three times by what reads it."""
+    name = f"{scratch_schema(spark, 'query')}.orders"
+    publish_table(spark, table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), name)
+    publish_table(spark, f"SELECT * FROM {name} WHERE o_orderstatus = :status", name, args={"status": "O"})
+    publish_table(spark, f"SELECT * FROM {name} WHERE o_totalprice > 1000", name)
+    return publish_table(spark, f"SELECT o_orderkey, o_totalprice * 4 AS o_totalprice, o_orderstatus FROM {name}", name)
+
+
+@query("""
+    SELECT 7 AS source_number, 1511 AS evid, 3 AS priority, 'customers' AS endpoint, true AS drop_table,
+           TIMESTAMP '2024-03-01 12:00:00' AS date_created, c_custkey FROM customer
+    WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'error'
+                            AND ts BETWEEN TIMESTAMP '2024-01-20' AND TIMESTAMP '2024-02-01')""")
+def announced_once(spark, sf_dir):
+    """Events written by one run that is tried three times, each event with the announcement of its table."""
+    schema = scratch_schema(spark, "query")
+    seen, where = unseen_customers(spark, sf_dir)
+    rows = events_to_write(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", seen, where)
+    for _ in range(3):
+        write_events(rows, f"{schema}.unseen", f"{schema}.registry", 1511, source_number=7, endpoint="customers",
+                     priority=3, now="2024-03-01 12:00:00", run="2024-03-01")
+    events = load(spark, f"{schema}.unseen").withColumn("table_name", F.lit(f"{schema}.unseen"))
+    return events.join(F.broadcast(load(spark, f"{schema}.registry")), "table_name").drop("table_name")
+
+
 @query("""
     SELECT c_custkey, TIMESTAMP '2024-03-01 08:30:00' AS date_updated FROM customer
     WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-10')""")
