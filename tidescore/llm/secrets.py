@@ -5,14 +5,15 @@ after a word like password, passphrase or bearer is segmented at minimum cost in
 repeats, keyboard walks, sequences and brute-force spans. The cost is the decimal logarithm of the guesses that
 an attacker would need. Values that cost at least ``least_guesses`` are added as spans of kind ``guess``; cheaper
 ones (``changeme``, ``summer2024``) are placeholders or prose and are not. Such a value ends at white space or at its opening
-quote, whatever symbols are in it; commas, semicolons and quotes at its very end are not part of it unless it is quoted. It
-is added unless the patterns' spans cover all of it.
+quote, whatever symbols are in it; a quoted one may hold blanks if its quote closes in the same line. Commas, semicolons and
+quotes at its very end are not part of it unless it is quoted. It is added unless the patterns' spans cover all of it.
 
 The dictionary is the public rank file of a byte-level tokenizer: its entries that are whole words, by rank.
 
 Edge cases: a null text counts as empty and has no spans; repeated rows give repeated results; an empty table gives
 an empty result. Positions are code points, the end is exclusive. A text is read whole, whatever its length; the
-segmentation takes time in proportion to the value's length. Equal starts are ordered by kind.
+segmentation costs all the suffixes of a value at once, since in a value other names may stand, and takes time in
+proportion to its length. Equal starts are ordered by kind.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame
@@ -46,8 +48,10 @@ NAMES = ("pass", "pwd", "secret", "token", "key", "bearer", "credential", "autho
 CONTEXT = re.compile(
     r"""(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))"""
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private)[_-]?key|credentials?"""
-    r"""|authorization|bearer)["']?(?:\s*(?::=|=>|[:=])\s*|\s+(?:is|was)\s+|(?<=bearer)\s+)"""
-    r"""(?:(["'`])((?:(?!\1)\S){6,})|((?!["'`])\S{6,}))""", ASCII)
+    r"""|authorization["']?\s*[:=]\s*["']?basic|authorization|bearer)["']?"""
+    r"""(?:\s*(?::=|=>|[:=])\s*|\s+(?:is|was)\s+|(?<=bearer)\s+|(?<=basic)\s+)"""
+    r"""(?:(["'`])(?=(?:(?!\1)[^\n]){6})|(?=(?!["'`])\S{6}))""", ASCII)
+BLANK = re.compile(r"\s")
 # What ends a sentence or an enclosing string, and not the value before it.
 AFTER = ",;\"'`"
 
@@ -99,14 +103,10 @@ def _step(a: str, b: str) -> tuple[int, int] | None:
     return move if move != (0, 0) and max(map(abs, move)) == 1 else None
 
 
-def _runs(lower: str) -> dict[int, list[tuple[int, float]]]:
-    """By end: where a walk, a sequence or a repeat can begin, and its cost without a segment's own."""
-    found: dict[int, list[tuple[int, float]]] = {}
+def _runs(lower: str) -> list[list[tuple[int, float]]]:
+    """By start: where a walk, a sequence or a repeat can end, and its cost without a segment's own."""
     n = len(lower)
-
-    def add(start, end, cost):
-        found.setdefault(end, []).append((start, cost))
-
+    found: list[list[tuple[int, float]]] = [[] for _ in range(n)]
     for start in range(n):
         turns, last = 0, None
         for end in range(start + 1, min(n, start + LONGEST_RUN)):
@@ -115,47 +115,111 @@ def _runs(lower: str) -> dict[int, list[tuple[int, float]]]:
                 break
             turns, last = turns + (move != last), move
             if end - start >= 2:
-                add(start, end + 1, math.log10(47) + math.log10(end - start) + 0.6 * turns)
+                found[start].append((end + 1, math.log10(47) + math.log10(end - start) + 0.6 * turns))
         for difference in (-1, 0, 1):
             end = start + 1
             while end < min(n, start + LONGEST_RUN) and ord(lower[end]) - ord(lower[end - 1]) == difference:
                 end += 1
                 if end - start >= 3:
-                    add(start, end, CHARACTER + math.log10(end - start))
+                    found[start].append((end, CHARACTER + math.log10(end - start)))
     for period in range(2, LONGEST_PERIOD + 1):
         equal = 0
         for i in range(period, n):
             equal = equal + 1 if lower[i] == lower[i - period] else 0
             if equal >= period and equal % period == 0:
-                add(i + 1 - equal - period, i + 1, period * CHARACTER + math.log10(equal // period + 1))
+                found[i + 1 - equal - period].append((i + 1, period * CHARACTER + math.log10(equal // period + 1)))
     return found
 
 
+class Costs:
+    """log10 of the guesses for a value and all its suffixes: the cheapest ways to cut them into explained and unexplained spans."""
+
+    def __init__(self, value: str, words: dict[str, float]):
+        lower = "".join(one if len(one) == 1 else letter for letter, one in ((letter, letter.lower()) for letter in value))
+        plain = lower.translate(LEET)
+        n, runs = len(value), _runs(lower)
+        for start in range(n):
+            if lower[start].isdigit():
+                for end in range(start + 4, min(n, start + 10) + 1):
+                    if DATE.fullmatch(lower, start, end):
+                        cost = math.log10(120 if end - start == 4 else 120 * 365) + 0.3 * (not lower[start:end].isdigit())
+                        runs[start].append((end, cost))
+        best, brute = [0.0] * (n + 1), math.inf
+        for start in range(n - 1, -1, -1):
+            brute = min(brute, best[start + 1] + SEGMENT) + CHARACTER
+            least = brute
+            for end in range(start + 3, min(n, start + LONGEST_WORD) + 1):
+                for form, extra in ((lower, 0.0), (plain, 0.3)):
+                    cost = words.get(form[start:end])
+                    if cost is not None:
+                        upper = 0.3 if value[start:end] != lower[start:end] else 0.0
+                        least = min(least, best[end] + SEGMENT + cost + extra + upper)
+            for end, cost in runs[start]:
+                least = min(least, best[end] + SEGMENT + cost)
+            best[start] = least
+        self.best = np.array(best)
+        # By period: how many characters from one on equal those a period before them.
+        letters = np.array([ord(letter) for letter in lower], np.int64)
+        self.equal = {}
+        for period in range(2, LONGEST_PERIOD + 1):
+            differ = np.nonzero(np.append(letters[period:] != letters[:-period], True))[0] if n > period else np.zeros(1, int)
+            places = np.arange(max(1, n - period + 1))
+            self.equal[period] = differ[np.searchsorted(differ, places)] - places
+        self.repeats = np.log10(np.arange(n + 2) + 1.0)
+
+    def of(self, start: int) -> float:
+        """The cost of the suffix that begins there. A repeat that goes on there counts from there."""
+        least = float(self.best[start])
+        for period, equal in self.equal.items():
+            times = int(equal[start]) // period if start < len(equal) else 0
+            if times:
+                rest = self.best[start + 2 * period:start + (times + 1) * period + 1:period]
+                least = min(least, SEGMENT + period * CHARACTER + float((rest + self.repeats[1:times + 1]).min()))
+        return least
+
+
 def guess_cost(value: str, words: dict[str, float]) -> float:
-    """log10 of the guesses for a value: the cheapest way to cut it into explained and unexplained spans."""
-    lower = value.lower() if len(value.lower()) == len(value) else value
-    plain = lower.translate(LEET)
-    n, runs = len(value), _runs(lower)
-    for start in range(n):
-        if lower[start].isdigit():
-            for end in range(start + 4, min(n, start + 10) + 1):
-                if DATE.fullmatch(lower, start, end):
-                    cost = math.log10(120 if end - start == 4 else 120 * 365) + 0.3 * (not lower[start:end].isdigit())
-                    runs.setdefault(end, []).append((start, cost))
-    best, brute = [0.0] * (n + 1), math.inf
-    for end in range(1, n + 1):
-        brute = min(brute, best[end - 1] + SEGMENT) + CHARACTER
-        least = brute
-        for start in range(max(0, end - LONGEST_WORD), end - 2):
-            for form, extra in ((lower, 0.0), (plain, 0.3)):
-                cost = words.get(form[start:end])
-                if cost is not None:
-                    upper = 0.3 if value[start:end] != lower[start:end] else 0.0
-                    least = min(least, best[start] + SEGMENT + cost + extra + upper)
-        for start, cost in runs.get(end, ()):
-            least = min(least, best[start] + SEGMENT + cost)
-        best[end] = least
-    return best[n]
+    """log10 of the guesses for a value."""
+    return Costs(value, words).of(0)
+
+
+class Values:
+    """The values of one text that stand in a credential's place, and their costs. Values with one end share their costs."""
+
+    def __init__(self, text: str, words: dict[str, float]):
+        self.text, self.words, self.blank = text, words, -1
+        self.known: dict[int, tuple[int, Costs]] = {}
+
+    def end(self, start: int, quote: str | None) -> int:
+        if self.blank < start:
+            match = BLANK.search(self.text, start)
+            self.blank = match.start() if match else len(self.text)
+        if quote is None:
+            return start + len(self.text[start:self.blank].rstrip(AFTER)) if self.text[self.blank - 1] in AFTER else self.blank
+        end = self.text.find(quote, start, self.blank)
+        return end if end >= 0 else self._closing(start, quote)
+
+    def _closing(self, start: int, quote: str) -> int:
+        """The quote that closes a value with blanks, unless it is an apostrophe; without one the value ends at the blank."""
+        line = self.text.find("\n", self.blank)
+        line = len(self.text) if line < 0 else line
+        end = self.text.find(quote, self.blank, line)
+        while end >= 0:
+            if not (self.text[end - 1].isalnum() and self.text[end + 1:end + 2].isalnum()):
+                return end
+            end = self.text.find(quote, end + 1, line)
+        return self.blank
+
+    def cost(self, start: int, end: int) -> float:
+        if end - start < 6:
+            return 0.0
+        first, costs = self.known.get(end, (start + 1, None))
+        if first > start:
+            for old in [old for old in self.known if old <= start]:
+                del self.known[old]
+            first, costs = start, Costs(self.text[start:end], self.words)
+            self.known[end] = first, costs
+        return costs.of(start - first)
 
 
 def find_secrets(text: str | None, words: dict[str, float], least_guesses: float = LEAST_GUESSES
@@ -169,11 +233,11 @@ def find_secrets(text: str | None, words: dict[str, float], least_guesses: float
         return sorted(spans), most
     spans += [Span(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     covered = _stretches(spans)
-    at, match = 0, CONTEXT.search(text)
+    at, match, values = 0, CONTEXT.search(text), Values(text, words)
     while match:
-        value = match[2] or match[3].rstrip(AFTER)
-        start = match.start(match.lastindex)
-        end, cost = start + len(value), guess_cost(value, words) if len(value) >= 6 else 0.0
+        start = match.end()
+        end = values.end(start, match[1])
+        cost = values.cost(start, end)
         most = max(most, cost)
         while at < len(covered) and covered[at][1] <= start:
             at += 1
