@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidescore.functions import inline_rows, pending, stack_distinct
 from tidescore.operators import (
+    asof,
     broadcast_if_small,
     enrich_features,
     fill_missing,
@@ -15,6 +16,7 @@ from tidescore.operators import (
     left_join,
     score,
     score_with_columns,
+    skew,
 )
 
 
@@ -142,3 +144,27 @@ def test_score(spark, rows):
     found = score(df, "k", "n,k", load_model, "p double")
     assert found.columns == ["k", "n", "p"] and rows(found) == [(2, 2, 1.0), (3, 3, 1.5)]
     assert rows(score_with_columns(df, "k", "n", {"p": F.col("n") * 2})) == [(1, 1, 2), (2, 2, 4), (3, 3, 6)]
+
+
+def test_rows_of_other_keys_go_before_the_shuffle(spark, rows, monkeypatch):
+    facts = spark.range(20_000).select((F.col("id") % 2000).cast("int").alias("k"), F.concat(F.lit("s"), F.col("id") % 2000).alias("s"),
+                                       F.timestamp_seconds("id").alias("ts"), F.col("id").alias("f"))
+    kernel = spark.range(40).select((F.col("id") * 31).cast("int").alias("k"), F.concat(F.lit("s"), F.col("id") * 31).alias("s"),
+                                    F.timestamp_seconds(F.col("id") * 500).alias("ts"))
+    keys = {row.k for row in kernel.collect()}
+    for key in ("k", "s", ["k", "s"]):
+        kept = skew.among_keys(facts, kernel, key)
+        assert kept.columns == facts.columns
+        assert kept.filter(F.col("k").isin(*keys)).count() == 10 * len(keys)
+        assert kept.count() <= 10 * len(keys) + 20  # one key of another kind at most
+    few = skew.among_keys(facts, kernel, "k", bits=4)
+    assert few.filter(F.col("k").isin(*keys)).count() == 10 * len(keys)
+    assert skew.among_keys(facts, kernel.withColumn("k", F.col("k").cast("bigint")), "k").count() == 20_000
+    assert skew.among_keys(facts, kernel.limit(0), "k").count() == 0
+
+    seen = []
+    plain = asof._by_key
+    monkeypatch.setattr(asof, "_by_key", lambda rows, facts, keys: seen.append(facts.count()) or plain(rows, facts, keys))
+    found = enrich_features(kernel, facts.drop("s"), "k", "f", "ts", max_broadcast_bytes=0)
+    assert seen[0] <= 10 * len(keys) + 20
+    assert rows(found) == rows(enrich_features(kernel, facts.drop("s"), "k", "f", "ts"))

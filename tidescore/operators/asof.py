@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidescore.functions.columns import any_null, as_list, orderable
-from tidescore.operators.skew import MAX_KEY_ROWS, broadcast_if_small, hot_keys, is_small, stored
+from tidescore.operators.skew import MAX_KEY_ROWS, among_keys, broadcast_if_small, hot_keys, is_small, stored
 
 
 def enrich_features(kernel: DataFrame, features_df: DataFrame, key: str | Sequence[str],
                     features: str | Sequence[str], kernel_ts: str, feature_ts: str | None = None,
-                    min_date=None, *, max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
+                    min_date=None, *, max_key_rows: int | None = MAX_KEY_ROWS,
+                    max_broadcast_bytes: int | None = None) -> DataFrame:
     """Add the feature columns of the key's latest feature row at or before the kernel time.
 
     Of several feature rows at one time the greatest value tuple counts; maps and variants have no order and
@@ -23,6 +24,10 @@ def enrich_features(kernel: DataFrame, features_df: DataFrame, key: str | Sequen
     together are sorted by ranges of (key, time) instead, over as many tasks as their rows need. The ranges
     are stored in the shared folder, which the result reads from. One pass counts the rows of both sides; keys
     are counted only if the rows are enough for a long one.
+
+    Feature rows of other keys are left out before anything is shuffled: by the kernel's keys where they are small enough to
+    be broadcast (``max_broadcast_bytes``, 64 MB by default), and else, if there are fewer kernel rows than feature rows, by a
+    bitmap of fixed size of those keys.
     """
     keys, names = as_list(key), as_list(features)
     feature_ts = feature_ts or kernel_ts
@@ -44,8 +49,10 @@ def enrich_features(kernel: DataFrame, features_df: DataFrame, key: str | Sequen
     sides = kernel.select(F.lit(1).alias("k")).unionAll(features_df.select(F.lit(0)))
     n_both, n_kernel = sides.agg(F.count("k"), F.coalesce(F.sum("k"), F.lit(0))).first()
     hot = hot_keys(wanted.unionAll(facts.select(*keys)), keys, max_key_rows, n_both)
-    if is_small(wanted, rows=n_kernel):
+    if is_small(wanted, max_broadcast_bytes, rows=n_kernel):
         facts = facts.join(F.broadcast(wanted), keys, "left_semi")
+    elif 2 * n_kernel < n_both:
+        facts = among_keys(facts, wanted, keys)
 
     if hot is None:
         found = _by_key(rows, facts, keys)

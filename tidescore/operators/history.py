@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from contextlib import nullcontext
 
 from pyspark.sql import Column, DataFrame
 
 from tidescore.functions.columns import add_nulls, as_list, choose, nullify, stamp_run
 from tidescore.operators.once import append_once
+from tidescore.sources.scratch import apart
 from tidescore.sources.tables import store, table_exists
 
 DATE = "execution_date"
@@ -31,7 +33,7 @@ def append_to_history(df: DataFrame, table: str, run_type: str | None = None, ex
     """Append a run to the history table, partitioned by execution date.
 
     Rows whose dates come from a column are brought together by date first; adaptive execution splits the
-    tasks of large dates. Under one given date the rows are dealt out evenly, to as many tasks as their size
+    tasks of large dates and leaves small ones apart, which are written side by side. Under one given date the rows are dealt out evenly, to as many tasks as their size
     needs, so that a few rows left in many tasks do not become as many files. ``sort_by`` sorts the rows of each
     file, which narrows its column statistics.
 
@@ -45,10 +47,11 @@ def append_to_history(df: DataFrame, table: str, run_type: str | None = None, ex
     rows = rows.hint("rebalance") if execution_date else rows.hint("rebalance", DATE)
     rows = rows.sortWithinPartitions(DATE, *as_list(sort_by)) if sort_by or not execution_date else rows
     if not replace_run:
-        if run is None:
-            store(rows, table, "append", DATE)
-        else:
-            append_once(rows, table, run, DATE)
+        with nullcontext() if execution_date else apart(df.sparkSession):
+            if run is None:
+                store(rows, table, "append", DATE)
+            else:
+                append_once(rows, table, run, DATE)
         return
     spark = df.sparkSession
     if not table_exists(spark, table):

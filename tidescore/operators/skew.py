@@ -16,6 +16,9 @@ MAX_KEY_ROWS = 1_000_000
 # Nothing larger than this is broadcast by our own hints.
 MAX_BROADCAST_BYTES = 64 << 20
 
+# Bits of the bitmap by which rows are told apart from those of other keys: 32 MB at most, whatever the number of keys.
+KEY_BITS = 28
+
 FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType,
          T.YearMonthIntervalType, T.NullType)
 
@@ -126,3 +129,27 @@ def anti_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], rows:
     if rows is not None and is_small(right, rows=rows):
         return left.join(F.broadcast(right), keys, "left_anti")
     return left.join(stored(right.distinct()), keys, "left_anti")
+
+
+def among_keys(df: DataFrame, wanted: DataFrame, key: str | Sequence[str], bits: int = KEY_BITS) -> DataFrame:
+    """The rows whose key is in the other frame, and some whose key is not; rows with a null key may go.
+
+    The keys are marked by hash in a bitmap of fixed size, which is broadcast in parts of 4 kB. So this costs a shuffle
+    of numbers on the side of the keys and none of the rows, and keeps a row of another key with a chance of the
+    number of keys divided by that of bits. Keys whose type differs between the frames, or whose equality is not that of
+    their bytes, are not told apart.
+    """
+    keys = as_list(key)
+    kinds = [(df.schema[name].dataType, wanted.schema[name].dataType) for name in keys]
+    if any(one != other or "collate" in one.simpleString() for one, other in kinds):
+        return df
+    slot = F.pmod(F.xxhash64(*keys), F.lit(1 << bits)) + 1  # Spark's bitmaps count from 1
+    part, place = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
+    # Each part is made by one task, so no task holds more than its own.
+    maps = (wanted.select(part.alias("_part"), place.alias("_place")).repartition("_part")
+            .groupBy("_part").agg(F.bitmap_construct_agg(F.col("_place")).alias("_bits")))
+    marked = df.withColumns({"_part": part, "_place": place}).join(F.broadcast(maps), "_part")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    inside = F.when(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << bit) for bit in range(8)]),
+                                                 (F.col("_place") % 8 + 1).cast("int"))) != 0, True).otherwise(False)
+    return marked.filter(inside).select(*df.columns)

@@ -20,7 +20,7 @@ from tidescore.functions.columns import (
 )
 from tidescore.operators.skew import is_small
 from tidescore.sources.commits import Change, Log
-from tidescore.sources.scratch import scratch, stage
+from tidescore.sources.scratch import apart, scratch, stage
 from tidescore.sources.tables import drop_tables, ensure_table, get_property, load, set_properties, table_exists
 
 BUCKET = "wt_bucket"
@@ -221,7 +221,8 @@ def merge_into_wide(spark: SparkSession, name: str, delta: DataFrame, key: str |
         return
     runs = [*runs, run][-REMEMBERED_RUNS:] if run is not None else runs
     if first is not None and not version:
-        change = log.stage(first.hint("rebalance", BUCKET), BUCKET)
+        with apart(spark):
+            change = log.stage(first.hint("rebalance", BUCKET), BUCKET)
         _replace(log, version, runs, change)
         return
 
@@ -241,7 +242,8 @@ def merge_into_wide(spark: SparkSession, name: str, delta: DataFrame, key: str |
         within = F.col(BUCKET).isin(touched)
         try:
             merged = _merge(current.filter(within), delta, keys, dates, on_duplicate, stats)
-            change = log.stage(merged.hint("rebalance", BUCKET), BUCKET)
+            with apart(spark):
+                change = log.stage(merged.hint("rebalance", BUCKET), BUCKET)
         except Exception as error:
             if _version(log) != version:  # the files that it read may be gone
                 raise ConcurrentMergeError(f"{name} was changed by another merge") from error

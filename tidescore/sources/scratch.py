@@ -39,6 +39,26 @@ def drop_schema(spark: SparkSession, schema: str) -> None:
     spark.sql(f"DROP SCHEMA IF EXISTS {schema} CASCADE")
 
 
+COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
+
+
+@contextmanager
+def apart(spark: SparkSession) -> Iterator[None]:
+    """While rows that are brought together by date or bucket are written, small tasks are not joined into one.
+
+    Each date is in one task anyway unless it is large, so joined tasks make no fewer files, but write them one after another.
+    """
+    before = spark.conf.get(COALESCE, None)
+    spark.conf.set(COALESCE, "false")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(COALESCE)
+        else:
+            spark.conf.set(COALESCE, before)
+
+
 def stage(df: DataFrame, schema: str, name: str) -> DataFrame:
     """Write a frame once and return the stored table.
 

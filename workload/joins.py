@@ -233,6 +233,23 @@ def enrich_features_long_keys(spark, sf_dir):
     return enrich_features(purchases, clicks, "user_id", "click_id,click_value", "ts", max_key_rows=25)
 
 
+@query("""
+    SELECT o_orderkey, o_custkey, o_orderdate, event_id, value FROM (
+      SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_custkey % 7 = 3 AND o_orderstatus = 'P') o
+    ASOF LEFT JOIN (
+      SELECT user_id, seen_at, event_id, value FROM (
+        SELECT user_id % 1500 AS user_id, ts - INTERVAL 10950 DAY AS seen_at, event_id, value,
+               row_number() OVER (PARTITION BY user_id % 1500, ts ORDER BY event_id DESC) AS place FROM events) WHERE place = 1) e
+    ON o.o_custkey = e.user_id AND o.o_orderdate >= e.seen_at""")
+def enrich_features_of_few_keys(spark, sf_dir):
+    """A kernel that counts as too large for a broadcast: events of other customers go by the bitmap of its keys."""
+    kernel = table(spark, sf_dir, "orders").filter("o_custkey % 7 = 3 AND o_orderstatus = 'P'").select(
+        "o_orderkey", "o_custkey", "o_orderdate")
+    facts = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 1500).alias("o_custkey"), F.expr("ts - INTERVAL '10950' DAY").alias("at"), "event_id", "value")
+    return enrich_features(kernel, facts, "o_custkey", "event_id,value", "o_orderdate", "at", max_broadcast_bytes=0)
+
+
 @query("""
     SELECT max(make_timestamp(epoch_ms(ts) * 1000)) AS max_ts FROM events
     WHERE CAST(ts AS DATE) = DATE '2024-01-15'""")
