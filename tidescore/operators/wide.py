@@ -115,7 +115,7 @@ def as_target(target: DataFrame, delta: DataFrame) -> DataFrame:
     """A frame with another's columns and types, taken by name; a type that may lose something is refused."""
     absent = [name for name in target.columns if name not in delta.columns]
     if absent:
-        raise ValueError(f"columns of the target are lacking: {absent}")
+        raise ValueError(f"the frame lacks columns of the target: {absent}")
     for field in target.schema.fields:
         kind = delta.schema[field.name].dataType
         if not _fits(kind, field.dataType):
