@@ -2,6 +2,7 @@
 
 import datetime as dt
 import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tidescore.operators import append_once, append_to_history, funnel_audit, write_events
 from tidescore.operators import outbox as outbox_module
 from tidescore.sources import commits, create_table, drop_tables, load, publish_table, restore_published, restore_table, versions
+from tidescore.sources.files import Files
 
 REGISTRY = {"source_number": 7, "endpoint": "things", "priority": 2}
 
@@ -25,6 +27,21 @@ def names(spark, schema):
     return sorted(row.name for row in spark.catalog.listTables(schema))
 
 
+@pytest.mark.parametrize("local", [True, False])
+def test_a_file_is_created_once(spark, tmp_path, local):
+    """By a link, and by the refusing rename of other file systems."""
+    files = Files(spark, f"file://{tmp_path}")
+    assert files.is_local
+    files.is_local = local
+    path = f"file://{tmp_path}/a b/record"
+    assert files.names(f"file://{tmp_path}/a b") == []
+    assert files.create_if_absent(path, "één") and not files.create_if_absent(path, "two")
+    assert files.read(path) == "één" and files.names(f"file://{tmp_path}/a b") == ["record"]
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: files.create_if_absent(f"{path}_{k // 8}", str(k)), range(32)))
+    assert not local or sum(won) == 4  # local renames only look first
+
+
 def test_append_once(spark, rows, schema):
     name = f"{schema}.t"
     df = spark.createDataFrame([(1, "a/b=c", "x"), (2, None, "it's %41"), (3, "", None)], "k int, v string, p string")
