@@ -48,7 +48,7 @@ def test_run_and_registration(spark):
     assert found.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert found.count() > 0 and corpus_pipeline.ORACLE_SQL is None
     assert sorted(int(name[2:].split("_")[0]) for name in __spark_entry__.queries() if name.startswith("op")) == list(
-        np.arange(1, 11))
+        np.arange(1, 14))
 
 
 def test_odd_rows(spark, docs_of, odd):
