@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
+from tidescore.llm import bpe
 from tidescore.llm.bpe import Encoder, encode_and_decode, encoded_digests, read_ranks
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -47,3 +48,17 @@ def test_odd_rows(docs_of, odd, plain):
         ids = plain.encode_ordinary(text or "")
         assert (row.n_tokens, row.ids, row.decoded) == (len(ids), " ".join(map(str, ids)), (text or "").encode())
     assert encoded_digests(docs.limit(0)).count() == 0
+
+
+def test_remembered_words_are_those_encoded(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    choose, encoder, asked = random.Random(9), Encoder(PATH), []
+    words = ["".join(choose.choices("etaoin", k=choose.randint(1, 9))) for _ in range(60)] + ["x" * 300]
+    encode = encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda new: asked.extend(new) or encode(new))
+    expected = dict(zip(words, encode(words)))
+    for _ in range(30):
+        some = set(choose.sample(words, 12))
+        assert encoder.look_up(some) == {word: expected[word] for word in some}
+        assert len(encoder.known) <= 20 + 12 and "x" * 300 not in encoder.known
+    assert 60 < len(asked) < 30 * 12

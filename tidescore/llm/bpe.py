@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by recursive SQL, run by DuckDB inside each Spark task.
 
-The pieces of a text (each match of the split pattern) are encoded apart, so each distinct piece of a task is encoded
-once. Its bytes become rows of word, position and token. In a round of the recursive query, neighbouring rows
+The pieces of a text (each match of the split pattern) are encoded apart. A Python worker keeps the frequent ones that
+it has encoded, a bounded number, for its later tasks as well; any other piece is encoded where it stands. Its bytes become rows of word, position and token. In a round of the recursive query, neighbouring rows
 join the merge table, the leftmost pair of the lowest rank in each word is contracted to one row, and words without
 such a pair leave the recursion. For long words a second form contracts, in one round, as many pairs of the lowest
 rank from the left as the plain form would contract one after another: up to and with the first whose
@@ -11,8 +11,8 @@ in order.
 The merge table holds every pair of entries whose bytes together are an entry; its rank is that entry's.
 
 Edge cases: a null text counts as empty and has no tokens. Repeated rows get the same result; an empty table gives an
-empty result. Texts are read whole; a task holds a bounded number of words at once, so only a single piece
-of a text needs memory in proportion to its length.
+empty result. Texts are read whole; a worker holds a bounded number of words at once, and long ones only for a
+batch, so only a single piece of a text needs memory in proportion to its length.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ from tidescore.llm.common import id_and_text
 
 # Words of more bytes than this take the form that contracts several pairs in a round.
 LONG = 64
-# Bytes of words in one query, documents looked at together, and encoded words that a task remembers, up to twice.
+# Bytes of words in one query, documents looked at together, and encoded words that a worker remembers, up to twice.
 QUERY_BYTES, DOCUMENTS, REMEMBERED = 400_000, 500, 120_000
+# Characters of the longest word that is remembered.
+LONGEST = 256
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 # place: word * 2**32 + position, the positions of a word without gaps.
@@ -107,6 +109,8 @@ class Encoder:
         merges = pa.table({"l": left, "r": right, "rank": rank})
         vocabulary = pa.table({"token": np.fromiter(ranks.values(), np.int32),
                                "entry": [entry.hex() for entry in ranks]})
+        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
         self.byte = np.array([ranks[bytes([value])] for value in range(256)], np.int32)
         self.database = duckdb.connect(config={"threads": 1, "memory_limit": "4GB", "temp_directory": ""})
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
@@ -114,6 +118,17 @@ class Encoder:
             self.database.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
             self.database.unregister("rows")
 
+    def look_up(self, words: set[str]) -> dict[str, tuple[int, str, bytes]]:
+        """``encode`` of each word, from memory where an earlier call had it."""
+        if len(self.known) > REMEMBERED:  # what is still in use comes back from the older half
+            self.known, self.older = {}, self.known
+        missing = [word for word in words if word not in self.known]
+        self.known.update((word, self.older[word]) for word in missing if word in self.older)
+        new = [word for word in missing if word not in self.older]
+        encoded = dict(zip(new, self.encode(new)))
+        self.known.update((word, found) for word, found in encoded.items() if len(word) <= LONGEST)
+        return {word: encoded[word] if word in encoded else self.known[word] for word in words}
+
     def encode(self, words: list[str]) -> list[tuple[int, str, bytes]]:
         """For each word the number of its tokens, their ids as text, and what they decode to."""
         data = [word.encode() for word in words]
@@ -177,18 +192,11 @@ def _task(path: str | None, pattern: str | None, result):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
         split = regex.compile(pattern or public_tokenizers.PATTERN)
-        known: dict[str, tuple[int, str, bytes]] = {}
-        older: dict[str, tuple[int, str, bytes]] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, DOCUMENTS):
                 part = batch.slice(start, DOCUMENTS)
                 pieces = [split.findall(text) if text else [] for text in part.column(1).to_pylist()]
-                if len(known) > REMEMBERED:  # what is still in use comes back from the older half
-                    known, older = {}, known
-                missing = {piece for words in pieces for piece in words if piece not in known}
-                known.update((piece, older[piece]) for piece in missing if piece in older)
-                new = [piece for piece in missing if piece not in older]
-                known.update(zip(new, encoder.encode(new)))
+                known = encoder.look_up({piece for words in pieces for piece in words})
                 counts, ids, decoded = [], [], []
                 for words in pieces:
                     found = [known[word] for word in words]
