@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidescore.llm import lines
+from tidescore.llm.common import without_places
 from tidescore.llm.lines import all_lines, deduplicate_lines, line_components, line_report, signatures
 from brute import groups, removed_lines, shingles, without
 
@@ -119,3 +121,35 @@ def test_rows_that_share_an_id_lose_only_their_own_lines(docs_of):
     assert sorted(row.text for row in deduplicate_lines(docs).collect()) == texts
     assert sorted((row.doc_id or 0, row.n_lines, row.removed) for row in line_report(docs).collect()) == [
         (0, 2, []), (0, 2, [0]), (1, 1, []), (3, 1, []), (3, 2, [1])]
+
+
+def test_columns_named_like_those_of_the_join(docs_of):
+    docs = docs_of(["one line that stands twice\nrest", "one line that stands twice\nother rest"]).withColumnsRenamed(
+        {"lang": "removed__", "source": "doc__", "n_chars": "whole__"})
+    cleaned = deduplicate_lines(docs)
+    assert cleaned.columns == docs.columns
+    assert sorted(row.text for row in cleaned.collect()) == ["one line that stands twice\nrest", "other rest"]
+
+
+def test_places_are_left_out_in_one_pass(spark):
+    choose = random.Random(6)
+    rows = [([str(k) for k in range(n)], sorted(choose.sample(range(n), choose.randint(0, n)))) for n in range(1, 12)]
+    rows += [(["a", "b"], []), (["a", "b"], [0, 1]), ([str(k) for k in range(100_000)], list(range(0, 100_000, 2)))]
+    df = spark.createDataFrame([(k, *row) for k, row in enumerate(rows)], "k int, lines array<string>, places array<int>")
+    found = df.select("k", without_places(F.col("lines"), F.col("places")).alias("left")).collect()
+    for row in found:
+        held, places = rows[row.k][0], set(rows[row.k][1])
+        assert row.left == [line for at, line in enumerate(held) if at not in places]
+
+
+def test_pairs_are_the_same_with_and_without_carried_sets(docs_of, monkeypatch):
+    choose, texts = random.Random(3), []
+    for _ in range(12):
+        word = "".join(choose.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40))
+        texts += [word[:k] for k in (24, 29, 33, 36, 38, 39, 40)]
+    read = all_lines(docs_of(texts), "doc_id", "text")
+    found = []
+    for carried in (0, 128):
+        monkeypatch.setattr(lines, "CARRIED", carried)
+        found.append(sorted(line_components(read).collect()))
+    assert found[0] == found[1] and len(found[0]) > 60

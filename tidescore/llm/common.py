@@ -27,6 +27,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def without_places(values: Column, places: Column) -> Column:
+    """An array without the elements at some places (from 0, ascending), in time proportional to its length.
+
+    What stands between two places is one slice. The array is the variable of the outer function, so it is built once.
+    """
+    def kept(held: Column) -> Column:
+        def between(at: Column) -> Column:
+            start = F.when(at == 0, 0).otherwise(F.get(places, at - 1) + 1)
+            return F.slice(held, start + 1, F.coalesce(F.get(places, at), F.size(held)) - start)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(places)), between))
+    return F.get(F.transform(F.array(values), kept), F.lit(0))
+
+
 def remainder(id_col: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo the divisor. A null id counts as the empty text."""
     text = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))

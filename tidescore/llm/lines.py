@@ -11,7 +11,9 @@ the most copies and with the last by name, exactly, unless fewer than 15 of thei
 similarity 0.8, one pair in twenty thousand; short lines are always compared), and connected components join what is similar.
 
 In buckets that still hold several components, all pairs of lines from different components whose signatures agree
-enough are compared. A bucket with more than ``CHUNK`` lines is dealt out as pairs of chunks, and a component that fills a
+enough are compared, if the smaller shingle set has the share of the larger one that the similarity asks for. Small
+sets travel with their lines and are compared on the spot, so that only similar pairs leave that place; a set is built once
+for each line. A bucket with more than ``CHUNK`` lines is dealt out as pairs of chunks, and a component that fills a
 chunk has chunks of its own, which are not paired with each other. So no line has a limit of partners, and no
 task holds more than two chunks of a bucket. One line per component stays: the first by document id and line number.
 
@@ -29,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidescore.llm.common import delete, folder, store
+from tidescore.llm.common import delete, folder, free_name, store, without_places
 from tidescore.llm.components import components
 from tidescore.operators.skew import broadcast_if_small
 
@@ -37,6 +39,8 @@ SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 10, 3
 # Minima that have to agree before lines are compared, and shingles below which they need not.
 LEAST_AGREEING, SHORT = 15, 32
+# Shingles of the largest set that travels with its line: those that a short line can be similar to, and more.
+CARRIED = 128
 # Lines of a bucket that are compared with each other in one place.
 CHUNK = 256
 # Shingles that one generated array holds.
@@ -175,6 +179,10 @@ def _shingles(text: Column) -> Column:
     return F.array_distinct(F.transform(coded, lambda line: F.transform(places, lambda at: F.xxhash64(_shingle(line, at))))[0])
 
 
+def _alike(common: Column, n_a: Column, n_b: Column, similarity: float) -> Column:
+    return common >= similarity * (n_a + n_b - common)
+
+
 def similar(pairs: DataFrame, signed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``a, b`` of names whose lines' shingle sets have at least that Jaccard similarity."""
     both = (pairs.join(signed.toDF("a", "last_a", "minima_a"), "a").join(signed.toDF("b", "last_b", "minima_b"), "b"))
@@ -183,8 +191,7 @@ def similar(pairs: DataFrame, signed: DataFrame, texts: DataFrame, similarity: f
     found = there.select("a", "b", _shingles(F.col("text_a")).alias("s_a"), _shingles(F.col("text_b")).alias("s_b"))
     sizes = found.select("a", "b", F.size("s_a").alias("n_a"), F.size("s_b").alias("n_b"),
                          F.size(F.array_intersect("s_a", "s_b")).alias("common"))
-    enough = F.col("common") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("common"))
-    return sizes.filter(enough).select("a", "b")
+    return sizes.filter(_alike(F.col("common"), F.col("n_a"), F.col("n_b"), similarity)).select("a", "b")
 
 
 def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -214,19 +221,26 @@ def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFra
     several = (named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
                .filter("low < high").select("band"))
     held = (named.join(several, "band", "left_semi").groupBy("name", "component")
-            .agg(F.collect_list("band").alias("bands")).join(signed, "name"))
-    again = store(held.select("name", "component", "bands", "last", *_packed(F.col("minima"))), f"{base}/again")
+            .agg(F.collect_list("band").alias("bands")).join(signed, "name").join(texts, "name"))
+    sets = held.select("name", "component", "bands", "last", "minima", _shingles(F.col("text")).alias("all"))
+    again = store(sets.select("name", "component", "bands", "last", F.size("all").alias("n"), F.when(F.size("all") <= CARRIED,
+                              F.col("all")).alias("set"), *_packed(F.col("minima"))), f"{base}/again")
     dealt = _dealt(again.withColumn("band", F.explode("bands")).drop("bands"))
     one, other = (dealt.filter(f"side <> {3 - number}").select("key", *[F.col(name).alias(f"{name}_{end}") for name in
                                                                        dealt.columns if name != "key"])
                   for number, end in ((1, "a"), (2, "b")))
     inside = (F.col("side_a") != 0) & (F.col("side_b") != 0) | (F.col("side_a") == F.col("side_b")) & (
         F.col("name_a") < F.col("name_b"))
+    sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    carried = F.col("set_a").isNotNull() & F.col("set_b").isNotNull()
+    exact = ~carried | _alike(common, F.col("n_a"), F.col("n_b"), similarity)
     crossed = one.join(other, (one.key == other.key) & inside & (F.col("component_a") != F.col("component_b"))
-                       & _packed_comparable("a", "b"))
-    crossed = crossed.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"))
-    pairs = crossed.select("a", "b").distinct()
-    more = store(similar(pairs, signed, texts, similarity), f"{base}/more")
+                       & sized & _packed_comparable("a", "b") & exact)
+    crossed = store(crossed.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"),
+                                   carried.alias("verified")).distinct(), f"{base}/crossed")
+    unknown = similar(crossed.filter("NOT verified").select("a", "b"), signed, texts, similarity)
+    more = store(crossed.filter("verified").select("a", "b").unionAll(unknown), f"{base}/more")
     if not more.isEmpty():
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
     delete(spark, base)
@@ -256,12 +270,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY
                       ) -> DataFrame:
     """``docs`` with the text that is left; all rows and columns stay."""
-    gone = removed_lines(docs, id_col, text_col, similarity).toDF("doc__", "whole__", "removed__")
-    text = F.col(f"`{text_col}`")
-    left = F.filter(F.split(text, "\n"), lambda line, at: ~F.array_contains("removed__", at))
+    names = [free_name(docs, name) for name in ("doc__", "whole__", "removed__")]
+    gone = removed_lines(docs, id_col, text_col, similarity).toDF(*names)
+    text, removed = F.col(f"`{text_col}`"), F.col(names[2])
     doc, whole = _place(id_col, text_col)
-    joined = docs.join(gone, (doc == F.col("doc__")) & (whole == F.col("whole__")), "left")
-    cleaned = F.when(F.col("removed__").isNull(), text).otherwise(F.array_join(left, "\n"))
+    joined = docs.join(gone, (doc == F.col(names[0])) & (whole == F.col(names[1])), "left")
+    left = without_places(F.split(text, "\n"), removed)
+    cleaned = F.when(removed.isNull(), text).otherwise(F.array_join(left, "\n"))
     return joined.withColumn(text_col, cleaned).select(*[f"`{column}`" for column in docs.columns])
 
 
