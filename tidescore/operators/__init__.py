@@ -6,6 +6,7 @@ from tidescore.operators.audit import (
     dropped_rows,
     funnel_audit,
     require_coverage,
+    stored_coverage,
     validate_results,
 )
 from tidescore.operators.freshness import snapshot_max_ts, snapshot_ready
@@ -55,6 +56,7 @@ __all__ = [
     "seen_since",
     "snapshot_max_ts",
     "snapshot_ready",
+    "stored_coverage",
     "upsert_newest",
     "validate_results",
     "write_events",

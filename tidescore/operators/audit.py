@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidescore.functions.columns import as_list, tag_dropped
 from tidescore.operators.skew import anti_join
+from tidescore.sources.counts import count_rows
 
 
 class CoverageError(RuntimeError):
@@ -43,15 +44,36 @@ def coverage(kernel: DataFrame, output: DataFrame, key: str | Sequence[str] | No
         counts = per_key.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("kernel_count"),
                              F.coalesce(F.sum("o"), F.lit(0)).alias("output_count"),
                              F.coalesce(matched, F.lit(0)).alias("matched_count"))
+    return _judged(counts, threshold)
+
+
+def stored_coverage(spark: SparkSession, kernel: DataFrame | str, output: DataFrame | str,
+                    threshold: float = 99.0) -> DataFrame:
+    """The row of ``coverage`` for tables or paths given by their names, counted from the footers of their files.
+
+    Either side may also be a frame, which is counted as it is. The two counts come to the driver.
+    """
+    kernel_count, output_count = count_rows(spark, kernel), count_rows(spark, output)
+    counts = spark.range(1).select(F.lit(kernel_count).cast("bigint").alias("kernel_count"),
+                                   F.lit(output_count).cast("bigint").alias("output_count"))
+    return _judged(counts, threshold)
+
+
+def _judged(counts: DataFrame, threshold: float) -> DataFrame:
     pct = F.try_divide(F.col("output_count").cast("double"), F.col("kernel_count")) * 100
     needed = F.lit(Decimal(str(threshold))) * F.col("kernel_count")
     enough = (F.col("kernel_count") > 0) & (F.col("output_count") * 100 >= needed)
     return counts.withColumn("pct", pct).withColumn("passed", enough)
 
 
-def require_coverage(kernel: DataFrame, output: DataFrame, threshold: float = 99.0, step: str = "step"):
-    """Run the coverage count, raise if it is under the threshold and return its row otherwise."""
-    row = coverage(kernel, output, threshold=threshold).first()
+def require_coverage(kernel: DataFrame | str, output: DataFrame | str, threshold: float = 99.0, step: str = "step",
+                     spark: SparkSession | None = None) -> Row:
+    """Run the coverage count, raise if it is under the threshold and return its row otherwise.
+
+    With a session, stored tables can be given by name and are counted as in ``stored_coverage``.
+    """
+    counts = stored_coverage(spark, kernel, output, threshold) if spark else coverage(kernel, output, threshold=threshold)
+    row = counts.first()
     if row.kernel_count == 0:
         raise EmptyKernelError(f"{step}: the input is empty")
     if not row.passed:

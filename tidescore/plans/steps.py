@@ -137,24 +137,29 @@ def _run(spark: SparkSession, manifest: Manifest, source: DataFrame | str, steps
     before = fingerprint(source, key, run_type, execution_date)
 
     outputs: dict[str, DataFrame] = {}
+    tables: dict[str, str | None] = {}  # where an output is stored
+    current_at = source if is_stored else None
     rows: dict[str, Row] = {}
     dropped: list[DataFrame] = []
     for step in steps:
         is_stored = is_stored or bool(outputs) or bool(step.input_table or step.input_step)
         before = fingerprint(before, step)
         kernel = _input(spark, step, outputs, current)
+        kernel_at = step.input_table or (tables[step.input_step] if step.input_step else current_at)
         if step.build is not None or not is_stored:
             name = step.name if step.model is None else f"{step.name}__kernel"
             kernel = manifest.stage(name, before, lambda: _build(kernel, step))
+            kernel_at = f"{manifest.schema}.{name}"
         if step.model is None:
-            current = kernel
+            current, current_at = kernel, kernel_at
         else:
-            scored = _predictions(spark, manifest, step, kernel, key, before)
+            scored, scored_at = _predictions(spark, manifest, step, kernel, key, before)
             rows[step.name] = manifest.row(f"{step.name}__coverage", before, lambda: require_coverage(
-                kernel, scored, step.model.threshold, step.model.name))
+                kernel_at or kernel, scored_at or scored, step.model.threshold, step.model.name, spark))
             dropped.append(dropped_rows(kernel, scored, key, f"model_{step.model.name}", 1.0, "except"))
             current = manifest.stage(step.name, before, lambda: join_result(kernel, scored, key, step.model.features))
-        outputs[step.name] = current
+            current_at = f"{manifest.schema}.{step.name}"
+        outputs[step.name], tables[step.name] = current, current_at
         manifest.once(f"{step.name}__stored", before, lambda: store_results(
             current, key, run_type, execution_date, history=step.history, wide=step.wide, events=step.events,
             store=store, stored=True, run=manifest.token(step.name)))
@@ -177,15 +182,16 @@ def _dropped_table(spark: SparkSession, manifest: Manifest, dropped: Sequence[Da
 
 
 def _predictions(spark: SparkSession, manifest: Manifest, step: Step, kernel: DataFrame, key: str,
-                 before: str) -> DataFrame:
-    """The model's predictions: stored ones as they are, expressions unstored, those of a function stored once."""
+                 before: str) -> tuple[DataFrame, str | None]:
+    """The model's predictions and their table: stored ones as they are, expressions unstored, those of a function stored once."""
     model = step.model
     if model.table is not None:
-        return load(spark, model.table)
+        return load(spark, model.table), model.table
     if model.columns is not None:
-        return score_with_columns(kernel, key, model.features, model.columns)
-    return manifest.stage(f"{step.name}__scored", before,
-                          lambda: score(kernel, key, model.features, model.load, model.predictions))
+        return score_with_columns(kernel, key, model.features, model.columns), None
+    part = f"{step.name}__scored"
+    scored = manifest.stage(part, before, lambda: score(kernel, key, model.features, model.load, model.predictions))
+    return scored, f"{manifest.schema}.{part}"
 
 
 def _selected(steps: Sequence[Step], only: Sequence[str] | None, overrides: Mapping[str, Mapping]) -> list[Step]:

@@ -1,3 +1,4 @@
+from tidescore.sources.counts import count_rows, count_stored
 from tidescore.sources.scratch import drop_schema, scratch_schema, shared_dir, stage
 from tidescore.sources.tables import (
     create_table,
@@ -17,6 +18,8 @@ from tidescore.sources.tables import (
 from tidescore.sources.versions import publish_table, restore_published
 
 __all__ = [
+    "count_rows",
+    "count_stored",
     "create_table",
     "create_table_with",
     "drop_listed_tables",
