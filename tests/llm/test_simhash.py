@@ -78,3 +78,35 @@ def test_odd_rows(docs_of, odd):
 def test_many_equal_texts(docs_of):
     found = near_duplicates(docs_of(["same text here for all"] * 500 + ["another text that is not the same"])).collect()
     assert {row.component_id for row in found} == {1, 501}
+
+
+def words_of(seed, n=400):
+    random = np.random.default_rng(seed)
+    return [f"w{k}" for k in random.integers(0, 5000, n)]
+
+
+def test_null_ids_link_bridge_and_leave_one_row(docs_of):
+    base = words_of(1)
+    near, far, other = base[:-1] + ["x"], ["y"] + base[:-2] + ["z", "x"], words_of(2)
+    values = [np.uint64(fingerprint(" ".join(words))) for words in (base, near, far, other)]
+    apart = [int(np.bitwise_count(values[i] ^ values[j])) for i, j in ((0, 1), (1, 2), (0, 3))]
+    assert apart[0] <= 4 and apart[1] <= 8 and apart[2] > 8
+    docs = docs_of([(None, " ".join(base)), (None, " ".join(near)), (None, " ".join(near)),
+                    (None, " ".join(other)), (8, " ".join(other)), (9, " ".join(words_of(3)))])
+    found = near_duplicates(docs).collect()
+    assert sorted(row.component_id for row in found if row.component_id is not None) == [8, 8, 9]
+    kept = keep_one_of_each(docs).collect()
+    assert sorted(row.doc_id or 0 for row in kept) == [0, 8, 9] and len(kept) == 3
+    assert [row.text for row in kept if row.doc_id is None][0] in (" ".join(base), " ".join(near))
+
+
+FAR = 0x3FFFFFFF00000000
+
+
+def test_a_fingerprint_of_a_null_id_bridges(spark):
+    prints = spark.createDataFrame([(5, 0), (None, 0b1111), (7, 0b11111111), (None, FAR), (None, FAR + 1)],
+                                   "doc_id bigint, value bigint")
+    found = {row.value: (row.first_one, row.component_id) for row in
+             simhash.link(prints).withColumnRenamed("first", "first_one").collect()}
+    assert {found[value] for value in (0, 0b1111, 0b11111111)} == {(0, 5)}
+    assert found[FAR] == found[FAR + 1] == (FAR, None)

@@ -11,8 +11,10 @@ Equal fingerprints are one vertex, however many documents share them. A group wi
 fingerprints is dealt out as pairs of chunks to separate tasks, so no task holds more than two chunks of it.
 
 Edge cases: null, empty and blank texts have fingerprint zero and link with each other like any others. A text
-with fewer words than a shingle is one shingle. Repeated rows get the same result and are all kept. A null id takes
-part in its component but never names it. An empty table gives an empty result.
+with fewer words than a shingle is one shingle. Repeated rows get the same result. A null id takes part in its
+component, and links others, but never names it; a component without any id has a null one. An empty table gives an
+empty result. Where one document of each component is kept, null-id rows go if a row with an id is there; of those
+that are among themselves, one row with the text of the smallest hash stays.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidescore.llm.common import folder, id_and_text, store
+from tidescore.llm.common import folder, free_name, id_and_text, store
 from tidescore.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -153,24 +155,45 @@ def _grouped(values: DataFrame) -> DataFrame:
 
 
 def link(prints: DataFrame) -> DataFrame:
-    """From ``doc_id, value`` (a stored frame) to ``value, component_id`` for every distinct fingerprint."""
+    """From ``doc_id, value`` (a stored frame) to ``value, first, component_id`` for every distinct fingerprint.
+
+    The fingerprints are the vertices, with or without an id; ``first`` is the smallest of a component.
+    """
     values = prints.groupBy("value").agg(F.min("doc_id").alias("own"))
-    groups = _grouped(values.filter("own IS NOT NULL")).repartition("group").sortWithinPartitions("group")
+    groups = _grouped(values.select("value", F.col("value").alias("own"))).repartition("group").sortWithinPartitions("group")
     found = components(groups.mapInPandas(_group_links, "a bigint, b bigint"))
-    return (values.join(found, F.col("own") == F.col("id"), "left")
-            .select("value", F.coalesce("component", "own").alias("component_id")))
+    linked = values.join(found, F.col("value") == F.col("id"))
+    names = linked.groupBy("component").agg(F.min("own").alias("smallest"))
+    named = found.join(names, "component")
+    return values.join(named, F.col("value") == F.col("id"), "left").select(
+        "value", F.coalesce("component", "value").alias("first"),
+        F.when(F.col("id").isNull(), F.col("own")).otherwise(F.col("smallest")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``."""
-    rows = id_and_text(docs, id_col, text_col)
-    prints = store(rows.select("doc_id", fingerprint_of(F.col("text")).alias("value")), folder(docs.sparkSession, "prints"))
-    return prints.join(link(prints), "value").select(
+    return _linked(docs, id_col, text_col).select(
         "doc_id", F.lpad(F.lower(F.hex("value")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, whole, value, first, component_id`` of each document; ``whole`` is the hash of its text."""
+    rows = id_and_text(docs, id_col, text_col)
+    prints = store(rows.select("doc_id", F.xxhash64("text").alias("whole"), fingerprint_of(F.col("text")).alias("value")),
+                   folder(docs.sparkSession, "prints"))
+    return prints.join(link(prints), "value")
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that name their component, with all their columns. Rows with one id stay or go together."""
-    found = near_duplicates(docs, id_col, text_col).filter("doc_id <> component_id OR doc_id IS NULL")
-    gone = found.select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """The documents that name their component, with all their columns. Rows with one id stay or go together.
+
+    A component of null ids alone keeps one row.
+    """
+    found = _linked(docs, id_col, text_col)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    identified = docs.filter(F.col(f"`{id_col}`").isNotNull()).join(gone, id_col, "left_anti")
+    stays = found.filter("doc_id IS NULL AND component_id IS NULL").groupBy("first").agg(F.min("whole").alias("whole__"))
+    nameless = docs.filter(F.col(f"`{id_col}`").isNull())
+    name = free_name(docs, "whole__")
+    kept = nameless.join(stays.select(F.col("whole__").alias(name)), F.xxhash64(F.col(f"`{text_col}`")) == F.col(name), "left_semi")
+    return identified.unionByName(kept.dropDuplicates([text_col])).select(*[f"`{column}`" for column in docs.columns])
