@@ -141,3 +141,21 @@ def test_long_keys_are_cut_by_range(spark, monkeypatch, skewed):
     [pieces] = cut
     longest = pieces.groupBy("k", "_piece").count().agg(F.max("count")).first()[0]
     assert longest < 4000
+
+
+def test_a_low_limit_makes_short_ranges_but_few_tasks(spark, monkeypatch, skewed):
+    """The number of tasks goes with the rows, not with the rows divided by the limit."""
+    kernel, features = skewed.filter("v % 2 = 0"), skewed.filter("v % 2 = 1").select("k", "v", F.col("v").alias("f"))
+    cut = []
+    monkeypatch.setattr(asof, "stored", lambda df, plain=asof.stored: cut.append(plain(df)) or cut[-1])
+    found = enrich_features(kernel, features, "k", "f", "v", max_key_rows=50)
+    plain = enrich_features(kernel, features, "k", "f", "v", max_key_rows=None)
+    assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
+    [pieces] = cut
+    assert pieces.rdd.getNumPartitions() <= -(-skewed.count() // asof.TASK_ROWS)
+    assert pieces.groupBy("k", "_piece").count().agg(F.max("count")).first()[0] <= 50
+    assert pieces.select("_piece").distinct().count() >= pieces.count() // 50
+    # A piece follows the one before it in time.
+    spans = pieces.groupBy("k", "_piece").agg(F.min("_ts").alias("low"), F.max("_ts").alias("high")).collect()
+    spans = sorted((row.k, row._piece, row.low, row.high) for row in spans)
+    assert all(one[3] <= other[2] for one, other in zip(spans, spans[1:]) if one[0] == other[0])

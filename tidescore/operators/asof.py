@@ -11,6 +11,10 @@ from tidescore.functions.columns import any_null, as_list, orderable
 from tidescore.operators.skew import MAX_KEY_ROWS, among_keys, broadcast_if_small, hot_keys, is_small, stored
 
 
+# Rows that one task sorts at least, where long keys are cut into ranges.
+TASK_ROWS = 100_000
+
+
 def enrich_features(kernel: DataFrame, features_df: DataFrame, key: str | Sequence[str],
                     features: str | Sequence[str], kernel_ts: str, feature_ts: str | None = None,
                     min_date=None, *, max_key_rows: int | None = MAX_KEY_ROWS,
@@ -21,8 +25,8 @@ def enrich_features(kernel: DataFrame, features_df: DataFrame, key: str | Sequen
     do not decide. ``min_date`` leaves older feature rows out. Kernel rows without a feature row, or with a null key or time, stay, with null features.
 
     Both sides are sorted together once per key. Keys with more than ``max_key_rows`` rows on both sides
-    together are sorted by ranges of (key, time) instead, over as many tasks as their rows need. The ranges
-    are stored in the shared folder, which the result reads from. One pass counts the rows of both sides; keys
+    together are sorted by ranges of (key, time) instead, over as many tasks as their rows need; the limit says how
+    many rows a range has, not how many a task has. The ranges are stored in the shared folder, which the result reads from. One pass counts the rows of both sides; keys
     are counted only if the rows are enough for a long one.
 
     Feature rows of other keys are left out before anything is shuffled: by the kernel's keys where they are small enough to
@@ -59,9 +63,9 @@ def enrich_features(kernel: DataFrame, features_df: DataFrame, key: str | Sequen
     else:
         listed = broadcast_if_small(hot.select(*keys))
         found = _by_key(rows.join(listed, keys, "left_anti"), facts.join(listed, keys, "left_anti"), keys)
-        pieces = -(-hot.agg(F.sum("n_rows")).first()[0] // max_key_rows)
+        n_hot = hot.agg(F.sum("n_rows")).first()[0]
         found = found.unionAll(_by_range(rows.join(listed, keys, "left_semi"),
-                                         facts.join(listed, keys, "left_semi"), keys, pieces))
+                                         facts.join(listed, keys, "left_semi"), keys, n_hot, max_key_rows))
     types = dict(zip(names, (features_df.schema[name].dataType for name in names)))
     unfound = kernel.filter(unusable).select(
         *columns, *[F.lit(None).cast(types[name]).alias(name) for name in names])
@@ -87,18 +91,21 @@ def _by_key(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
             .filter(F.col("_kind") == 1).select("_row", "_feat"))
 
 
-def _by_range(rows: DataFrame, facts: DataFrame, keys: list[str], pieces: int) -> DataFrame:
-    """The same for keys too long for one task: (_row, _feat).
+def _by_range(rows: DataFrame, facts: DataFrame, keys: list[str], n_rows: int, most: int) -> DataFrame:
+    """The same for keys too long for one window: (_row, _feat).
 
-    One fact and one lookup per (key, time) are range partitioned by them, which cuts a long key into
-    pieces of equal length. Each piece is filled on its own; what it lacks at its start comes from the last
+    One fact and one lookup per (key, time) are range partitioned by them and sorted, and every ``most`` rows of a
+    partition are a piece, so that a low limit makes many pieces but not many tasks. Each piece is filled on its own; what it lacks at its start comes from the last
     fact of the key's earlier pieces, of which there is one row each.
     """
     facts = facts.groupBy(*keys, "_ts").agg(F.max_by("_feat", "_order").alias("_feat"), F.max("_order").alias("_order"))
     lookups = rows.select(*keys, "_ts").distinct()
+    tasks, most = -(-n_rows // max(most, TASK_ROWS)), max(most, 1)
+    place = F.monotonically_increasing_id()  # the partition, and the row's place there in the lower 33 bits
     cut = (_side_by_side(lookups, facts, keys, None)
-           .repartitionByRange(pieces, *keys, "_ts", "_kind")
-           .withColumn("_piece", F.spark_partition_id()))
+           .repartitionByRange(tasks, *keys, "_ts", "_kind").sortWithinPartitions(*keys, "_ts", "_kind")
+           .withColumn("_piece", place)
+           .withColumn("_piece", F.col("_piece") - F.col("_piece").bitwiseAND(F.lit(2**33 - 1)) % most))
     # Stored, because the piece numbers hold only within the one job that computed the ranges.
     cut = stored(cut.drop("_order"))
 
