@@ -62,3 +62,12 @@ def test_remembered_words_are_those_encoded(monkeypatch):
         assert encoder.look_up(some) == {word: expected[word] for word in some}
         assert len(encoder.known) <= 20 + 12 and "x" * 300 not in encoder.known
     assert 60 < len(asked) < 30 * 12
+
+
+def test_ids_and_bytes_come_from_one_ordered_list():
+    """An ordered aggregate for each result sorted every word's tokens twice."""
+    for form in (bpe.SHORT_WORDS, bpe.LONG_WORDS):
+        assert bpe.WORDS.format(tokens=form).count("ORDER BY place)") - form.count("ORDER BY place)") == 1
+    words = ["unbelievable" * 3, "a", "é", "x" * 500, " 12345"]
+    for word, (n, ids, decoded) in zip(words, Encoder(PATH).encode(words)):
+        assert decoded == word.encode() and n == len(ids.split(" "))

@@ -82,10 +82,12 @@ WITH RECURSIVE step AS (
 )
 SELECT place, token FROM step WHERE done"""
 
+# One ordered list for each word, from which both results are read.
 WORDS = """
-SELECT place >> 32 AS word, count(*) AS n, string_agg(token::VARCHAR, ' ' ORDER BY place) AS ids,
-       unhex(string_agg(entry, '' ORDER BY place)) AS decoded
-FROM ({tokens}) JOIN vocabulary USING (token) GROUP BY 1"""
+SELECT word, len(found) AS n, array_to_string(list_transform(found, lambda x: x.token), ' ') AS ids,
+       unhex(array_to_string(list_transform(found, lambda x: x.entry), '')) AS decoded
+FROM (SELECT place >> 32 AS word, list({{'token': token, 'entry': entry}} ORDER BY place) AS found
+      FROM ({tokens}) JOIN vocabulary USING (token) GROUP BY 1)"""
 
 
 @lru_cache(maxsize=2)
@@ -122,12 +124,17 @@ class Encoder:
         """``encode`` of each word, from memory where an earlier call had it."""
         if len(self.known) > REMEMBERED:  # what is still in use comes back from the older half
             self.known, self.older = {}, self.known
-        missing = [word for word in words if word not in self.known]
-        self.known.update((word, self.older[word]) for word in missing if word in self.older)
-        new = [word for word in missing if word not in self.older]
+        missing = words.difference(self.known)
+        again = missing.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        new = list(missing - again)
         encoded = dict(zip(new, self.encode(new)))
-        self.known.update((word, found) for word, found in encoded.items() if len(word) <= LONGEST)
-        return {word: encoded[word] if word in encoded else self.known[word] for word in words}
+        self.known.update(encoded)
+        found = dict(zip(words, map(self.known.__getitem__, words)))
+        for word in new:
+            if len(word) > LONGEST:
+                del self.known[word]
+        return found
 
     def encode(self, words: list[str]) -> list[tuple[int, str, bytes]]:
         """For each word the number of its tokens, their ids as text, and what they decode to."""
@@ -196,12 +203,12 @@ def _task(path: str | None, pattern: str | None, result):
             for start in range(0, batch.num_rows, DOCUMENTS):
                 part = batch.slice(start, DOCUMENTS)
                 pieces = [split.findall(text) if text else [] for text in part.column(1).to_pylist()]
-                known = encoder.look_up({piece for words in pieces for piece in words})
+                known = encoder.look_up(set().union(*pieces)).__getitem__
                 counts, ids, decoded = [], [], []
                 for words in pieces:
-                    found = [known[word] for word in words]
-                    counts.append(sum(word[0] for word in found))
-                    ids.append(" ".join([word[1] for word in found]))
-                    decoded.append(b"".join([word[2] for word in found]))
+                    n, text, data = zip(*map(known, words)) if words else ((), (), ())
+                    counts.append(sum(n))
+                    ids.append(" ".join(text))
+                    decoded.append(b"".join(data))
                 yield result(part.column(0), counts, ids, decoded)
     return run
