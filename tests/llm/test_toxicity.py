@@ -50,3 +50,20 @@ def test_odd_rows(spark, docs_of, odd, tables):
     assert {row.score for row in scored(docs_of(odd), one).collect()} <= {0.0, 1.0}
     assert {row.score for row in scored(docs_of(odd), one.limit(0)).collect()} == {0.0}
     assert scored(docs_of(odd).limit(0), one).count() == 0
+
+
+def test_every_labelled_row_is_learned_from(spark, docs_of, tables, monkeypatch):
+    """Rows, word counts and calibration are of the whole training part, whatever its size."""
+    docs, labels = tables
+    more = [(10_000 + k, "scum rare words here" if k % 2 else "w1 w2 w3") for k in range(7000)]
+    docs = docs.unionAll(docs_of(more))
+    labels = labels.unionAll(spark.createDataFrame([(k, int(k % 2)) for k, _ in more], "doc_id bigint, toxic int"))
+    seen = {}
+    words, train, raw = toxicity.known_words, toxicity.train_apart, toxicity.raw_counts
+    monkeypatch.setattr(toxicity, "known_words", lambda rows, counts: seen.update(words=rows.count()) or words(rows, counts))
+    monkeypatch.setattr(toxicity, "train_apart", lambda rows, known, counts, epochs, rate:
+                        seen.update(trained=rows.count()) or train(rows, known, counts, 1, rate))
+    monkeypatch.setattr(toxicity, "raw_counts", lambda *given: seen.update(checked=raw(*given)) or seen["checked"])
+    fit_toxicity(docs, labels)
+    assert seen["words"] == seen["trained"]
+    assert seen["trained"] + seen["checked"]["n"].sum() == docs.count() == 7900
