@@ -71,3 +71,22 @@ def test_ids_and_bytes_come_from_one_ordered_list():
     words = ["unbelievable" * 3, "a", "é", "x" * 500, " 12345"]
     for word, (n, ids, decoded) in zip(words, Encoder(PATH).encode(words)):
         assert decoded == word.encode() and n == len(ids.split(" "))
+
+
+def test_a_word_is_remembered_over_hundreds_of_thousands_of_others(monkeypatch):
+    """Most new words of a task stood in earlier tasks, far back."""
+    encoder, asked = Encoder(PATH), []
+    monkeypatch.setattr(encoder, "encode", lambda new: asked.extend(new) or [(1, "0", b"") for _ in new])
+    encoder.look_up({"first"})
+    for start in range(0, 600_000, 20_000):
+        encoder.look_up({str(k) for k in range(start, start + 20_000)})
+    assert len(asked) == 600_001
+    encoder.look_up({"first", "0"})
+    assert len(asked) == 600_001
+
+
+def test_results_of_words_are_joined_by_document(docs_of, plain):
+    texts = ["one two one", "", None, "two", "one"]
+    rows = encode_and_decode(docs_of(texts)).collect()
+    assert [(row.n_tokens, row.ids, row.decoded) for row in sorted(rows)] == [
+        (len(ids := plain.encode_ordinary(text or "")), " ".join(map(str, ids)), (text or "").encode()) for text in texts]

@@ -21,10 +21,12 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
@@ -34,7 +36,7 @@ from tidescore.llm.common import id_and_text
 # Words of more bytes than this take the form that contracts several pairs in a round.
 LONG = 64
 # Bytes of words in one query, documents looked at together, and encoded words that a worker remembers, up to twice.
-QUERY_BYTES, DOCUMENTS, REMEMBERED = 400_000, 500, 120_000
+QUERY_BYTES, DOCUMENTS, REMEMBERED = 400_000, 500, 400_000
 # Characters of the longest word that is remembered.
 LONGEST = 256
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -195,6 +197,12 @@ def _digests(doc_ids, counts, ids, decoded) -> pa.RecordBatch:
         ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def _joined(values: pa.Array, ends: np.ndarray, between: str | bytes) -> list:
+    """For each document its words' results, one after the other."""
+    listed = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), values)
+    return pc.binary_join(listed, pa.scalar(between, values.type)).to_pylist()
+
+
 def _task(path: str | None, pattern: str | None, result):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -203,12 +211,14 @@ def _task(path: str | None, pattern: str | None, result):
             for start in range(0, batch.num_rows, DOCUMENTS):
                 part = batch.slice(start, DOCUMENTS)
                 pieces = [split.findall(text) if text else [] for text in part.column(1).to_pylist()]
-                known = encoder.look_up(set().union(*pieces)).__getitem__
-                counts, ids, decoded = [], [], []
-                for words in pieces:
-                    n, text, data = zip(*map(known, words)) if words else ((), (), ())
-                    counts.append(sum(n))
-                    ids.append(" ".join(text))
-                    decoded.append(b"".join(data))
+                ends = np.cumsum([0, *map(len, pieces)])
+                # Arrow tells the words apart and joins their results, so Python looks at each distinct word only once.
+                flat = pa.array(chain.from_iterable(pieces), pa.large_string()).dictionary_encode()
+                words = flat.dictionary.to_pylist()
+                n, text, data = zip(*map(encoder.look_up(set(words)).__getitem__, words)) if words else ((), (), ())
+                before = np.concatenate(([0], np.cumsum(np.array(n, np.int64)[flat.indices.to_numpy()])))
+                counts = before[ends[1:]] - before[ends[:-1]]
+                ids, decoded = (_joined(pa.array(values, kind).take(flat.indices), ends, between) for values, kind, between in
+                                ((text, pa.large_string(), " "), (data, pa.large_binary(), b"")))
                 yield result(part.column(0), counts, ids, decoded)
     return run
