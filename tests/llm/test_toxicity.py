@@ -71,3 +71,21 @@ def test_every_labelled_row_is_learned_from(spark, docs_of, tables, monkeypatch)
 
 def test_rounds_go_down_as_rows_go_up():
     assert [toxicity.rounds(n, 8) for n in (540, 6000, 12_000, 1_000_000)] == [11, 8, 4, 3]
+
+
+def test_numbers_that_stayed_take_no_space():
+    random = np.random.default_rng(3)
+    base = random.normal(size=10_000).astype(np.float32)
+    numbers = base.copy()
+    numbers[random.choice(10_000, 500, replace=False)] += 0.01
+    packed = toxicity.difference(numbers, base)
+    assert len(packed) < 8_000 and (toxicity.restored(packed, base) == numbers).all()
+
+
+def test_only_words_of_labelled_rows_go_to_the_join(spark, docs_of, tables):
+    docs, labels = tables
+    more = docs.unionAll(docs_of([(10_000 + k, "no label here") for k in range(200)] + [(None, "no id")]))
+    few = toxicity.labelled_words(more, labels, "toxic", "lang", "doc_id", "text")
+    assert few.count() == 900
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("bitmap_construct_agg") > plan.index("MapInPandas") > plan.index("Join Inner")

@@ -5,7 +5,7 @@ label's documents have, counted over all training rows, is a row of an embedding
 the padding, which stays zero. The share of documents that is asked for bounds the table, whatever the number of rows. Filters over one, two and three neighbouring words slide over the whole text; each keeps its highest
 activation, and a logistic layer makes the score of these. Everything is trained in numpy by minibatch Adam, with the
 rarer label weighted up: in each round every task trains a copy of the network on all its rows, a batch of them in
-memory, and the copies are averaged block by block, weighted by their rows. Every labelled row is learned from; only
+memory, and the copies, of which only changed bits travel, are averaged block by block, weighted by their rows. Every labelled row is learned from; only
 the network, its vocabulary and counts come to the driver.
 
 The score is calibrated on the quarter of the rows, by a hash of their words, that is kept out of the training, from
@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidescore.llm.common import delete, folder, remainder, store
+from tidescore.operators.skew import among_keys
 
 DIMENSIONS, FILTERS, WIDTHS = 12, 12, (1, 2, 3)
 # Training documents of a label that a hash has to be in for a row of its own: at least so many, and one in so many.
@@ -43,6 +44,8 @@ LEAST_DOCUMENTS, ONE_IN = 3, 1500
 FEW_ROWS, WINDOW = 6000, 4096
 # Numbers of a network that are averaged together; steps of a raw output that calibration tells apart, of one unit.
 NUMBERS, STEPS = 16384, 512
+# Bits of the bitmap, as a power of two, by which texts without a label are left out before the join.
+LABEL_BITS = 25
 # Share of the words that a training step replaces by unknown ones, so that no single word decides.
 DROPPED = 0.5
 # Words whose activations are held at once when scoring.
@@ -196,13 +199,25 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, rows: int, epochs: int, ra
     return training.net
 
 
+def difference(numbers: np.ndarray, base: np.ndarray) -> bytes:
+    """The bits in which float32 numbers differ from others, byte after byte of each: numbers that stayed take no space."""
+    bits = numbers.view(np.uint32) ^ base.view(np.uint32)
+    return zlib.compress(bits.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def restored(packed: bytes, base: np.ndarray) -> np.ndarray:
+    """The numbers of ``difference``, exactly."""
+    bits = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+    return (bits ^ base.view(np.uint32)).view(np.float32)
+
+
 def train_apart(rows: DataFrame, known: np.ndarray, counts: dict[int, int], epochs: int, rate: float, seed: int = 5
                 ) -> Network:
     """A network from all rows ``label, words``: in each round every task learns from its own, and the copies are averaged."""
     training, total = Training(np.random.default_rng(seed), len(known) + 1), sum(counts.values())
     weights = np.array([total / (2 * counts[0]), total / (2 * counts[1])])
 
-    def one_round(number: int):
+    def one_round(number: int, base: np.ndarray):
         def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part, seen, own = TaskContext.get().partitionId(), 0, copy.deepcopy(training)
             random = np.random.default_rng([seed, number, part])
@@ -216,17 +231,19 @@ def train_apart(rows: DataFrame, known: np.ndarray, counts: dict[int, int], epoc
                 numbers = own.numbers().astype(np.float32)
                 for block, start in enumerate(range(0, len(numbers), NUMBERS)):
                     yield pd.DataFrame({"block": [block], "part": [part], "n": [seen],
-                                        "numbers": [numbers[start:start + NUMBERS].tobytes()]})
-        return learn
+                                        "numbers": [difference(numbers[start:start + NUMBERS], base[start:start + NUMBERS])]})
 
-    def average(blocks: pd.DataFrame) -> pd.DataFrame:
-        blocks = blocks.sort_values("part")
-        found = sum(np.frombuffer(numbers, np.float32) * (n / blocks["n"].sum())
-                    for numbers, n in zip(blocks["numbers"], blocks["n"].astype(float)))
-        return pd.DataFrame({"block": [blocks["block"].iloc[0]], "numbers": [found.astype(np.float64).tobytes()]})
+        def average(blocks: pd.DataFrame) -> pd.DataFrame:
+            blocks, block = blocks.sort_values("part"), int(blocks["block"].iloc[0])
+            own = base[block * NUMBERS:(block + 1) * NUMBERS]
+            found = sum(restored(numbers, own) * (n / blocks["n"].sum())
+                        for numbers, n in zip(blocks["numbers"], blocks["n"].astype(float)))
+            return pd.DataFrame({"block": [block], "numbers": [found.astype(np.float64).tobytes()]})
+        return learn, average
 
     for number in range(epochs):
-        copies = rows.select("label", "words").mapInPandas(one_round(number), "block int, part int, n bigint, numbers binary")
+        learn, average = one_round(number, training.numbers().astype(np.float32))
+        copies = rows.select("label", "words").mapInPandas(learn, "block int, part int, n bigint, numbers binary")
         mean = copies.groupBy("block").applyInPandas(average, "block int, numbers binary").collect()
         training.take(np.concatenate([np.frombuffer(row.numbers) for row in sorted(mean, key=lambda row: row.block)]))
     return training.net
@@ -293,20 +310,24 @@ def known_words(rows: DataFrame, counts: dict[int, int]) -> np.ndarray:
 
 
 def labelled_words(docs: DataFrame, labels: DataFrame, label: str, lang_col: str, id_col: str, text_col: str) -> DataFrame:
-    """``label, lang, words, kept_out`` of each labelled row; rows of the same words are kept out together."""
+    """``label, lang, words, kept_out`` of each labelled row; rows of the same words are kept out together.
+
+    Rows without a label go before their words are read, but for a few, and only the words of the others are shuffled.
+    """
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             words = [word_hashes(text).tobytes() for text in batch["text"]]
             order = np.array([zlib.crc32(text) for text in words], np.int64)
-            yield pd.DataFrame({"label": batch["label"], "lang": batch["lang"], "words": words, "order": order,
+            yield pd.DataFrame({"id": batch["id"], "lang": batch["lang"], "words": words, "order": order,
                                 "kept_out": order % 4 == 3})
 
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label"))
+    known = known.filter("label IN (0, 1) AND id IS NOT NULL")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
                        F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    return (rows.join(known.filter("label IN (0, 1) AND id IS NOT NULL"), "id").select("label", "lang", "text")
-            .mapInPandas(hashed, "label int, lang string, words binary, order bigint, kept_out boolean")
-            .sortWithinPartitions("order", "label", "lang").drop("order"))
+    read = among_keys(rows.filter("id IS NOT NULL"), known, "id", LABEL_BITS).mapInPandas(
+        hashed, f"id {rows.schema['id'].dataType.simpleString()}, lang string, words binary, order bigint, kept_out boolean")
+    return (read.join(known, "id").sortWithinPartitions("order", "label", "lang").select("label", "lang", "words", "kept_out"))
 
 
 def raw_counts(rows: DataFrame, network: Network, known: np.ndarray) -> pd.DataFrame:
