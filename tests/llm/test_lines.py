@@ -153,3 +153,45 @@ def test_pairs_are_the_same_with_and_without_carried_sets(docs_of, monkeypatch):
         monkeypatch.setattr(lines, "CARRIED", carried)
         found.append(sorted(line_components(read).collect()))
     assert found[0] == found[1] and len(found[0]) > 60
+
+
+def near_and_far(choose, n):
+    """Lines of more than ``CARRIED`` shingles that share a long passage, most pairs below the similarity, and near copies."""
+    def letters(size):
+        return "".join(choose.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+
+    common, texts = letters(300), []
+    for _ in range(n):
+        tail = letters(120)
+        texts += [common + tail, common + tail[:-20] + letters(20)]
+    return texts
+
+
+def test_rough_sets_lose_no_similar_pair(spark):
+    choose = random.Random(12)
+    texts = near_and_far(choose, 12)
+    texts += [text[:400] + "x" * k for k, text in enumerate(texts)]
+    sides = [spark.createDataFrame(list(enumerate(texts)), "k int, text string").select(
+        F.col("k").alias(f"k_{end}"), lines._shingles(F.col("text")).alias(f"set_{end}")).withColumns(
+            {f"n_{end}": F.size(f"set_{end}"), f"rough_{end}": lines._rough(F.col(f"set_{end}"))}) for end in "ab"]
+    both = sides[0].crossJoin(sides[1]).filter("k_a < k_b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    found = both.select(lines._may_be_alike("a", "b", 0.8).alias("may"),
+                        lines._alike(common, F.col("n_a"), F.col("n_b"), 0.8).alias("alike")).collect()
+    assert all(row.may for row in found if row.alike) and sum(row.alike for row in found) > 24
+    assert sum(row.may for row in found) < sum(row.alike for row in found) + 20
+
+
+def test_pairs_that_are_not_similar_do_not_leave_a_crowded_bucket(docs_of, monkeypatch):
+    texts, kept, stored = near_and_far(random.Random(7), 60), {}, lines.store
+
+    def store(df, path):
+        found = stored(df, path)
+        if path.endswith("/crossed"):
+            kept["pairs"] = found.count()
+        return found
+
+    monkeypatch.setattr(lines, "store", store)
+    found = line_components(all_lines(docs_of(texts), "doc_id", "text")).collect()
+    assert len(found) == len(texts) and len({row.component for row in found}) == len(texts) // 2
+    assert kept["pairs"] <= len(texts)

@@ -12,8 +12,9 @@ similarity 0.8, one pair in twenty thousand; short lines are always compared), a
 
 In buckets that still hold several components, all pairs of lines from different components whose signatures agree
 enough are compared, if the smaller shingle set has the share of the larger one that the similarity asks for. Small
-sets travel with their lines and are compared on the spot, so that only similar pairs leave that place; a set is built once
-for each line. A bucket with more than ``CHUNK`` lines is dealt out as pairs of chunks, and a component that fills a
+sets travel with their lines and are compared on the spot, so that only similar pairs leave that place. Of larger sets, up to
+``ROUGH`` shingles, sixteen bits of each hash travel, which tell most pairs that are not similar, and the rest are
+compared by their texts. A set is built once for each line, and a pair is compared in the first band that it shares. A bucket with more than ``CHUNK`` lines is dealt out as pairs of chunks, and a component that fills a
 chunk has chunks of its own, which are not paired with each other. So no line has a limit of partners, and no
 task holds more than two chunks of a bucket. One line per component stays: the first by document id and line number.
 
@@ -41,6 +42,8 @@ BANDS, ROWS = 10, 3
 LEAST_AGREEING, SHORT = 15, 32
 # Shingles of the largest set that travels with its line: those that a short line can be similar to, and more.
 CARRIED = 128
+# Shingles of the largest set that travels as sixteen bits of each hash, to tell what cannot be similar.
+ROUGH = 4096
 # Lines of a bucket that are compared with each other in one place.
 CHUNK = 256
 # Shingles that one generated array holds.
@@ -179,6 +182,33 @@ def _shingles(text: Column) -> Column:
     return F.array_distinct(F.transform(coded, lambda line: F.transform(places, lambda at: F.xxhash64(_shingle(line, at))))[0])
 
 
+def _rough(shingles: Column) -> Column:
+    """Sixteen bits of each hash of a set that is too large to travel whole, the different ones."""
+    low = F.transform(shingles, lambda value: F.shiftright(F.shiftleft(value, 48), 48).cast("smallint"))
+    return F.when(F.size(shingles).between(CARRIED + 1, ROUGH), F.array_distinct(low))
+
+
+def _may_be_alike(one: str, other: str, similarity: float) -> Column:
+    """Whether two lines can be similar by their rough sets. No similar pair fails: of the hashes that two sets share, no
+    more fall together than fall together in either set."""
+    lost = F.least(*[F.col(f"n_{end}") - F.size(f"rough_{end}") for end in (one, other)])
+    known = F.col(f"rough_{one}").isNotNull() & F.col(f"rough_{other}").isNotNull()
+    # ``_alike`` with room for rounding. The intersection is the variable of a function, which also keeps it out of the join's
+    # generated code: that would get too long for the JVM to compile.
+    shared = F.array(F.array_intersect(f"rough_{one}", f"rough_{other}"))
+    return ~known | F.exists(shared, lambda found: (F.size(found) + lost) * (1 + similarity)
+                             >= similarity * (F.col(f"n_{one}") + F.col(f"n_{other}")) - 1e-6)
+
+
+def _meet_first(one: str, other: str) -> Column:
+    """Whether no band before the one of these rows brings the two lines together. Where an earlier one does, they are of one
+    component, or are compared there, or one of them is an end of its bucket and was compared with the other."""
+    first = F.lit(True)
+    for band in range(BANDS - 1):
+        first = first & ((F.col(f"place_{one}") <= band) | (F.col(f"packed{band}_{one}") != F.col(f"packed{band}_{other}")))
+    return first
+
+
 def _alike(common: Column, n_a: Column, n_b: Column, similarity: float) -> Column:
     return common >= similarity * (n_a + n_b - common)
 
@@ -224,8 +254,10 @@ def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFra
             .agg(F.collect_list("band").alias("bands")).join(signed, "name").join(texts, "name"))
     sets = held.select("name", "component", "bands", "last", "minima", _shingles(F.col("text")).alias("all"))
     again = store(sets.select("name", "component", "bands", "last", F.size("all").alias("n"), F.when(F.size("all") <= CARRIED,
-                              F.col("all")).alias("set"), *_packed(F.col("minima"))), f"{base}/again")
-    dealt = _dealt(again.withColumn("band", F.explode("bands")).drop("bands"))
+                              F.col("all")).alias("set"), _rough(F.col("all")).alias("rough"), *_packed(F.col("minima"))),
+                  f"{base}/again")
+    dealt = _dealt(again.withColumn("band", F.explode("bands")).drop("bands")
+                   .withColumn("place", F.shiftrightunsigned("band", 48).cast("int")))
     one, other = (dealt.filter(f"side <> {3 - number}").select("key", *[F.col(name).alias(f"{name}_{end}") for name in
                                                                        dealt.columns if name != "key"])
                   for number, end in ((1, "a"), (2, "b")))
@@ -236,7 +268,8 @@ def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFra
     carried = F.col("set_a").isNotNull() & F.col("set_b").isNotNull()
     exact = ~carried | _alike(common, F.col("n_a"), F.col("n_b"), similarity)
     crossed = one.join(other, (one.key == other.key) & inside & (F.col("component_a") != F.col("component_b"))
-                       & sized & _packed_comparable("a", "b") & exact)
+                       & sized & _meet_first("a", "b") & _packed_comparable("a", "b") & exact
+                       & _may_be_alike("a", "b", similarity))
     crossed = store(crossed.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"),
                                    carried.alias("verified")).distinct(), f"{base}/crossed")
     unknown = similar(crossed.filter("NOT verified").select("a", "b"), signed, texts, similarity)
