@@ -89,3 +89,29 @@ def test_only_words_of_labelled_rows_go_to_the_join(spark, docs_of, tables):
     assert few.count() == 900
     plan = few._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("bitmap_construct_agg") > plan.index("MapInPandas") > plan.index("Join Inner")
+
+
+def test_words_travel_compressed(spark):
+    texts = [None, "", " .,", "One, two; two_three!", "Ünï ß İ 你好 \U0001F600 a1", "the cat and the other cat sat there with the others " * 5]
+    rows = spark.createDataFrame([(k, bytearray(toxicity.packed_words(text))) for k, text in enumerate(texts)], "k int, p binary")
+    found = [bytes(row.h) for row in rows.select("k", toxicity.hashes_of_packed("p").alias("h")).sort("k").collect()]
+    assert found == [toxicity.word_hashes(text).tobytes() for text in texts]
+    assert len(toxicity.packed_words(texts[-1])) < len(found[-1]) / 2
+
+
+def test_known_words_are_counted_by_label_in_packed_ranges(spark):
+    random = np.random.default_rng(5)
+    vocabulary = np.unique(np.append(random.integers(0, 2**32, 3000, np.uint32), np.uint32([0, 2**24, 2**32 - 1])))
+    rows = [(int(k % 3 == 0), random.choice(vocabulary, random.integers(0, 60)).astype(np.uint32)) for k in range(900)]
+    df = spark.createDataFrame([(label, bytearray(words.tobytes())) for label, words in rows], "label int, words binary").repartition(5)
+    plain = {(label, w): 0 for label, words in rows for w in words.tolist()}
+    for label, words in rows:
+        for w in set(words.tolist()):
+            plain[label, w] += 1
+    counts = {0: 600, 1: 300}
+    expected = sorted({w for (label, w), n in plain.items() if n >= toxicity.LEAST_DOCUMENTS})
+    assert expected and toxicity.known_words(df, counts).tolist() == expected
+    some, n = vocabulary[100:1100], random.integers(1, 9, 1000)
+    words, found = toxicity.counts_of_packed(toxicity.packed_counts(some, n))
+    assert (words == some).all() and (found == n).all() and len(toxicity.packed_counts(some, n)) < 5 * len(some)
+    assert toxicity.known_words(df.limit(0), counts).tolist() == []

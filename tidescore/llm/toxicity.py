@@ -33,6 +33,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from tidescore.llm.common import delete, folder, remainder, store
 from tidescore.operators.skew import among_keys
@@ -61,6 +62,19 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter((crc(word.encode("utf-8", "ignore")) for word in words), np.uint32, len(words))
 
 
+def packed_words(text: str | None) -> bytes:
+    """The words of a text, compressed: shorter than their hashes, which repeat less."""
+    return zlib.compress(" ".join(WORD.findall((text or "").lower())).encode("utf-8", "ignore"), 6)
+
+
+@F.pandas_udf(BinaryType())
+def hashes_of_packed(packed: pd.Series) -> pd.Series:
+    """The bytes of ``word_hashes`` from ``packed_words``."""
+    words = (zlib.decompress(value) for value in packed)
+    return pd.Series([np.array([zlib.crc32(word) for word in value.split(b" ")] if value else [], np.uint32).tobytes()
+                      for value in words], dtype=object)
+
+
 def table_rows(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Rows of the embedding table, with padding (row 0, like unknown words) for the widest filter at both ends."""
     edge = np.zeros(max(WIDTHS) - 1, np.int32)
@@ -294,21 +308,41 @@ def best_threshold(score: np.ndarray, toxic: np.ndarray, weight: np.ndarray) ->
 
 def known_words(rows: DataFrame, counts: dict[int, int]) -> np.ndarray:
     """The hashes, ascending, that enough of a label's rows ``label, words`` have, out of ``counts`` of each label."""
+    least = {label: max(LEAST_DOCUMENTS, -(-n // ONE_IN)) for label, n in counts.items()}
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for label, own in batch.groupby("label"):
                 words = np.concatenate([np.unique(np.frombuffer(words, np.uint32)) for words in own["words"]])
                 found, n = np.unique(words, return_counts=True)
-                yield pd.DataFrame({"word": found.astype(np.int64), "label": np.full(len(found), label, np.int32), "n": n})
-
-    enough = F.lit(False)
-    for label, n in counts.items():
-        enough = enough | ((F.col("label") == label) & (F.col("n") >= max(LEAST_DOCUMENTS, -(-n // ONE_IN))))
-    found = (rows.select("label", "words").mapInPandas(count, "word bigint, label int, n bigint")
-             .groupBy("word", "label").agg(F.sum("n").alias("n")).filter(enough).select("word").distinct())
+                ends = np.searchsorted(found >> 24, np.arange(257))
+                packed = [packed_counts(found[start:end], n[start:end]) for start, end in zip(ends[:-1], ends[1:])]
+                yield pd.DataFrame({"range": np.arange(256), "label": label, "packed": packed})[ends[1:] > ends[:-1]]
+
+    def frequent(ranges: pd.DataFrame) -> pd.DataFrame:
+        known = []
+        for label, own in ranges.groupby("label"):
+            words, n = (np.concatenate(part) for part in zip(*[counts_of_packed(packed) for packed in own["packed"]]))
+            found, place = np.unique(words, return_inverse=True)
+            known.append(found[np.bincount(place, n) >= least[label]])
+        return pd.DataFrame({"word": np.unique(np.concatenate(known)).astype(np.int64)})
+
+    found = (rows.select("label", "words").mapInPandas(count, "range int, label int, packed binary")
+             .groupBy("range").applyInPandas(frequent, "word bigint"))
     return np.sort(found.toPandas()["word"].to_numpy(np.int64)).astype(np.uint32)
 
 
+def packed_counts(words: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending 32-bit words and how often each was found: gaps and numbers, byte after byte of each, compressed."""
+    both = np.concatenate([np.diff(words, prepend=np.uint32(0)), n.astype(np.uint32)])
+    return zlib.compress(both.view(np.uint8).reshape(2, -1, 4).transpose(0, 2, 1).tobytes(), 1)
+
+
+def counts_of_packed(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(2, 4, -1).transpose(0, 2, 1).copy().view(np.uint32)[..., 0]
+    return both[0].cumsum(dtype=np.uint32), both[1]
+
+
 def labelled_words(docs: DataFrame, labels: DataFrame, label: str, lang_col: str, id_col: str, text_col: str) -> DataFrame:
     """``label, lang, words, kept_out`` of each labelled row; rows of the same words are kept out together.
 
@@ -316,8 +350,8 @@ def labelled_words(docs: DataFrame, labels: DataFrame, label: str, lang_col: str
     """
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            words = [word_hashes(text).tobytes() for text in batch["text"]]
-            order = np.array([zlib.crc32(text) for text in words], np.int64)
+            words = [packed_words(text) for text in batch["text"]]
+            order = np.array([zlib.crc32(word_hashes(text).tobytes()) for text in batch["text"]], np.int64)
             yield pd.DataFrame({"id": batch["id"], "lang": batch["lang"], "words": words, "order": order,
                                 "kept_out": order % 4 == 3})
 
@@ -327,7 +361,8 @@ def labelled_words(docs: DataFrame, labels: DataFrame, label: str, lang_col: str
                        F.col(f"`{lang_col}`").cast("string").alias("lang"))
     read = among_keys(rows.filter("id IS NOT NULL"), known, "id", LABEL_BITS).mapInPandas(
         hashed, f"id {rows.schema['id'].dataType.simpleString()}, lang string, words binary, order bigint, kept_out boolean")
-    return (read.join(known, "id").sortWithinPartitions("order", "label", "lang").select("label", "lang", "words", "kept_out"))
+    return (read.join(known, "id").sortWithinPartitions("order", "label", "lang")
+            .select("label", "lang", hashes_of_packed("words").alias("words"), "kept_out"))
 
 
 def raw_counts(rows: DataFrame, network: Network, known: np.ndarray) -> pd.DataFrame:
