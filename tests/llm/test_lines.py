@@ -7,6 +7,7 @@ from tidescore.llm import lines
 from tidescore.llm.common import without_places
 from tidescore.llm.lines import all_lines, deduplicate_lines, line_components, line_report, signatures
 from brute import groups, removed_lines, shingles, without
+from brute import normal as brute_normal
 
 
 def test_against_all_pairs(documents_small):
@@ -195,3 +196,21 @@ def test_pairs_that_are_not_similar_do_not_leave_a_crowded_bucket(docs_of, monke
     found = line_components(all_lines(docs_of(texts), "doc_id", "text")).collect()
     assert len(found) == len(texts) and len({row.component for row in found}) == len(texts) // 2
     assert kept["pairs"] <= len(texts)
+
+
+def test_documents_are_read_once(documents_small, monkeypatch):
+    read, stored = [], lines.store
+
+    def store(df, path):
+        read.append(any("documents.parquet" in file for file in df.inputFiles()))
+        return stored(df, path)
+
+    monkeypatch.setattr(lines, "store", store)
+    found = lines.removed_lines(documents_small)
+    assert sum(read) == 1 and not any("documents.parquet" in file for file in found.inputFiles())
+
+
+def test_white_space_of_all_kinds_is_folded(spark):
+    texts = ["two  spaces", "a\ttab", "a\x0bline\x0cfeed", "back\r", "  Both ends ", "plain Text", "Straße  É", ""]
+    found = spark.createDataFrame([(text,) for text in texts], "text string").select(lines.normal(F.col("text"))).collect()
+    assert [row[0] for row in found] == [brute_normal(text) for text in texts]

@@ -53,10 +53,10 @@ LAST = 2**63 - 1
 
 def normal(line: Column) -> Column:
     """Lower case and single spaces. Most lines have single spaces already and need no pattern."""
-    low = F.trim(F.lower(line))
-    spaced = line.contains("  ")
-    for space in "\t\x0b\x0c\r":
-        spaced = spaced | line.contains(space)
+    low, coded = F.trim(F.lower(line)), line.cast("binary")  # bytes are searched faster than characters
+    spaced = F.contains(coded, F.lit(b"  "))
+    for space in (b"\t", b"\x0b", b"\x0c", b"\r"):
+        spaced = spaced | F.contains(coded, F.lit(space))
     return F.when(spaced, F.trim(F.regexp_replace(low, r"[\x20\x09-\x0D]+", " "))).otherwise(low)
 
 
@@ -81,9 +81,9 @@ def all_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc", "whole", "line", F.xxhash64("text").alias("name"), "text")
 
 
-def _shingle(code_points: Column, at: Column) -> Column:
-    """The shingle at a place, from a line in four bytes per character."""
-    return F.substring(code_points, at * 4 + 1, F.lit(4 * SHINGLE))
+def _shingle(code_points: Column, byte: Column) -> Column:
+    """The shingle that begins at a byte (from 1), from a line in four bytes per character."""
+    return F.substring(code_points, byte, F.lit(4 * SHINGLE))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def signatures(lines: DataFrame) -> DataFrame:
     starts = coded.select("name", "n", "coded", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(PIECE))).alias("start"))
     end = F.least(F.col("start") + (PIECE - 1), F.col("last"))
     places = starts.select("name", "n", "coded", F.explode(F.sequence("start", end)).alias("at"))
-    cut = places.select("name", "n", "at", _shingle(F.col("coded"), F.col("at")).alias("shingle"))
+    cut = places.select("name", "n", "at", _shingle(F.col("coded"), F.col("at") * 4 + 1).alias("shingle"))
     hashed = cut.select("name", "n", "at", *[F.xxhash64(F.lit(row), "shingle").alias(f"h{row}") for row in range(ROWS)])
     minima = [F.min(F.col(f"h{k % ROWS}").bitwiseXOR(F.lit(_constant(k)))).alias(f"m{k}") for k in range(BANDS * ROWS)]
     signed = hashed.groupBy("name").agg(F.max("n").alias("n"), F.max("at").alias("last"), *minima)
@@ -175,11 +175,17 @@ def _dealt(named: DataFrame) -> DataFrame:
                        *[name for name in named.columns if name != "band"])
 
 
-def _shingles(text: Column) -> Column:
-    """The distinct shingle hashes of a line. The line is encoded once, as the variable of the outer function."""
-    places = F.sequence(F.lit(0), F.greatest(F.char_length(text) - SHINGLE, F.lit(0)))
+def _every_shingle(text: Column) -> Column:
+    """The shingle hashes of a line, with repeats. The line is encoded once, as the variable of the outer function."""
+    last = F.greatest(F.char_length(text) - SHINGLE, F.lit(0))
     coded = F.array(F.encode(text, "UTF-32"))
-    return F.array_distinct(F.transform(coded, lambda line: F.transform(places, lambda at: F.xxhash64(_shingle(line, at))))[0])
+    return F.transform(coded, lambda line: F.transform(F.sequence(F.lit(1), last * 4 + 1, F.lit(4)),
+                                                       lambda byte: F.xxhash64(_shingle(line, byte))))[0]
+
+
+def _shingles(text: Column) -> Column:
+    """The distinct shingle hashes of a line."""
+    return F.array_distinct(_every_shingle(text))
 
 
 def _rough(shingles: Column) -> Column:
@@ -218,14 +224,16 @@ def similar(pairs: DataFrame, signed: DataFrame, texts: DataFrame, similarity: f
     both = (pairs.join(signed.toDF("a", "last_a", "minima_a"), "a").join(signed.toDF("b", "last_b", "minima_b"), "b"))
     alike = both.filter(_comparable("a", "b")).select("a", "b")
     there = alike.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    found = there.select("a", "b", _shingles(F.col("text_a")).alias("s_a"), _shingles(F.col("text_b")).alias("s_b"))
-    sizes = found.select("a", "b", F.size("s_a").alias("n_a"), F.size("s_b").alias("n_b"),
-                         F.size(F.array_intersect("s_a", "s_b")).alias("common"))
-    return sizes.filter(_alike(F.col("common"), F.col("n_a"), F.col("n_b"), similarity)).select("a", "b")
+    found = there.select("a", "b", _every_shingle(F.col("text_a")).alias("s_a"), _every_shingle(F.col("text_b")).alias("s_b"))
+    sizes = found.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("common"), F.size(F.array_union("s_a", "s_b")).alias("all"))
+    return sizes.filter(F.col("common") >= similarity * F.col("all")).select("a", "b")
+
 
+def line_components(lines: DataFrame, similarity: float = SIMILARITY, once: str | None = None) -> DataFrame:
+    """``id, component`` of the names of all lines that are similar to another line.
 
-def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``id, component`` of the names of all lines that are similar to another line."""
+    ``once`` is the path of the lines if they are stored for this alone: it is deleted as soon as they have been read.
+    """
     spark, base = lines.sparkSession, folder(lines.sparkSession, "lines")
     every = store(signatures(lines), f"{base}/every")
     members = every.select("name", "n", F.explode(_bands(F.col("minima"))).alias("band"))
@@ -239,6 +247,8 @@ def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFra
     texts = store(lines.select("name", "text").join(wanted, "name", "left_semi")
                   .groupBy("name").agg(F.min("text").alias("text")), f"{base}/texts")
     delete(spark, f"{base}/every")
+    if once:
+        delete(spark, once)
 
     stars = inside.select("name", F.explode(F.array("first", "last")).alias("end")).filter("name <> end")
     pairs = stars.select(F.least("name", "end").alias("a"), F.greatest("name", "end").alias("b")).distinct()
@@ -287,8 +297,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``doc`` is the document's id, or the greatest bigint for rows with a null id, and ``whole`` the hash of its text.
     """
     spark, lines = docs.sparkSession, all_lines(docs, id_col, text_col)
-    found = line_components(lines, similarity)
+    once = folder(spark, "lines_once")
+    lines = store(lines, once)  # the documents are split and normalised once
     places = store(lines.select("doc", "whole", "line", "name"), folder(spark, "line_places"))
+    found = line_components(lines, similarity, once)
     names = places.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line", "whole")).alias("first"))
     classed = store(names.join(found, F.col("name") == F.col("id"), "left")
                     .select("name", "n", "first", F.coalesce("component", "name").alias("component")),
